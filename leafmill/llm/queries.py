@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import mixing, sharding
+from leafmill.llm import mixing, neardup, sharding
 from leafmill.llm.common import table
 
 
+def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -18,5 +22,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op3_weighted_mix, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op2_minhash_neardup, op3_weighted_mix, op10_kd_shards)}
 ORACLES = {"op3_weighted_mix": mixing.MIX_SQL.replace("{docs}", "documents")}
