@@ -42,3 +42,20 @@ def shuffle_width(df: DataFrame) -> int:
 def fold_of(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
+
+
+def share_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Give every executor a file, kept in the checkpoint folder; returns its name for SparkFiles."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        cut(spark.range(0))  # names the folder
+    jvm = context._jvm
+    path = jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir(), name)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        out = files.create(path, True)
+        for i in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[i : i + (1 << 20)]))
+        out.close()
+    context.addFile(path.toString())
+    return name

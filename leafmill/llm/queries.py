@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import mixing, neardup, sharding
+from leafmill.llm import bpe, mixing, neardup, sharding
 from leafmill.llm.common import table
 
 
@@ -17,10 +17,14 @@ def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary(spark))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.kd_shards(table(spark, sf_dir, "documents"))
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_neardup, op3_weighted_mix, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op2_minhash_neardup, op3_weighted_mix, op4_bpe_lexicon, op10_kd_shards)}
 ORACLES = {"op3_weighted_mix": mixing.MIX_SQL.replace("{docs}", "documents")}
