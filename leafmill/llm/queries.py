@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, classifier, mixing, neardup, rules, sharding
+from leafmill.llm import bpe, classifier, mixing, neardup, rules, sharding, vectors
 from leafmill.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary(spark))
 
 
+def op6_subspace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,5 +38,5 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_neardup, op3_weighted_mix, op4_bpe_lexicon, op7_kernel_quality, op8_quality_rules, op10_kd_shards)}
+QUERIES = {f.__name__: f for f in (op2_minhash_neardup, op3_weighted_mix, op4_bpe_lexicon, op6_subspace_vectors, op7_kernel_quality, op8_quality_rules, op10_kd_shards)}
 ORACLES = {"op3_weighted_mix": mixing.MIX_SQL.replace("{docs}", "documents")}
