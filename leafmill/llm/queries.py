@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bpe, classifier, mixing, neardup, rules, sharding, vectors
+from leafmill.llm import bpe, classifier, licenses, mixing, neardup, pages, rules, sharding, vectors, warc
 from leafmill.llm.common import table
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion of every page; the record itself as its digest."""
+    found = warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages")))
+    return found.select(
+        "page_id",
+        "warc_type",
+        "record_id",
+        "refers_to",
+        "target_uri",
+        "warc_date",
+        "content_type",
+        "content_length",
+        "block_digest",
+        "payload_digest",
+        F.sha2(F.col("record"), 256).alias("record_sha256"),
+    )
+
+
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,6 +39,10 @@ def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary(spark))
 
 
+def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_subspace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -33,10 +55,31 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = sharding.kd_shards(table(spark, sf_dir, "documents"))
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_neardup, op3_weighted_mix, op4_bpe_lexicon, op6_subspace_vectors, op7_kernel_quality, op8_quality_rules, op10_kd_shards)}
-ORACLES = {"op3_weighted_mix": mixing.MIX_SQL.replace("{docs}", "documents")}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_derivatives,
+        op2_minhash_neardup,
+        op3_weighted_mix,
+        op4_bpe_lexicon,
+        op5_html_wrappers,
+        op6_subspace_vectors,
+        op7_kernel_quality,
+        op8_quality_rules,
+        op9_license_digests,
+        op10_kd_shards,
+    )
+}
+ORACLES = {
+    "op3_weighted_mix": mixing.MIX_SQL.replace("{docs}", "documents"),
+    "op9_license_digests": licenses.scan_sql("documents"),
+}
