@@ -30,7 +30,6 @@ DERIVED_SCHEMA = (
 _DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)")
 _BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>")
 _TAG = re.compile(r"</?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>")
-_BLANKS = re.compile(r"[^\S\n]+")
 _TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
 _LANG = re.compile(r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)")
 _LINK = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -63,8 +62,9 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def page_text(source: str) -> str:
     """All visible text: a line for each block, white space collapsed, references decoded."""
-    plain = html.unescape(_TAG.sub("", _BLOCK.sub("\n", _BLANKS.sub(" ", _DROPPED.sub(" ", source).replace("\n", " ")))))
-    return "\n".join(line for part in plain.split("\n") if (line := _BLANKS.sub(" ", part).strip()))
+    flat = " ".join(_DROPPED.sub(" ", source).split())
+    plain = html.unescape(_TAG.sub("", _BLOCK.sub("\n", flat)))
+    return "\n".join(line for part in plain.split("\n") if (line := " ".join(part.split())))
 
 
 def page_fields(source: str, target: str) -> list[tuple[str, str]]:
