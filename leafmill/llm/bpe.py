@@ -299,14 +299,15 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     return tokens.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
-def token_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text."""
+def token_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, and its ids if wanted."""
     done = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        *(["ids"] if with_ids else []),
     )
 
 

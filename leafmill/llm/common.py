@@ -12,16 +12,22 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that driver and executors share.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, a
-    laptop) a local one is made.
+    It is the one that ``spark.checkpoint.dir`` names; only where that is unset
+    (tests, a laptop) a local one is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafmill-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -46,11 +52,9 @@ def fold_of(doc_id: Column, folds: int = 5) -> Column:
 
 def share_file(spark: SparkSession, name: str, data: bytes) -> str:
     """Give every executor a file, kept in the checkpoint folder; returns its name for SparkFiles."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        cut(spark.range(0))  # names the folder
+    context, folder = spark.sparkContext, shared_folder(spark)
     jvm = context._jvm
-    path = jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir(), name)
+    path = jvm.org.apache.hadoop.fs.Path(folder, name)
     files = path.getFileSystem(context._jsc.hadoopConfiguration())
     if not files.exists(path):
         out = files.create(path, True)
