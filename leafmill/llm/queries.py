@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from leafmill.llm import bpe, classifier, licenses, mixing, neardup, pages, rules, sharding, vectors, warc
 from leafmill.llm.common import table
 
@@ -78,7 +79,7 @@ QUERIES = {
         op9_license_digests,
         op10_kd_shards,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 ORACLES = {
     "op3_weighted_mix": mixing.MIX_SQL.replace("{docs}", "documents"),
     "op9_license_digests": licenses.scan_sql("documents"),
