@@ -1,20 +1,20 @@
 """Near duplicates by a chosen-path set similarity join.
 
 Documents are branched into the nodes of several independent trees. A node picks
-a few positions of the minwise signature, and its documents go to one child for
-each, by their value there; so all documents of a node that share the chosen
-minwise token meet again. Small nodes are compared exhaustively, large ones
-branch on. With similarity s a pair survives a level with probability
-1 - (1 - s)**branch, and trees repeat until the chance that a pair meets in none
-is negligible: at 0.75 with 8 trees of 2 positions under 3e-7 even for pairs in
-nodes four levels deep, and 3e-10 at the first level.
+positions of the minwise signature, and its documents go to one child for each,
+by their value there; so all documents of a node that share the chosen minwise
+token meet again. Small nodes are compared exhaustively, large ones branch on. A
+tree opens with ``roots`` positions; further down a node picks one or two, on
+average the inverse of the similarity sought, so that paths of less similar
+documents die out while those of a pair at the threshold do not. A pair of
+similarity 0.75 meets in none of 8 trees with probability 3e-10 where nodes are
+small at once, and about 2e-4 eight levels down.
 
 Three things keep groups of copies from becoming quadratic. Equal sets are one
-point. The least and the greatest document of each first-level node are compared
-with all others of it first; what they link is one component from then on, and
-only documents of different components are compared later. And nodes branch
-until they are small. Nodes still large at the last level, which hold documents
-that agree in many minwise tokens, are compared across components as they are.
+point. A few pivots of each first-level node are compared with all others of it
+first; what they link is one component from then on, and only documents of
+different components are compared later. And nodes branch until they are small.
+Nodes still large at the last level are compared across components as they are.
 
 Candidates that agree in under half of their signature are left out (a pair of
 similarity 0.75 does so with probability 5e-6); the others are decided on their
@@ -93,11 +93,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, part: int, whole:
     return cut(both.mapInArrow(run, "a long, b long").distinct())
 
 
-def _children(rows: DataFrame, branch: int) -> DataFrame:
-    """Each row of ``node, rep, sig`` in the child nodes its node chooses."""
+def _children(rows: DataFrame, part: int, whole: int) -> DataFrame:
+    """Each row of ``node, rep, sig`` in the child nodes its node chooses, whole / part of them on average."""
     place = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SIGNATURE)).cast("int")
     child = lambda j: F.xxhash64("node", place(j), F.element_at("sig", place(j) + 1))
-    return rows.select("rep", F.explode(F.array_distinct(F.array(*[child(j) for j in range(branch)]))).alias("node"))
+    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(part)) < whole - part, child(1))
+    return rows.select("rep", F.explode(F.array_distinct(F.array_compact(F.array(child(0), second)))).alias("node"))
 
 
 def near_duplicates(
@@ -107,9 +108,10 @@ def near_duplicates(
     part: int = 75,
     whole: int = 100,
     trees: int = 8,
-    branch: int = 2,
+    roots: int = 2,
+    pivots: int = 8,
     small: int = 12,
-    depth: int = 6,
+    depth: int = 8,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -123,12 +125,13 @@ def near_duplicates(
     usable = sigs.where("n_shingles > 0 and doc_id is not null")
     reps = cut(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
 
-    roots = [F.xxhash64(F.lit(tree), F.lit(place), F.col("sig")[place]) for tree in range(trees) for place in range(tree * branch, (tree + 1) * branch)]
-    rows = reps.select("rep", F.explode(F.array(*roots)).alias("node"))
-    met = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = cut(rows.join(met, "node").select("node", "rep", "low", "high"))
-    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = members.select(F.explode(F.array(pair("rep", "low"), pair("rep", "high"))).alias("p")).select("p.*").where("a < b")
+    openings = [F.xxhash64(F.lit(place // roots), F.lit(place), F.col("sig")[place]) for place in range(trees * roots)]
+    rows = reps.select("rep", F.explode(F.array(*openings)).alias("node"))
+    pivot = [F.min_by("rep", F.xxhash64("rep", F.lit(j))).alias(f"p{j}") for j in range(pivots)]
+    met = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high"), *pivot).where("low < high")
+    others = F.when(F.col("size") > small, F.array_distinct(F.array(*[f"p{j}" for j in range(pivots)]))).otherwise(F.array("low", "high")).alias("pivots")
+    members = cut(rows.join(met.select("node", others), "node"))
+    first = members.select("rep", F.explode("pivots").alias("p")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).where("a < b")
     linked = _confirmed(_likely(first, reps, part, whole), docs, width, part, whole)
     found = cut(connected_components(linked))
 
@@ -148,7 +151,7 @@ def near_duplicates(
         pairs = new if pairs is None else pairs.union(new)
         if level == depth - 1 or many.isEmpty():
             break
-        members = _children(many.join(reps.select("rep", "sig"), "rep"), branch)
+        members = _children(many.join(reps.select("rep", "sig"), "rep"), part, whole)
     more = _confirmed(pairs.distinct(), docs, width, part, whole)
     final = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
