@@ -25,10 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder, in at most ``parts`` files."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return (df.coalesce(parts) if parts else df).checkpoint()
+
+
+def parts_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Partitions of about ``each`` rows, but no more than a shuffle has."""
+    return max(1, min(-(-rows // each), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +46,6 @@ def word_count(text: Column) -> Column:
     return F.when(F.length(inner) > 0, F.size(F.split(inner, SPACE_CLASS))).otherwise(0).cast("long")
 
 
-def shuffle_width(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def fold_of(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo the number of folds."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

@@ -31,11 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut
+from leafmill.llm.common import cut, parts_for
 from leafmill.llm.components import connected_components
 from leafmill.llm.shingles import minwise, minwise_parameters, shingle_set, similar
 
 SIGNATURE = 64
+#: Documents to a partition of what is kept of them between steps.
+PART_ROWS = 8_000
+#: Ordered pairs in large nodes, for each document, at which branching stops.
+BRUTE = 4
 
 
 def set_signatures(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -69,11 +73,11 @@ def _likely(pairs: DataFrame, reps: DataFrame, part: int, whole: int) -> DataFra
     return sized.where(2 * _agree(F.col("sig_a"), F.col("sig_b")) >= SIGNATURE).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, part: int, whole: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, part: int, whole: int, parts: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    pairs = cut(pairs)
+    pairs = cut(pairs, parts)
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends, "id").dropDuplicates(["id", "text"]))
+    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends, "id").dropDuplicates(["id", "text"]), parts)
     side = lambda end: texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,15 +94,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, part: int, whole:
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return cut(both.mapInArrow(run, "a long, b long").distinct())
+    return cut(both.mapInArrow(run, "a long, b long").coalesce(parts).distinct(), parts)
 
 
 def _children(rows: DataFrame, part: int, whole: int) -> DataFrame:
-    """Each row of ``node, rep, sig`` in the child nodes its node chooses, whole / part of them on average."""
+    """Each row of ``node, rep, component, sig`` in the child nodes its node chooses, whole / part of them on average."""
     place = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SIGNATURE)).cast("int")
     child = lambda j: F.xxhash64("node", place(j), F.element_at("sig", place(j) + 1))
     second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(part)) < whole - part, child(1))
-    return rows.select("rep", F.explode(F.array_distinct(F.array_compact(F.array(child(0), second)))).alias("node"))
+    return rows.select(F.explode(F.array_distinct(F.array_compact(F.array(child(0), second)))).alias("node"), "rep", "component")
 
 
 def near_duplicates(
@@ -122,38 +126,43 @@ def near_duplicates(
     document for links. Equal texts are linked; an empty table gives no rows.
     """
     sigs = cut(set_signatures(docs, width))
+    parts = parts_for(docs.sparkSession, sigs.count(), PART_ROWS)
     usable = sigs.where("n_shingles > 0 and doc_id is not null")
-    reps = cut(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")))
+    reps = cut(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), parts)
 
     openings = [F.xxhash64(F.lit(place // roots), F.lit(place), F.col("sig")[place]) for place in range(trees * roots)]
     rows = reps.select("rep", F.explode(F.array(*openings)).alias("node"))
     pivot = [F.min_by("rep", F.xxhash64("rep", F.lit(j))).alias(f"p{j}") for j in range(pivots)]
     met = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high"), *pivot).where("low < high")
     others = F.when(F.col("size") > small, F.array_distinct(F.array(*[f"p{j}" for j in range(pivots)]))).otherwise(F.array("low", "high")).alias("pivots")
-    members = cut(rows.join(met.select("node", others), "node"))
+    members = cut(rows.join(met.select("node", others), "node"), parts)
     first = members.select("rep", F.explode("pivots").alias("p")).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b")).where("a < b")
-    linked = _confirmed(_likely(first, reps, part, whole), docs, width, part, whole)
-    found = cut(connected_components(linked))
+    linked = _confirmed(_likely(first, reps, part, whole), docs, width, part, whole, parts)
+    found = cut(connected_components(linked, parts=parts), parts)
 
-    members, pairs = members.select("node", "rep"), None
+    known = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
+    pairs = None
     for level in range(depth):
-        known = members.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-        mixed = known.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        open_rows = cut(known.join(mixed.where("low < high"), "node").select("node", "size", "rep", "component"))
-        few = open_rows.where(F.col("size") <= small).groupBy("node").agg(F.collect_list(F.struct("rep", "component")).alias("m"))
+        known = cut(known, parts)
+        mixed = known.groupBy("node").agg(F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+        open_rows = cut(known.join(mixed.select("node", "size"), "node"), parts)
+        few = open_rows.where(F.col("size") <= small).coalesce(parts).groupBy("node").agg(F.collect_list(F.struct("rep", "component")).alias("m"))
         few = few.select(F.col("m"), F.explode("m").alias("x")).select("x", F.explode("m").alias("y"))
-        many = open_rows.where(F.col("size") > small)
         new = few.where("x.rep < y.rep and x.component <> y.component").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        if level == depth - 1:
+        many = open_rows.where(F.col("size") > small)
+        # once large nodes hold few comparisons for each document, these cost less than branching
+        left = many.agg(F.sum("size")).first()[0] or 0
+        last = level == depth - 1 or left <= BRUTE * reps.count()
+        if last and left:
             other = many.select("node", F.col("rep").alias("b"), F.col("component").alias("other"))
             new = new.union(many.join(other, "node").where("rep < b and component <> other").select(F.col("rep").alias("a"), "b"))
-        new = cut(_likely(new, reps, part, whole))
+        new = cut(new.coalesce(parts).distinct(), parts)
         pairs = new if pairs is None else pairs.union(new)
-        if level == depth - 1 or many.isEmpty():
+        if last:
             break
-        members = _children(many.join(reps.select("rep", "sig"), "rep"), part, whole)
-    more = _confirmed(pairs.distinct(), docs, width, part, whole)
-    final = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        known = _children(many.join(reps.select("rep", "sig"), "rep"), part, whole)
+    more = _confirmed(_likely(pairs, reps, part, whole), docs, width, part, whole, parts)
+    final = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), parts=parts)
 
     classes = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     named = sigs.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
