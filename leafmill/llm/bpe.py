@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import unicodedata
@@ -31,7 +32,8 @@ OTHER, LETTER, NUMBER, SPACE, BREAK = range(5)
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: First value past Unicode: ends a text; those after it stand for special tokens.
 END = 0x110000
-CHUNK = 1 << 20
+#: Characters, and rows of a batch, that are worked on together; a longer text is one piece.
+CHUNK, ROWS = 1 << 18, 512
 
 
 @cache
@@ -134,6 +136,12 @@ class Model:
         shift = first - (np.cumsum(sizes) - sizes)
         return self.names[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))]
 
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of the ids from one end to the next."""
+        raw = self.decode(ids).tobytes()
+        edges = np.concatenate(([0], np.cumsum(self.ends[ids + 1] - self.ends[ids])))[ends].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in itertools.pairwise(edges)]
+
 
 @cache
 def _model(path: str) -> Model:
@@ -145,6 +153,12 @@ def _lexicon(path: str) -> Lexicon:
     return Lexicon(path)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, len(batch), ROWS):
+            yield batch.slice(i, ROWS)
+
+
 def _chunks(texts: list[str | None], model: Model) -> Iterator[tuple[list[np.ndarray], int]]:
     """Code points of whole texts, END after each, about CHUNK at a time; and the number of texts."""
     points, size = [], 0
@@ -175,7 +189,7 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for batch in batches:
+        for batch in _slices(batches):
             for points, _ in _chunks(batch.column(0).to_pylist(), model):
                 text, at, size, first = _words(np.concatenate(points))
                 at, size = at[first < END], size[first < END]
@@ -212,7 +226,7 @@ def build_lexicon(docs: DataFrame, path: str, max_words: int = 100_000, max_byte
 class Encoder:
     """Encodes texts with a lexicon; remembers up to ``keep`` unseen words."""
 
-    def __init__(self, model: Model, lexicon: Lexicon, keep: int = 300_000) -> None:
+    def __init__(self, model: Model, lexicon: Lexicon, keep: int = 100_000) -> None:
         self.model, self.lexicon, self.keep = model, lexicon, keep
         self.memo: dict[bytes, list[int]] = {}
 
@@ -253,31 +267,37 @@ class Encoder:
             yield out, np.diff(ends, prepend=0)
 
 
-def encode(docs: DataFrame, path: str, *, max_words: int = 100_000) -> DataFrame:
+def encode(docs: DataFrame, path: str, *, max_words: int = 100_000, decoded: bool = False) -> DataFrame:
     """``docs`` with a column ``ids``: the token ids of the whole text.
 
     Equal to the tokenizers library's without added special tokens, truncation
     or padding; special tokens written out in a text are found, as there. Null
     and empty texts have no ids. Other columns stay; an own column ``ids`` is
-    replaced. An empty table gives no rows.
+    replaced. With ``decoded``, a column of that name has the text that the ids
+    give back, as :func:`decode` makes it. An empty table gives no rows.
     """
     data = build_lexicon(docs, path, max_words)
     name = share_file(docs.sparkSession, f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin", data)
-    kept = [c for c in docs.columns if c != "ids"]
-    place = kept.index("text")
+    new = ["ids", "decoded"][: 1 + decoded]
+    kept = [f for f in docs.schema.fields if f.name not in new]
+    place = [f.name for f in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(_model(path), _lexicon(SparkFiles.get(name)))
-        for batch in batches:
+        model = _model(path)
+        coder = Encoder(model, _lexicon(SparkFiles.get(name)))
+        for batch in _slices(batches):
             done = 0
             for ids, sizes in coder(batch.column(place).to_pylist()):
                 part = batch.slice(done, len(sizes))
                 done += len(sizes)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, "ids"])
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))]
+                if decoded:
+                    columns.append(pa.array(model.texts(ids, ends), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [*part.schema.names, *new])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "ids"] + ["`ids` array<int>"])
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "`ids` array<int>", "`decoded` string"][: len(kept) + len(new)])
+    return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, path: str) -> DataFrame:
@@ -286,22 +306,24 @@ def decode(tokens: DataFrame, path: str) -> DataFrame:
     Special tokens are written out; bytes that are no UTF-8 become U+FFFD; null
     ids give an empty text.
     """
-    kept = [c for c in tokens.columns if c != "decoded"]
-    place = kept.index("ids")
+    kept = [f for f in tokens.schema.fields if f.name != "decoded"]
+    place = [f.name for f in kept].index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
-        for batch in batches:
-            texts = [bytes(model.decode(np.asarray(x.values)) if x.is_valid else b"").decode("utf-8", "replace") for x in batch.column(place)]
+        for batch in _slices(batches):
+            lists = batch.column(place)
+            sizes = np.array([len(x.values) if x.is_valid else 0 for x in lists], np.int64)
+            texts = model.texts(np.asarray(lists.flatten()), np.concatenate(([0], np.cumsum(sizes))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields if f.name != "decoded"] + ["`decoded` string"])
-    return tokens.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "`decoded` string"])
+    return tokens.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
 def token_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text, and its ids if wanted."""
-    done = decode(encode(docs.select("doc_id", "text"), path).select("doc_id", "ids"), path)
+    done = encode(docs.select("doc_id", "text"), path, decoded=True)
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
