@@ -114,13 +114,14 @@ def _quantiles(points: DataFrame, value: str, goals: dict[int, float], ranges: d
     return done
 
 
-def kd_shards(docs: DataFrame, *, shards: int = 24, slack: float = 0.002, slot_rows: int = 2000) -> DataFrame:
+def kd_shards(docs: DataFrame, *, shards: int = 24, slack: float = 0.01, slot_rows: int = 2000) -> DataFrame:
     """Documents with their shard, of nearly equal bytes, and their slot in it.
 
     Size is the text's UTF-8 bytes (null: none) plus 8. Returns doc_id, size,
     text_crc32, shard (0 .. shards - 1) and slot (0, 1, ... within the shard, by
     hash block and doc_id). ``slack`` is the part of a shard's bytes by which
-    one cut may miss its quantile. Null metadata forms a code of its own, equal
+    one cut may miss its quantile; a group of equal texts is only divided where
+    it is heavier. Null metadata forms a code of its own, equal
     rows are separate rows, an empty table gives no rows.
     """
     points = cut(metadata_points(docs))
