@@ -8,13 +8,14 @@ tree opens with ``roots`` positions; further down a node picks one or two, on
 average the inverse of the similarity sought, so that paths of less similar
 documents die out while those of a pair at the threshold do not. A pair of
 similarity 0.75 meets in none of 8 trees with probability 3e-10 where nodes are
-small at once, and about 2e-4 eight levels down.
+small at once, and about 1e-4 six levels down.
 
-Three things keep groups of copies from becoming quadratic. Equal sets are one
+Four things keep groups of copies from becoming quadratic. Equal sets are one
 point. A few pivots of each first-level node are compared with all others of it
 first; what they link is one component from then on, and only documents of
-different components are compared later. And nodes branch until they are small.
-Nodes still large at the last level are compared across components as they are.
+different components are compared later. Nodes branch until they are small. The
+documents of nodes still large at the last level are compared across components
+by bitmaps of their sets, which bound similarities from above, inside the join.
 
 Candidates that agree in under half of their signature are left out (a pair of
 similarity 0.75 does so with probability 5e-6); the others are decided on their
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,10 @@ SIGNATURE = 64
 PART_ROWS = 8_000
 #: Ordered pairs in large nodes, for each document, at which branching stops.
 BRUTE = 4
+#: Longs of a set's two bitmaps: one for all comparisons, one for those that pass it.
+COARSE, FINE = 16, 64
+#: Ids up to which they are sent to every task, instead of all texts to theirs.
+SENT_IDS = 500_000
 
 
 def set_signatures(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -73,11 +79,17 @@ def _likely(pairs: DataFrame, reps: DataFrame, part: int, whole: int) -> DataFra
     return sized.where(2 * _agree(F.col("sig_a"), F.col("sig_b")) >= SIGNATURE).select("a", "b")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the documents with the ids, which are distinct and cut."""
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, part: int, whole: int, parts: int) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     pairs = cut(pairs, parts)
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = cut(docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ends, "id").dropDuplicates(["id", "text"]), parts)
+    ends = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), parts)
+    texts = cut(_texts_of(docs, ends).dropDuplicates(["id", "text"]), parts)
     side = lambda end: texts.select(F.col("id").alias(end), F.col("text").alias(f"text_{end}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +109,41 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, part: int, whole:
     return cut(both.mapInArrow(run, "a long, b long").coalesce(parts).distinct(), parts)
 
 
+def _bitmaps(ids: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """rep, coarse and fine: bitmaps of the hashes in each of the documents' full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps: list[list[np.ndarray]] = [[], []]
+            for text in batch.column(1):
+                found = shingle_set(text.as_py(), width)
+                for rows, longs in zip(maps, (COARSE, FINE), strict=True):
+                    marks = np.zeros(64 * longs, bool)
+                    marks[found % np.uint64(64 * longs)] = True
+                    rows.append(np.packbits(marks).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows, pa.list_(pa.int64())) for rows in maps)], ["rep", "coarse", "fine"])
+
+    return _texts_of(docs, ids.select(F.col("rep").alias("id"))).dropDuplicates(["id", "text"]).mapInArrow(run, "rep long, coarse array<long>, fine array<long>")
+
+
+def _within_nodes(many: DataFrame, reps: DataFrame, docs: DataFrame, width: int, part: int, whole: int, parts: int) -> DataFrame:
+    """Pairs a, b of different components in one node, without those that bitmaps rule out.
+
+    Bits that differ are at most as many as shingles that differ, so they bound
+    the intersection from above; the join itself passes over what is out of it.
+    """
+    marks = _bitmaps(cut(many.select("rep").distinct(), parts), docs, width).join(reps.select("rep", "n"), "rep")
+    rows = cut(many.select("node", "rep", "component").join(marks, "rep"), parts)
+    other = rows.select("node", *[F.col(c).alias(f"{c}_b") for c in ("rep", "component", "n", "coarse", "fine")])
+    apart = lambda x, y: F.bit_count(x.bitwiseXOR(y))
+    coarse = reduce(Column.__add__, [apart(F.col("coarse")[i], F.col("coarse_b")[i]) for i in range(COARSE)])
+    fine = F.aggregate(F.zip_with("fine", "fine_b", apart), F.lit(0), lambda total, x: total + x)
+    both = F.col("n") + F.col("n_b")
+    can = lambda differing: (whole + part) * (both - differing) >= 2 * part * both
+    near = (F.col("rep") < F.col("rep_b")) & (F.col("component") != F.col("component_b")) & can(coarse) & can(fine)
+    return rows.join(other, "node").where(near).select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
+
+
 def _children(rows: DataFrame, part: int, whole: int) -> DataFrame:
     """Each row of ``node, rep, component, sig`` in the child nodes its node chooses, whole / part of them on average."""
     place = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SIGNATURE)).cast("int")
@@ -115,7 +162,7 @@ def near_duplicates(
     roots: int = 2,
     pivots: int = 8,
     small: int = 12,
-    depth: int = 8,
+    depth: int = 6,
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -130,6 +177,7 @@ def near_duplicates(
     usable = sigs.where("n_shingles > 0 and doc_id is not null")
     reps = cut(usable.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), parts)
 
+    n_reps = reps.count()
     openings = [F.xxhash64(F.lit(place // roots), F.lit(place), F.col("sig")[place]) for place in range(trees * roots)]
     rows = reps.select("rep", F.explode(F.array(*openings)).alias("node"))
     pivot = [F.min_by("rep", F.xxhash64("rep", F.lit(j))).alias(f"p{j}") for j in range(pivots)]
@@ -152,10 +200,9 @@ def near_duplicates(
         many = open_rows.where(F.col("size") > small)
         # once large nodes hold few comparisons for each document, these cost less than branching
         left = many.agg(F.sum("size")).first()[0] or 0
-        last = level == depth - 1 or left <= BRUTE * reps.count()
+        last = level == depth - 1 or left <= BRUTE * n_reps
         if last and left:
-            other = many.select("node", F.col("rep").alias("b"), F.col("component").alias("other"))
-            new = new.union(many.join(other, "node").where("rep < b and component <> other").select(F.col("rep").alias("a"), "b"))
+            new = new.union(_within_nodes(many, reps, docs, width, part, whole, parts))
         new = cut(new.coalesce(parts).distinct(), parts)
         pairs = new if pairs is None else pairs.union(new)
         if last:
