@@ -22,6 +22,8 @@ from leafmill.llm.common import cut, word_count
 
 #: 52 bits of a digest, as a number in (0, 1).
 UNIT_HEX, UNIT_SCALE = 13, float(2**52)
+#: Sources up to which their budgets are sent to every task.
+SENT_SOURCES = 100_000
 
 
 def quality_weight(text: Column) -> Column:
@@ -88,14 +90,14 @@ def mix_sources(
             key.alias("key"),
         )
     )
-    sizes = base.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    sizes = cut(base.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs")))
     targets = source_targets(sizes, weights, limit)
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(limit))).otherwise(F.lit(0)).cast("long")
     budgets = targets.withColumn("full", full).withColumn("rest", F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0)))
     buckets = F.ceil(F.col("n_docs") / F.lit(float(bucket_rows)))
     # 1 - exp(-key) grows with the key, so buckets are intervals of keys
     bucket = F.least(buckets - 1, F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets)).cast("long")
-    rows = base.join(budgets, "skey").withColumn("bucket", bucket)
+    rows = base.join(F.broadcast(budgets) if sizes.count() <= SENT_SOURCES else budgets, "skey").withColumn("bucket", bucket)
     spent = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     spent = spent.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("before"))
