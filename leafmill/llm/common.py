@@ -25,9 +25,17 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """No more rows to an Arrow batch of whole texts; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder, in at most ``parts`` files."""
     shared_folder(df.sparkSession)
+    small_batches(df.sparkSession)
     return (df.coalesce(parts) if parts else df).checkpoint()
 
 
