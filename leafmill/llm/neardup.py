@@ -4,11 +4,11 @@ Documents are branched into the nodes of several independent trees. A node picks
 positions of the minwise signature, and its documents go to one child for each,
 by their value there; so all documents of a node that share the chosen minwise
 token meet again. Small nodes are compared exhaustively, large ones branch on. A
-tree opens with ``roots`` positions; further down a node picks one or two, on
-average the inverse of the similarity sought, so that paths of less similar
-documents die out while those of a pair at the threshold do not. A pair of
-similarity 0.75 meets in none of 8 trees with probability 3e-10 where nodes are
-small at once, and about 1e-4 six levels down.
+tree opens with ``roots`` positions; further down each node picks two of those
+that belong to its level, so no path uses a position twice and a pair at the
+threshold meets in 1.5 times as many nodes at each level, on average. A pair of
+similarity 0.75 meets in none of 8 trees with probability 2.3e-10 where nodes are
+small at once, 6e-8 one level down and 5e-7 five levels down, which is the last.
 
 Four things keep groups of copies from becoming quadratic. Equal sets are one
 point. A few pivots of each first-level node are compared with all others of it
@@ -18,7 +18,7 @@ documents of nodes still large at the last level are compared across components
 by bitmaps of their sets, which bound similarities from above, inside the join.
 
 Candidates that agree in under half of their signature are left out (a pair of
-similarity 0.75 does so with probability 5e-6); the others are decided on their
+similarity 0.75 does so with probability 3.4e-10); the others are decided on their
 full sets, built again from both texts.
 """
 
@@ -37,7 +37,7 @@ from leafmill.llm.common import cut, parts_for
 from leafmill.llm.components import connected_components
 from leafmill.llm.shingles import minwise, minwise_parameters, shingle_set, similar
 
-SIGNATURE = 64
+SIGNATURE = 128
 #: Documents to a partition of what is kept of them between steps.
 PART_ROWS = 8_000
 #: Ordered pairs in large nodes, for each document, at which branching stops.
@@ -144,12 +144,12 @@ def _within_nodes(many: DataFrame, reps: DataFrame, docs: DataFrame, width: int,
     return rows.join(other, "node").where(near).select(F.col("rep").alias("a"), F.col("rep_b").alias("b"))
 
 
-def _children(rows: DataFrame, part: int, whole: int) -> DataFrame:
-    """Each row of ``node, rep, component, sig`` in the child nodes its node chooses, whole / part of them on average."""
-    place = lambda j: F.pmod(F.xxhash64("node", F.lit(j)), F.lit(SIGNATURE)).cast("int")
-    child = lambda j: F.xxhash64("node", place(j), F.element_at("sig", place(j) + 1))
-    second = F.when(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(part)) < whole - part, child(1))
-    return rows.select(F.explode(F.array_distinct(F.array_compact(F.array(child(0), second)))).alias("node"), "rep", "component")
+def _children(rows: DataFrame, first: int, width: int) -> DataFrame:
+    """Each row of ``node, rep, component, sig`` in two child nodes, by two of the ``width`` positions from ``first`` that its node chooses."""
+    one = F.pmod(F.xxhash64("node", F.lit(0)), F.lit(width))
+    two = F.pmod(one + 1 + F.pmod(F.xxhash64("node", F.lit(1)), F.lit(width - 1)), F.lit(width))
+    child = lambda j: F.xxhash64("node", j, F.element_at("sig", (j + first + 1).cast("int")))
+    return rows.select(F.explode(F.array(child(one), child(two))).alias("node"), "rep", "component")
 
 
 def near_duplicates(
@@ -172,6 +172,10 @@ def near_duplicates(
     without doc_id (component_id null, kept). Rows of one doc_id are one
     document for links. Equal texts are linked; an empty table gives no rows.
     """
+    # positions of the signature that belong to each level below the openings
+    own = (SIGNATURE - trees * roots) // max(1, depth - 1)
+    if own < 2:
+        raise ValueError(f"a signature of {SIGNATURE} values is too short for {trees} trees of {depth} levels")
     sigs = cut(set_signatures(docs, width))
     parts = parts_for(docs.sparkSession, sigs.count(), PART_ROWS)
     usable = sigs.where("n_shingles > 0 and doc_id is not null")
@@ -207,7 +211,7 @@ def near_duplicates(
         pairs = new if pairs is None else pairs.union(new)
         if last:
             break
-        known = _children(many.join(reps.select("rep", "sig"), "rep"), part, whole)
+        known = _children(many.join(reps.select("rep", "sig"), "rep"), trees * roots + level * own, own)
     more = _confirmed(_likely(pairs, reps, part, whole), docs, width, part, whole, parts)
     final = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), parts=parts)
 

@@ -1,6 +1,9 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
+from leafmill.llm import neardup
 from leafmill.llm.components import connected_components
 from leafmill.llm.neardup import near_duplicates
 
@@ -71,3 +74,20 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 99), (5, 5), (None, 3)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(61)} | {99: 99, 100: 99}
+
+
+def test_pairs_at_the_threshold_survive_branching(spark):
+    rng, size, n, openings, depth = random.Random(9), neardup.SIGNATURE, 2000, 16, 6
+    rows = []
+    for i in range(n):
+        sig = [rng.randrange(1 << 30) for _ in range(size)]
+        rows += [(2 * i, sig), (2 * i + 1, [x if rng.random() < 0.75 else -x - 1 for x in sig])]
+    sigs = spark.createDataFrame(rows, "rep long, sig array<int>").cache()
+    start = F.explode(F.array(*[F.xxhash64(F.lit(j), F.col("sig")[j]) for j in range(openings)]))
+    known = sigs.select(start.alias("node"), "rep", F.col("rep").alias("component"))
+    own = (size - openings) // (depth - 1)
+    for level in range(depth - 1):
+        met = known.groupBy("node").count().where("count > 1").select("node")
+        known = neardup._children(known.join(met, "node").join(sigs, "rep"), openings + level * own, own).cache()
+    pairs = known.groupBy("node").agg(F.collect_set("rep").alias("reps")).where("size(reps) > 1").select("reps").distinct().count()
+    assert pairs == n
