@@ -146,9 +146,9 @@ def p24_job_list(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def j01_translation_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select("doc_id", F.left("text", F.lit(30)).alias("source"))
-    found = rows.where("doc_id % 3 <> 1").select("doc_id", F.when(F.expr("doc_id % 3 = 2"), "  ").otherwise(F.lower("source")).alias("target"))
-    return matching.lookup(rows, found, "doc_id", "target", F.col("source")).select("doc_id", "target")
+    rows = layout.with_ids(lines(spark, folder)).select(F.col("id").cast("long").alias("id"), F.col("text").alias("source"))
+    found = rows.where("id % 3 <> 1").select("id", F.when(F.expr("id % 3 = 2"), "  ").otherwise(F.lower("source")).alias("target"))
+    return matching.lookup(rows, found, "id", "target", F.col("source")).select("id", "target")
 
 
 @query
@@ -421,7 +421,7 @@ def t02_stall_detection(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def l01_mock_translate(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.left("text", F.lit(200)).alias("source"))
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"))
     done = jobs.translated(rows, lambda texts: [f"[{t}]" for t in texts])
     return done.select("id", F.md5("target").alias("target_md5"))
 

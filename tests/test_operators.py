@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import duckdb
@@ -147,3 +148,18 @@ def test_resume_asks_for_the_rest_only(spark, tmp_path):
 def test_chunks_do_not_depend_on_their_size(spark):
     lines = spark.createDataFrame([line(p, 0, "x") for p in range(5)], LINE)
     assert [sum(r.lines for r in batching.page_chunks(lines, n).collect()) for n in (2, 99)] == [5, 5]
+
+
+def documents(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_whole_texts_are_translated_and_looked_up(spark, tmp_path):
+    long = "Word " * 700 + "END"
+    folder = documents(spark, tmp_path, [(0, f"{long}\n{long}\n{long}", "a"), (1, "12 34", "a"), (2, "Short", "a")])
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    got = {r.id: r.target_md5 for r in QUERIES["l01_mock_translate"](spark, folder).collect()}
+    assert got == {0: md5(f"[{long}\n{long}\n{long}]"), 1: md5("12 34"), 2: md5("[Short]")}
+    got = {r.id: r.target for r in QUERIES["j01_translation_lookup"](spark, folder).collect()}
+    assert got == {0: long.lower(), 1: long, 2: long, 3: "12 34", 4: "Short"}
