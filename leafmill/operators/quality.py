@@ -51,12 +51,12 @@ def page_bodies(lines: DataFrame) -> DataFrame:
 def words_to_lines(words: DataFrame, least: float = 35.0, zoom: float = 200 / 72) -> DataFrame:
     """Recognised words joined into lines, with the box around them in points.
 
-    ``words`` has page, block_num, par_num, line_num, ord, text, conf (text),
+    ``words`` has book, page, block_num, par_num, line_num, ord, text, conf (text),
     left, top, width, height. Blank words and those of low or no confidence go.
     """
     sure = F.coalesce(F.expr("try_cast(conf as double)"), F.lit(-1.0)) >= least
     good = words.where((F.length(T.strip(F.col("text"))) > 0) & sure)
-    grouped = good.groupBy("page", "block_num", "par_num", "line_num").agg(
+    grouped = good.groupBy("book", "page", "block_num", "par_num", "line_num").agg(
         F.array_sort(F.collect_list(F.struct("ord", T.strip(F.col("text")).alias("text")))).alias("parts"),
         F.min("left").alias("x0"),
         F.min("top").alias("y0"),
@@ -64,7 +64,7 @@ def words_to_lines(words: DataFrame, least: float = 35.0, zoom: float = 200 / 72
         F.max(F.col("top") + F.col("height")).alias("y1"),
     )
     ends = [(F.col(c) / zoom).alias(c) for c in ("x0", "y0", "x1", "y1")]
-    return grouped.select("page", "block_num", "par_num", "line_num", F.concat_ws(" ", "parts.text").alias("text"), *ends)
+    return grouped.select("book", "page", "block_num", "par_num", "line_num", F.concat_ws(" ", "parts.text").alias("text"), *ends)
 
 
 def reading_order(lines: DataFrame, step: float = 5.0) -> DataFrame:

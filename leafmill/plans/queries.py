@@ -167,8 +167,8 @@ def j04_checkpoint_anti(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def j05_cache_reuse(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "documents").select("doc_id", F.md5(T.cache_key(F.col("text")).cast("binary")).alias("key"))
-    cached = rows.where("doc_id % 2 = 0").groupBy("key").agg(F.max("doc_id").alias("reused_from"))
-    return rows.where("doc_id % 2 = 1").join(cached, "key").select("doc_id", "reused_from")
+    cached = rows.groupBy("key").agg(F.min("doc_id").alias("reused_from"))
+    return rows.join(cached, "key").where("reused_from < doc_id").select("doc_id", "reused_from")
 
 
 @query
@@ -239,8 +239,8 @@ def j17_adjacent_gap(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def a03_words_to_lines(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lines(spark, folder).where("book = 'src3'")
-    words = rows.select("page", F.lit(0).alias("block_num"), F.lit(0).alias("par_num"), F.col("line_no").alias("line_num"), F.posexplode(F.split("text", " ")).alias("ord", "text"), "x0", "y0")
+    rows = lines(spark, folder)
+    words = rows.select("book", "page", F.lit(0).alias("block_num"), F.lit(0).alias("par_num"), F.col("line_no").alias("line_num"), F.posexplode(F.split("text", " ")).alias("ord", "text"), "x0", "y0")
     conf = F.when(F.expr("ord % 7 = 6"), "low").when(F.expr("ord % 5 = 4"), "12.5").otherwise("90")
     placed = words.withColumns({"conf": conf, "left": F.col("x0") + 10 * F.col("ord"), "top": F.col("y0") - F.expr("ord % 2"), "width": F.lit(9.0), "height": F.lit(12.0)})
     return quality.words_to_lines(placed, zoom=2.0)
@@ -360,7 +360,7 @@ def w12_page_chunks(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def f06_token_split(spark: SparkSession, folder: str) -> DataFrame:
     tokens = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"), F.lit(0))
-    rows = lines(spark, folder).where("line_no < 2").select("book", "page", "line_no", F.posexplode(tokens).alias("k", "token"))
+    rows = lines(spark, folder).select("book", "page", "line_no", F.posexplode(tokens).alias("k", "token"))
     return rows.select("book", "page", "line_no", "k", F.btrim("token", F.lit(T.TOKEN_EDGE)).alias("core"), F.col("token").rlike(r"^[\p{L}\p{N}_]").alias("is_word"))
 
 

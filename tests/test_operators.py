@@ -163,3 +163,12 @@ def test_whole_texts_are_translated_and_looked_up(spark, tmp_path):
     assert got == {0: md5(f"[{long}\n{long}\n{long}]"), 1: md5("12 34"), 2: md5("[Short]")}
     got = {r.id: r.target for r in QUERIES["j01_translation_lookup"](spark, folder).collect()}
     assert got == {0: long.lower(), 1: long, 2: long, 3: "12 34", 4: "Short"}
+
+
+def test_words_tokens_and_reuse_take_every_row(spark, tmp_path):
+    folder = documents(spark, tmp_path, [(0, "a b\nc\nd-e", "one"), (2, "x y", "two"), (4, "X  y", "two"), (5, "x-y", "one"), (7, "other", "two")])
+    got = {(r.book, r.page, r.line_num): r.text for r in QUERIES["a03_words_to_lines"](spark, folder).collect()}
+    assert got == {("one", 0, 0): "a b", ("one", 0, 1): "c", ("one", 0, 2): "d-e", ("one", 1, 0): "x-y", ("two", 0, 0): "x y", ("two", 1, 0): "X y", ("two", 2, 0): "other"}
+    tokens = [(r.k, r.core) for r in QUERIES["f06_token_split"](spark, folder).where("book = 'one' and page = 0 and line_no = 2").collect()]
+    assert [core for k, core in sorted(tokens) if k != 1] == ["d", "e"]
+    assert {r.doc_id: r.reused_from for r in QUERIES["j05_cache_reuse"](spark, folder).collect()} == {4: 2, 5: 2}
