@@ -32,7 +32,13 @@ ASIDE_TAGS = frozenset("nav header footer aside form menu button select dialog h
 ASIDE_MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Compounds that are marks too, whole and with single hyphens.
+ASIDE_COMPOUNDS = frozenset(
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper breadcrumb-trail comment-form comment-list comment-respond comments-area comments-section cookie-banner cookie-consent cookie-notice left-sidebar main-menu main-nav main-navigation nav-bar nav-links nav-menu page-footer pagination-links post-navigation promo-box related-articles related-posts related-stories right-sidebar search-box search-form share-bar share-buttons share-links sidebar-left sidebar-right sidebar-widget site-footer site-header site-nav site-navigation skip-link social-icons social-links social-media social-share sponsored-content top-bar top-nav widget-area".split()
+)
 MAIN_TAGS = frozenset(("article", "main"))
+#: Elements that are no asides, whatever their marks.
+NEVER_ASIDE = MAIN_TAGS | {"", "html", "body"}
 
 
 class Element:
@@ -188,7 +194,10 @@ def expression(node: list) -> str:
 def is_aside(key: str) -> bool:
     """Whether an element of this key never holds the article's text."""
     tag, _, marks = key.partition(".")
-    return tag in ASIDE_TAGS or any(w in ASIDE_MARKS or not ASIDE_MARKS.isdisjoint(re.split(r"[-_:]+", w)) for w in marks.split())
+    if tag in NEVER_ASIDE:
+        return False
+    words = (re.sub(r"[-_:]+", "-", w).strip("-") for w in marks.split())
+    return tag in ASIDE_TAGS or any(w in ASIDE_MARKS or w in ASIDE_COMPOUNDS for w in words)
 
 
 def main_paths(wrapper: list) -> list[tuple[str, ...]]:

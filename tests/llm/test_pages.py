@@ -3,7 +3,7 @@ import hashlib
 
 from leafmill.llm import warc
 from leafmill.llm.pages import extract_pages
-from leafmill.llm.wrappers import expression, main_paths, merge, parse, wrapper_of
+from leafmill.llm.wrappers import expression, main_paths, main_text, merge, parse, wrapper_of
 
 SHELL = (
     '<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>'
@@ -78,3 +78,9 @@ def test_derivatives_link_back_and_hold_their_digests(spark):
 def test_records_of_other_types_and_broken_ones(spark):
     data = [(b"WARC/1.1\r\nWARC-Type: request\r\n\r\n",), (b"",), (None,), (b"\xff\xfe",)]
     assert warc.derivatives(spark.createDataFrame(data, "record binary")).count() == 0
+
+
+def test_marks_of_the_page_and_parts_of_names_are_no_asides():
+    for page in ("<body class='right-sidebar'><main><p>Text</main>", "<body class='sidebar has-header'><div><p>Text</div>", "<main class='with-sidebar'><p>Text</main>", "<article class='post comments-open'><p>Text</article>", "<div class='no-sidebar'><p>Text</div>"):
+        tree = parse(f"<html>{page}<div class='related-posts'>More</div><div id='comments_2'>Reader</div><div class='ad'>Buy</div></html>")
+        assert main_text(tree, main_paths(wrapper_of(tree))) == "Text", page
