@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import share_file
 from leafmill.llm.lexicon import Lexicon, compile_lexicon
-from leafmill.llm.shingles import BASE, _power_table, mix64
+from leafmill.llm.shingles import span_hashes
 
 OTHER, LETTER, NUMBER, SPACE, BREAK = range(5)
 #: Code points that Unicode calls white space.
@@ -195,9 +195,7 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
                 at, size = at[first < END], size[first < END]
                 if not len(at):
                     continue
-                sums = np.zeros(len(text) + 1, np.uint64)
-                np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _power_table(BASE, len(text))[: len(text)], out=sums[1:])
-                keys = mix64((sums[at + size] - sums[at]) * _power_table(pow(BASE, -1, 1 << 64), len(text))[at])
+                keys = span_hashes(text, at, at + size)
                 _, one, n = np.unique(keys, return_index=True, return_counts=True)
                 raw = text.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([raw[i : i + k] for i, k in zip(at[one].tolist(), size[one].tolist(), strict=True)], pa.binary()), pa.array(n, pa.int64())], ["word", "n"])

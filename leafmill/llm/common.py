@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,62 @@ def share_file(spark: SparkSession, name: str, data: bytes) -> str:
         out.close()
     context.addFile(path.toString())
     return name
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: Sequence[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where each group starts (and the last ends), of rows sorted by whole-number columns.
+
+    A table has a batch or two, and as many more as its last group needs.
+    """
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(max(len(table) - 1, 0), bool)
+        for name in key:
+            values = np.asarray(table.column(name))
+            new |= values[1:] != values[:-1]
+        return np.concatenate(([0], np.flatnonzero(new) + 1))
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        ends = [tuple(batch.column(k)[i].as_py() for k in key) for i in (0, len(batch) - 1)]
+        if held and (ends[0] != last or ends[0] != ends[1]):
+            table = pa.Table.from_batches([*held, batch])
+            first = starts(table)
+            # the last group may go on
+            yield table.slice(0, first[-1]), first
+            held = table.slice(first[-1]).to_batches()
+        else:
+            held.append(batch)
+        last = ends[1]
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, np.concatenate((starts(table), [len(table)]))
+
+
+def dealt(rows: DataFrame, group: str, item: str, pieces: str) -> DataFrame:
+    """``rows`` once for each task that compares its piece of the group: with i, j and side.
+
+    A group of k ``pieces`` has tasks i <= j below k. In task i < j those of side
+    0 meet those of side 1; in task i = j all are of side 0 and meet each other.
+    """
+    own = F.pmod(F.xxhash64(group, item), F.col(pieces)).cast("int")
+    task = lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j"), (F.col("own") > k).cast("int").alias("side"))
+    placed = rows.withColumn("own", own)
+    return placed.withColumn("task", F.explode(F.transform(F.sequence(F.lit(0), F.col(pieces) - 1), task))).select("*", "task.*").drop("own", "task", pieces)
+
+
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row connected to each of n rows by the links a, b."""
+    low = np.arange(n)
+    while True:
+        least = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new

@@ -2,28 +2,48 @@
 
 Words are runs of bytes other than space and tab to carriage return, with A-Z
 lowered. A shingle is the byte string of its words joined by one space; it is
-hashed to 64 bits by a polynomial over its bytes and a final mix.
+hashed to 62 bits by polynomials over its bytes modulo two primes and a final mix.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: An odd base, so that it has an inverse modulo 2**64.
+#: An odd factor for seeds.
 BASE = 0x9E3779B97F4A7C15
-_powers: dict[int, np.ndarray] = {}
+#: Primes below 2**31, so that products of two residues fit in 64 bits, and a base for each.
+PRIMES = ((2147483647, 1331537911), (2147483629, 1840700269))
+#: Bytes whose terms can be summed without reduction.
+PLAIN = 1 << 23
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1) modulo 2**64; kept and grown."""
-    table = _powers.get(base)
+def _power_table(base: int, prime: int, n: int) -> np.ndarray:
+    """base**0 .. base**(n - 1) modulo the prime; kept and grown by doubling."""
+    table = _powers.get((base, prime))
     if table is None or len(table) < n:
-        steps = np.full(max(1 << 16, 1 << n.bit_length()), base, np.uint64)
-        steps[0] = 1
-        table = _powers[base] = np.cumprod(steps, dtype=np.uint64)
+        table = np.ones(1, np.uint64)
+        while len(table) < max(n, 1 << 16):
+            table = np.concatenate((table, table * np.uint64(pow(base, len(table), prime)) % np.uint64(prime)))
+        _powers[base, prime] = table
     return table
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of ``data[start:end]`` for bytes ``data``; equal spans have equal hashes."""
+    out = np.zeros(len(starts), np.uint64)
+    values = data.astype(np.uint64) + np.uint64(1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    for prime, base in PRIMES:
+        p = np.uint64(prime)
+        terms = values * _power_table(base, prime, len(data))[: len(data)]
+        np.cumsum(terms if len(data) <= PLAIN else terms % p, out=sums[1:])
+        # the difference of sums holds the span's first power, which its inverse takes away
+        raw = (sums[ends] - sums[starts]) % p * _power_table(pow(base, -1, prime), prime, len(data))[starts] % p
+        out = (out << np.uint64(31)) | raw
+    return mix64(out)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -48,10 +68,7 @@ def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    sums = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * _power_table(BASE, len(joined))[: len(joined)], out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _power_table(pow(BASE, -1, 1 << 64), len(joined))[starts]
-    return np.unique(mix64(raw))
+    return np.unique(span_hashes(joined, starts, ends))
 
 
 def minwise_parameters(size: int) -> tuple[np.ndarray, np.ndarray]:
