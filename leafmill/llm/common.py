@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,15 +20,23 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints that driver and executors share.
 
     It is the one that ``spark.checkpoint.dir`` names; only where that is unset
-    (tests, a laptop) a local one is made.
+    and Spark runs on one machine (tests, a laptop) a local one is made.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="leafmill-"))
     return context.getCheckpointDir()
 
 
+def remove_folder(spark: SparkSession, name: str) -> None:
+    """Delete a folder of the shared store that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """No more rows to an Arrow batch of whole texts; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -69,10 +78,14 @@ def share_file(spark: SparkSession, name: str, data: bytes) -> str:
     path = jvm.org.apache.hadoop.fs.Path(folder, name)
     files = path.getFileSystem(context._jsc.hadoopConfiguration())
     if not files.exists(path):
-        out = files.create(path, True)
+        # written apart and renamed, so that the name never stands for half a file
+        draft = jvm.org.apache.hadoop.fs.Path(folder, f"{name}.{uuid.uuid4().hex}")
+        out = files.create(draft, True)
         for i in range(0, len(data), 1 << 20):
             out.write(bytearray(data[i : i + (1 << 20)]))
         out.close()
+        if not files.rename(draft, path):
+            files.delete(draft, False)
     context.addFile(path.toString())
     return name
 

@@ -92,3 +92,19 @@ def test_mix_meets_the_targets(spark):
     again = mix_sources(df.repartition(2), bucket_rows=50).collect()
     assert sorted(map(tuple, again), key=str) == sorted(map(tuple, got), key=str)
     assert mix_sources(df.limit(0)).count() == 0
+
+
+def test_stages_take_an_empty_table(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert out.count() == 0
+        docs = out if "text" in out.columns else docs
+
+
+def test_one_row_of_a_repeated_id_stays(spark, folder):
+    words = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, words, "a"), (1, "other " + words[::-1], "b"), (1, words, "a"), (2, None, "a"), (None, words, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(tuple, corpus_pipeline.near_dedup(spark, df.repartition(n), folder).collect()), key=str) for n in (1, 3)]
+    assert got[0] == got[1] and len(got[0]) == 3
