@@ -68,6 +68,12 @@ def skip_pages(lines: DataFrame) -> DataFrame:
     return cover.unionByName(title).unionByName(toc)
 
 
+def without_pages(lines: DataFrame, skipped: DataFrame) -> DataFrame:
+    """Lines of pages that are not among the skipped ones."""
+    gone = skipped.select(F.col("book").alias("gone_book"), F.col("page").alias("gone_page")).distinct()
+    return lines.join(gone, F.col("book").eqNullSafe(F.col("gone_book")) & (F.col("page") == F.col("gone_page")), "left_anti")
+
+
 def median_gaps(lines: DataFrame, default: float = 4.0) -> DataFrame:
     """book, page, median_gap: the upper median of positive gaps between neighbouring lines."""
     before = Window.partitionBy("book", "page").orderBy("line_no")

@@ -81,7 +81,7 @@ GAPS = """
 gap_ AS (SELECT book, page, y0 - lag(y1) OVER (PARTITION BY book, page ORDER BY line_no) AS gap FROM lines),
 gaps AS (SELECT book, page, coalesce(list_sort(list(gap) FILTER (gap > 0))[count(*) FILTER (gap > 0) // 2 + 1], 4.0)::DOUBLE AS median_gap FROM gap_ GROUP BY ALL)"""
 STARTS = f"""
-kinds AS (SELECT l.*, b.body, g.median_gap, {level('l.size', 'l.text', 'b.body')} AS kind FROM lines l JOIN body b USING (book) JOIN gaps g USING (book, page)),
+kinds AS (SELECT l.*, b.body, g.median_gap, {level('l.size', 'l.text', 'b.body')} AS kind FROM lines l JOIN body b USING (book) JOIN gaps g USING (book, page) ANTI JOIN skip_ k ON k.book = l.book AND k.page = l.page),
 prev_ AS (SELECT *, lag(kind) OVER w AS pk, lag(x0) OVER w AS px0, lag(x1) OVER w AS px1, lag(y1) OVER w AS py1, min(x0) OVER (PARTITION BY book, page) AS lft,
    greatest(max(x1) OVER (PARTITION BY book, page) - min(x0) OVER (PARTITION BY book, page), 1) AS wid FROM kinds WINDOW w AS (PARTITION BY book, page ORDER BY line_no)),
 starts AS (SELECT *, CASE WHEN pk IS NULL OR pk <> kind THEN true WHEN kind <> 'para' THEN y0 - py1 > median_gap * 2.5::DOUBLE + 1
@@ -95,7 +95,10 @@ def joined(source: str, group: str, order: str) -> str:
     return f"SELECT {group}, first(kind ORDER BY {order}) AS kind, string_agg({glue}, '' ORDER BY {order}) AS text, min(y0) AS y0 FROM (SELECT *, lead(text) OVER (PARTITION BY {group} ORDER BY {order}) AS nxt FROM {source}) GROUP BY {group}"
 
 
-PARS = BODY + "," + GAPS + "," + STARTS + f""",
+SKIP = ("""
+toc_lines AS (SELECT book, page, line_no, text FROM lines),""" + TOC + """,
+skip_ AS (SELECT book, page FROM toc WHERE is_toc UNION SELECT book, min(page) FROM lines WHERE page > 0 GROUP BY book UNION SELECT book, 0 FROM lines)""")
+PARS = BODY + "," + GAPS + "," + SKIP + "," + STARTS + f""",
 pars AS ({joined('nos', 'book, page, par_no', 'line_no')})"""
 CROSS = PARS + f""",
 on_ AS (SELECT *, coalesce(kind = 'para' AND lag(kind) OVER w = 'para' AND NOT {like("lag(text) OVER w", T.SENTENCE_END)} AND {like('text', T.LOWER_START)}, false) AS c FROM pars WINDOW w AS (PARTITION BY book ORDER BY page, par_no)),
@@ -156,10 +159,10 @@ ORACLES: dict[str, str] = {
       WHEN {key('text')} IN (SELECT {key('text')} FROM pars WHERE page % 3 = 0) THEN 'cached' ELSE 'needed' END AS state FROM pars""",
     "p10_length_ranges": f"SELECT ord, term, length(term) BETWEEN 2 AND 60 AND length(value) BETWEEN 1 AND 80 AS kept FROM {V(L.GLOSSARY)}",
     "p24_job_list": f"SELECT job_id, status, progress, name, count(*) FILTER (status IN ('queued', 'processing')) OVER () AS active, coalesce(nullif(trim(fixed_key), ''), nullif(trim(slot_key), ''), 'none') AS resolved FROM {V(L.JOBS)}",
-    "j01_translation_lookup": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND trim(left(text, 30)) <> '' THEN trim(lower(left(text, 30)), chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) ELSE left(text, 30) END AS target FROM documents",
+    "j01_translation_lookup": f"WITH {IDS} SELECT id::BIGINT AS id, CASE WHEN id % 3 = 0 THEN {strip('lower(text)')} ELSE text END AS target FROM ids",
     "j03_zip_results": f"WITH {LINES} SELECT book, page, line_no, length(text)::INTEGER AS value FROM lines",
     "j04_checkpoint_anti": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
-    "j05_cache_reuse": f"SELECT a.doc_id, max(b.doc_id) AS reused_from FROM documents a JOIN documents b ON {key('a.text')} = {key('b.text')} WHERE a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY a.doc_id",
+    "j05_cache_reuse": f"SELECT doc_id, reused_from FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {key('text')}) AS reused_from FROM documents) WHERE reused_from < doc_id",
     "j06_glossary_merge": f"WITH g AS (SELECT term, (array_agg(value ORDER BY ord))[1] AS value FROM {V(L.GLOSSARY)} WHERE length(value) > 0 GROUP BY term) SELECT coalesce(g.term, p.term) AS term, coalesce(g.value, p.term) AS value FROM g FULL JOIN {V(L.PINS)} p ON g.term = p.term",
     "j07_active_job_semi": f"SELECT s.file_hash, s.layout, s.submit, (SELECT min(job_id) FROM {V(L.JOBS)} j WHERE j.file_hash = s.file_hash AND j.layout = s.layout AND j.status IN ('queued', 'processing')) AS reused FROM {V(L.SUBMITS)} s",
     "t07_duplicate_texts": "SELECT doc_id, first_doc FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_doc FROM documents) WHERE doc_id <> first_doc",
@@ -183,8 +186,8 @@ ORACLES: dict[str, str] = {
       SELECT t.name, (SELECT (array_agg(value ORDER BY ord))[1] FROM n WHERE length(norm) >= 3 AND (norm = lower(orig) OR (length(norm) >= 6 AND levenshtein(norm, lower(orig)) <= 2))) AS override FROM t""",
     "j13_image_placement": f"WITH {PARS}, i AS (SELECT book, page, id AS image_id, (y0 + y1) / 2 AS y FROM (WITH {BOXES} SELECT * FROM boxes) WHERE image) SELECT i.book, i.page, i.image_id, max(p.par_no)::BIGINT AS anchor FROM i LEFT JOIN pars p ON p.book = i.book AND p.page = i.page AND p.y0 <= i.y GROUP BY ALL",
     "j17_adjacent_gap": f"WITH {LINES}, {GAPS} SELECT * FROM gaps",
-    "a03_words_to_lines": f"""WITH {LINES}, w AS (SELECT page, line_no, x0, y0, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS k FROM lines WHERE book = 'src3')
-      SELECT page, 0 AS block_num, 0 AS par_num, line_no AS line_num, string_agg(word, ' ' ORDER BY k) AS text, min(x0 + 10 * k) / 2 AS x0, min(y0 - k % 2) / 2 AS y0, max(x0 + 10 * k + 9) / 2 AS x1, max(y0 - k % 2 + 12) / 2 AS y1
+    "a03_words_to_lines": f"""WITH {LINES}, w AS (SELECT book, page, line_no, x0, y0, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) - 1 AS k FROM lines)
+      SELECT book, page, 0 AS block_num, 0 AS par_num, line_no AS line_num, string_agg(word, ' ' ORDER BY k) AS text, min(x0 + 10 * k) / 2 AS x0, min(y0 - k % 2) / 2 AS y0, max(x0 + 10 * k + 9) / 2 AS x1, max(y0 - k % 2 + 12) / 2 AS y1
       FROM w WHERE word <> '' AND k % 7 <> 6 AND k % 5 <> 4 GROUP BY ALL""",
     "a05_body_size": f"WITH {BODY} SELECT * FROM body",
     "a06_repeated_headers": f"WITH {LINES}, {HEADERS} SELECT * FROM headers",
@@ -219,7 +222,7 @@ ORACLES: dict[str, str] = {
     "w08_segments": f"""WITH {PARS}, s AS (SELECT *, sum(CASE WHEN kind = 'h1' AND rn > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY page, par_no) AS segment FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY page, par_no) AS rn FROM pars))
       SELECT book, page, par_no::BIGINT AS par_no, segment::BIGINT AS segment, kind = 'para' AND coalesce(lag(kind) OVER (PARTITION BY book, segment ORDER BY page, par_no) <> 'para', false) AS unindented FROM s""",
     "w12_page_chunks": f"WITH {LINES} SELECT book, (page // 40)::BIGINT AS chunk, min(page) AS first_page, max(page) AS last_page, count(*) AS lines FROM lines GROUP BY book, page // 40",
-    "f06_token_split": f"""WITH {LINES}, t AS (SELECT book, page, line_no, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')) AS token, (generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), 1) - 1)::INTEGER AS k FROM lines WHERE line_no < 2)
+    "f06_token_split": f"""WITH {LINES}, t AS (SELECT book, page, line_no, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+')) AS token, (generate_subscripts(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), 1) - 1)::INTEGER AS k FROM lines)
       SELECT book, page, line_no, k, trim(token, {q(T.TOKEN_EDGE)}) AS core, regexp_matches(token, '^[\\p{{L}}\\p{{N}}_]') AS is_word FROM t""",
     "f11_html_escape": "WITH e AS (SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS x FROM pages) SELECT page_id, md5(x) AS escaped_md5, length(x) AS n FROM e",
     "f12_json_extract": "SELECT event_id, coalesce(nullif(regexp_extract('Sure:' || chr(10) || props || chr(10) || 'bye', '(?s)\\{.*\\}'), ''), '{}') AS object FROM events",
@@ -232,7 +235,7 @@ ORACLES: dict[str, str] = {
     "t02_stall_detection": """WITH e AS (SELECT user_id, epoch(ts)::BIGINT AS s FROM (SELECT user_id, date_trunc('second', ts) AS ts FROM events)), g AS (SELECT user_id, s, s - lag(s) OVER (PARTITION BY user_id ORDER BY s) AS gap FROM e),
       j AS (SELECT user_id, count(*) AS beats, coalesce(max(gap), 0) AS longest_gap, max(s) - min(s) AS elapsed FROM g GROUP BY user_id)
       SELECT *, CASE WHEN elapsed > 27 * 86400 THEN 'over time' WHEN longest_gap > 3 * 86400 THEN 'stalled' ELSE 'alive' END AS verdict FROM j""",
-    "l01_mock_translate": f"SELECT doc_id AS id, md5(CASE WHEN regexp_matches(x, '\\p{{L}}') THEN '[' || x || ']' ELSE x END) AS target_md5 FROM (SELECT doc_id, coalesce(left(text, 200), '') AS x FROM documents)",
+    "l01_mock_translate": f"SELECT doc_id AS id, md5(CASE WHEN regexp_matches(x, '\\p{{L}}') THEN '[' || x || ']' ELSE x END) AS target_md5 FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)",
     "l03_glossary_filter": f"SELECT term, (array_agg(value ORDER BY ord DESC))[1] AS value FROM {V(L.GLOSSARY)} WHERE length(term) BETWEEN 2 AND 60 AND length(value) BETWEEN 1 AND 80 AND NOT ({garbled('term')}) AND NOT ({garbled('value')}) GROUP BY term",
     "s01_block_transform": f"SELECT * FROM (SELECT block::BIGINT AS block, {strip(chr(39).join(['replace(regexp_replace(text, ', '-', ' || chr(10) || ', '([а-яёїієґ])', ', ', chr(92) + '1', ', ', 'g', '), chr(10), ', ' ', ')']))} AS text FROM {V(L.SPANS)} WHERE kind = 0) WHERE text <> '' UNION ALL SELECT doc_id + 1000, md5({strip('replace(text, chr(10), chr(32))')}) FROM documents",
     "s03_first_pages": f"WITH {LINES} SELECT book, page, sum(length(text))::BIGINT AS chars, count(*) AS lines FROM lines WHERE page < 6 GROUP BY ALL",
@@ -247,7 +250,7 @@ ORACLES: dict[str, str] = {
     "k04_book_plan": f"""WITH {PARS} SELECT DISTINCT book, 'cover' AS section, 1 AS section_no, 0 AS page, 0::BIGINT AS par_no, book AS text FROM pars
       UNION ALL SELECT book, 'contents', 2, page, par_no::BIGINT, left(text, 90) FROM pars WHERE kind <> 'para' UNION ALL SELECT book, 'body', 3, page, par_no::BIGINT, md5(text) FROM pars""",
     "k08_template_rule": f"WITH {LINES} SELECT book, CASE WHEN count(*) <= 2 THEN 'centred' WHEN count(*) = 3 THEN 'top' ELSE 'band' END AS template, (array_agg(line_no ORDER BY length(text) DESC, line_no))[1] AS accent FROM lines WHERE page = 0 GROUP BY book",
-    "k14_preview_rows": f"""WITH {LINES} SELECT book, page, line_no, '{{"page":' || page || ',"size":' || trunc(size)::INTEGER || ',"chars":' || length(text) || '}}' AS row FROM lines WHERE page < 2""",
+    "k14_preview_rows": f"""WITH {IDS} SELECT book, page, line_no, id::BIGINT AS id, '{{"id":' || id || ',"page":' || page || ',"size":' || trunc(size)::INTEGER || ',"chars":' || length(text) || '}}' AS row, md5(text) AS original_md5, md5(CASE WHEN id % 3 = 0 THEN lower(text) ELSE text END) AS translated_md5 FROM ids""",
     "m03_pixel_bbox": f"SELECT block, CASE WHEN count(*) >= 25 THEN min(y) ELSE 0 END AS top, CASE WHEN count(*) >= 25 THEN max(y) + 1 ELSE 60 END AS bottom FROM {V(L.MASK)} WHERE v GROUP BY block",
     "o06_top_by_count": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS token FROM documents) WHERE length(token) > 2 GROUP BY token ORDER BY n DESC, token LIMIT 60",
     "u04_seen_dedup": f"WITH {IDS} SELECT book, md5(text) AS key, min(id) AS first_id, count(*) AS n FROM ids GROUP BY book, text HAVING count(*) > 1",

@@ -31,8 +31,9 @@ def clean_lines(spark: SparkSession, folder: str, fraction: float = 0.02) -> Dat
 
 
 def flow(spark: SparkSession, folder: str) -> DataFrame:
+    """Headings and paragraphs of each book, without its cover, title and contents pages."""
     rows = lines(spark, folder)
-    return reflow.paragraphs(rows, reflow.body_size(rows))
+    return reflow.paragraphs(reflow.without_pages(rows, reflow.skip_pages(rows)), reflow.body_size(rows))
 
 
 @query
@@ -517,8 +518,10 @@ def k08_template_rule(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def k14_preview_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = lines(spark, folder).where("page < 2").select("book", "page", "line_no", F.to_json(F.struct("page", F.col("size").cast("int").alias("size"), F.length("text").alias("chars"))).alias("row"))
-    return rows
+    rows = layout.with_ids(lines(spark, folder)).withColumn("id", F.col("id").cast("long"))
+    target = F.when(F.expr("id % 3 = 0"), F.lower("text")).when(F.expr("id % 3 = 1"), "").otherwise(F.lit(None))
+    row = F.to_json(F.struct("id", "page", F.col("size").cast("int").alias("size"), F.length("text").alias("chars")))
+    return rows.select("book", "page", "line_no", "id", row.alias("row"), F.md5("text").alias("original_md5"), F.md5(T.either(target, F.col("text"))).alias("translated_md5"))
 
 
 @query
