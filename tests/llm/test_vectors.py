@@ -1,24 +1,26 @@
 import numpy as np
 import pytest
 
-from leafmill.llm.vectors import near_vectors, rotated
+from leafmill.llm.vectors import Space, coded, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n long, key string"
 
 
 def brute(rows, cosine=0.95):
-    good = [(i, np.array(v, float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]
-    size = max(len(v) for _, v in good)
-    good = [(i, np.float32(v).astype(float)) for i, v in good if len(v) == size]
-    u = np.array([v / np.linalg.norm(v) for _, v in good])
-    near = (u @ u.T >= cosine) & ~np.eye(len(u), dtype=bool)
-    low = np.array([i for i, _ in good])
-    while True:
-        new = np.minimum(low, np.where(near, low[None, :], low.max()).min(axis=1))
-        if (new == low).all():
-            break
-        low = new
-    return {i: (int(k), int(c), i == c) for (i, _), k, c in zip(good, near.sum(axis=1), low, strict=True)}
+    good = [(i, np.float32(v).astype(float)) for i, v in rows if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(np.array(v, float))]
+    out = {}
+    for size in {len(v) for _, v in good}:
+        same = [(i, v) for i, v in good if len(v) == size]
+        u = np.array([v / np.linalg.norm(v) for _, v in same])
+        near = (u @ u.T >= cosine) & ~np.eye(len(u), dtype=bool)
+        low = np.array([i for i, _ in same])
+        while True:
+            new = np.minimum(low, np.where(near, low[None, :], low.max()).min(axis=1))
+            if (new == low).all():
+                break
+            low = new
+        out |= {i: (int(k), int(c), i == c) for (i, _), k, c in zip(same, near.sum(axis=1), low, strict=True)}
+    return out
 
 
 def some_vectors(size=16):
@@ -30,7 +32,7 @@ def some_vectors(size=16):
             rows.append((n, [float(x) for x in base + rng.normal(size=size) * rng.choice([0, 0.1, 0.2, 0.25])]))
             n += 1
     rows += [(n, rows[3][1]), (n + 1, [x * 3.0 for x in rows[3][1]])]
-    rows += [(n + 2, None), (n + 3, [0.0] * size), (n + 4, [float("nan")] * size), (n + 5, [1.0] * (size - 1)), (n + 6, []), (n + 7, [None] + [1.0] * (size - 1)), (n + 8, [float("inf")] * size)]
+    rows += [(n + 2, None), (n + 3, [0.0] * size), (n + 4, [float("nan")] * size), (n + 5, [1.0] * (size - 1)), (n + 9, [2.0] * (size - 1)), (n + 10, [1.0] * (3 * size)), (n + 6, []), (n + 7, [None] + [1.0] * (size - 1)), (n + 8, [float("inf")] * size)]
     return rows
 
 
@@ -50,7 +52,30 @@ def test_repeated_rows_and_missing_ids(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
-def test_rotation_does_not_depend_on_the_batch():
-    x = np.random.default_rng(3).normal(size=(50, 64))
+def test_cells_do_not_depend_on_the_batch():
+    codes, _ = coded(np.random.default_rng(3).normal(size=(50, 64)))
+    where = Space(64, 0.95, 36, 2.4)
+    assert (where.turned(codes)[7:8] == where.turned(codes[7:8])).all()
+    assert (where.cells(where.turned(codes))[7:8] == where.cells(where.turned(codes[7:8]))).all()
+
+
+@pytest.mark.parametrize(("cosine", "least"), [(0.9501, 0.98), (0.96, 0.995), (0.98, 0.9999)])
+def test_recall_of_pairs_by_their_cosine(cosine, least):
+    rng, n = np.random.default_rng(4), 4000
+    x = rng.normal(size=(n, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    assert (rotated(x)[7:8] == rotated(x[7:8])).all()
+    away = rng.normal(size=(n, 64))
+    away -= np.einsum("ij,ij->i", away, x)[:, None] * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1)[:, None]
+    codes, _ = coded(np.concatenate((x, y)) / np.abs(np.concatenate((x, y))).max(axis=1)[:, None])
+    where = Space(64, 0.95, 36, 2.4)
+    assert (where.first_grid(where.turned(codes), np.arange(n), np.arange(n) + n) >= 0).mean() >= least
+
+
+def test_few_pairs_of_unlike_vectors_share_a_cell():
+    rng, where = np.random.default_rng(5), Space(64, 0.95, 36, 2.4)
+    for n in (2_000, 20_000):
+        codes, _ = coded(rng.normal(size=(n, 64)) / 5)
+        cells = where.cells(where.turned(codes))
+        met = sum(int((c * (c - 1) // 2).sum()) for g in range(cells.shape[1]) for c in [np.unique(cells[:, g], return_counts=True)[1]])
+        assert met < 0.05 * n * (n - 1) / 2
