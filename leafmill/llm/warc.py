@@ -27,12 +27,13 @@ DERIVED_SCHEMA = (
     "response_id string, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, "
     "content_length long, block_digest string, payload_digest string, block string, record binary"
 )
-_DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)")
-_BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>")
-_TAG = re.compile(r"</?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>")
-_TITLE = re.compile(r"(?is)<title\b[^>]*>(.*?)</title")
-_LANG = re.compile(r"(?is)<html\b[^>]*\blang\s*=\s*[\"']?([A-Za-z-]+)")
-_LINK = re.compile(r"(?is)<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+# no pattern looks past the next "<", so pages of broken tags cost no more than their length
+_DROPPED = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|head|noscript|template|svg|iframe)\b[^<>]*>.*?(?:</\1\s*>|\Z)")
+_BLOCK = re.compile(r"(?i)</?(?:address|article|aside|blockquote|br|caption|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^<>]*>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|<![^<>]*>|<\?[^<>]*>")
+_TITLE, _TITLE_END = re.compile(r"(?i)<title\b[^<>]*>"), re.compile(r"(?i)</title")
+_LANG = re.compile(r"(?i)<html\b[^<>]*\blang\s*=\s*[\"']?([A-Za-z-]+)")
+_LINK = re.compile(r"(?i)<a\b[^<>]*?\bhref\s*=\s*(?:\"([^\"<]*)\"|'([^'<]*)'|([^\s\"'<>]+))")
 
 
 def digest(data: bytes) -> str:
@@ -70,8 +71,8 @@ def page_text(source: str) -> str:
 def page_fields(source: str, target: str) -> list[tuple[str, str]]:
     """Title, language and distinct outlinks in page order."""
     fields = []
-    if found := _TITLE.search(source):
-        fields.append(("title", " ".join(html.unescape(found[1]).split())))
+    if (opened := _TITLE.search(source)) and (closed := _TITLE_END.search(source, opened.end())):
+        fields.append(("title", " ".join(html.unescape(source[opened.end() : closed.start()]).split())))
     if found := _LANG.search(source):
         fields.append(("language", found[1].lower()))
     try:
@@ -136,7 +137,8 @@ def derivatives(records: DataFrame, column: str = "record") -> DataFrame:
 
     Other columns stay in front; those named as the new ones are replaced.
     Records of other types, empty and null ones give no rows; repeated records
-    give repeated rows.
+    give repeated rows; an empty table gives none. Payloads are read whole; a tag
+    without its end before the next "<" is text.
     """
     names = [f.split(" ")[0] for f in DERIVED_SCHEMA.split(", ")]
     carried = [f for f in records.schema.fields if f.name not in names and f.name != column]

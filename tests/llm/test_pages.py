@@ -1,5 +1,8 @@
 import base64
 import hashlib
+import time
+
+from pyspark.sql import functions as F
 
 from leafmill.llm import warc
 from leafmill.llm.pages import extract_pages
@@ -75,6 +78,36 @@ def test_derivatives_link_back_and_hold_their_digests(spark):
     assert fields.count("outlink:") == 2
 
 
+def test_hostile_payloads_cost_their_length():
+    began = time.process_time()
+    for piece in ("<a ", "<a href=\"", "<title>", "<script ", "<!--", "<div ", "</p", "<html lang ", "&#", "<a href=x "):
+        source = piece * (1_000_000 // len(piece))
+        warc.page_fields(source, "http://h.example/")
+        warc.page_text(source)
+    assert time.process_time() - began < 40
+
+
+def test_derived_rows_equal_a_plain_reading(spark):
+    body = "<html LANG=uk><head><title> A &amp; B </title></head><body><a href=/x>1 < 2</a><A HREF='y#z'>y</A><script><a href=no></script><p>One<p>Two" + " word" * 200_000
+    records = warc.responses_of_pages(spark.createDataFrame([(7, "http://h.example/d/", body)], "page_id long, url string, html string"))
+    clashing = records.withColumn("block", F.lit("own")).withColumn("warc_type", F.lit(3)).withColumn("extra", F.lit("kept"))
+    rows = {r.warc_type: r for r in warc.derivatives(clashing).collect()}
+    source = hashlib.sha1(body.encode()).digest()
+    digest = "sha1:" + base64.b32encode(source).decode()
+    fields = rows["metadata"].block.split("\r\n")
+    assert fields[0] == "http-status: HTTP/1.1 200 OK" and fields[2] == f"source-payload-digest: {digest}" and fields[3] == f"source-length: {len(body)}"
+    assert fields[4:8] == ["title: A & B", "language: uk", "outlink: http://h.example/x", "outlink: http://h.example/d/y#z"]
+    assert rows["conversion"].block == "1 < 2y\nOne\nTwo" + " word" * 200_000
+    for kind, r in rows.items():
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        block = r.block.encode()
+        assert rest == block + b"\r\n\r\n" and r.extra == "kept"
+        lines = head.decode().split("\r\n")
+        assert lines[0] == "WARC/1.1" and f"WARC-Type: {kind}" in lines and f"WARC-Refers-To: {r.refers_to}" in lines and f"Content-Length: {len(block)}" in lines
+        assert "WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode() in lines and f"WARC-Payload-Digest: {digest}" in lines
+    assert warc.derivatives(clashing.limit(0)).count() == 0
+
+
 def test_records_of_other_types_and_broken_ones(spark):
     data = [(b"WARC/1.1\r\nWARC-Type: request\r\n\r\n",), (b"",), (None,), (b"\xff\xfe",)]
     assert warc.derivatives(spark.createDataFrame(data, "record binary")).count() == 0
