@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut
-from leafmill.llm.wrappers import main_paths, main_text, merge, parse, wrapper_of
+from leafmill.llm.wrappers import blocks, digest, main_text, merge, parse, rules_of, wrapper_of
 
-#: Wrappers of all hosts are sent to every task up to so many characters, else joined.
+#: Rules of all hosts are sent to every task up to so many characters, else joined.
 SENT_CHARS = 8_000_000
-#: Parts of a host's wrapper that are merged apart before they meet.
-PARTS = 16
+#: Wrappers that one task aligns.
+ALIGNED = 200
+#: A text is the template's on this share of a host's different pages, and on so many at least.
+TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
 
 
 def host_of(url: Column) -> Column:
@@ -24,43 +26,80 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-@lru_cache(2000)
-def _paths(wrapper: str) -> list[tuple[str, ...]]:
-    return main_paths(json.loads(wrapper))
+def read_pages(pages: DataFrame) -> DataFrame:
+    """host, page (digest), wrapper (JSON) and slots (path, digest, chars, links) of each page."""
 
-
-def host_wrappers(pages: DataFrame) -> DataFrame:
-    """host, wrapper (JSON): aligned over all pages of the host.
-
-    Tasks align their own pages of a host first; the parts are then aligned in
-    a bounded number of groups, and those with each other.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64()), ("chars", pa.int64()), ("links", pa.int64())]))
+        for batch in batches:
+            names, wrappers, slots = [], [], []
+            for source in batch.column(1).to_pylist():
+                root = parse(source or "")
+                found: dict[tuple[str, int], list[int]] = {}
+                for path, text, links in blocks(root):
+                    sums = found.setdefault((path, digest(f"{path}\n{text}")), [0, 0])
+                    sums[0] += len(text)
+                    sums[1] += links
+                names.append(digest(source or ""))
+                wrappers.append(json.dumps(wrapper_of(root)))
+                slots.append([{"path": p, "text": t, "chars": c, "links": k} for (p, t), (c, k) in found.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.int64()), pa.array(wrappers, pa.string()), pa.array(slots, kind)], ["host", "page", "wrapper", "slots"])
+
+    rows = pages.select(host_of(F.col("url")).alias("host"), "html")
+    return rows.mapInArrow(run, "host string, page long, wrapper string, slots array<struct<path:string,text:long,chars:long,links:long>>")
+
+
+def host_wrappers(read: DataFrame) -> DataFrame:
+    """host, wrapper: the different wrappers of a host's pages aligned, however the pages are dealt.
+
+    Wrappers are aligned in groups of bounded size by their digests, in order,
+    and the results likewise until each host has one.
     """
 
-    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, list] = {}
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(map(json.dumps, found.values()), pa.string())], ["host", "wrapper"])
-
-        for batch in batches:
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                new = wrapper_of(parse(source or ""))
-                found[host] = merge(found[host], new) if host in found else new
-                if len(found) >= 5000:
-                    yield out()
-                    found.clear()
-        yield out()
-
-    def across(table: pa.Table) -> pa.Table:
+    def align(table: pa.Table) -> pa.Table:
         whole = None
         for text in sorted(table.column("wrapper").to_pylist()):
             whole = json.loads(text) if whole is None else merge(whole, json.loads(text))
         return pa.table({"host": [table.column("host")[0].as_py()], "wrapper": [json.dumps(whole)]})
 
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(within, "host string, wrapper string")
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(PARTS)))
-    once = parts.groupBy("host", "part").applyInArrow(across, "host string, wrapper string")
-    return cut(once.groupBy("host").applyInArrow(across, "host string, wrapper string"))
+    rows = cut(read.select("host", "wrapper").distinct())
+    while True:
+        counts = cut(rows.groupBy("host").agg(F.count("*").alias("n")))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return rows
+        parts = F.ceil(F.col("n") / F.lit(float(ALIGNED)))
+        grouped = rows.join(counts, "host").select("host", "wrapper", F.pmod(F.xxhash64("wrapper"), parts).alias("part"))
+        rows = cut(grouped.groupBy("host", "part").applyInArrow(align, "host string, wrapper string"))
+
+
+def host_rules(pages: DataFrame) -> DataFrame:
+    """host, starts, drop and template: where each host's article is, by its wrapper and what its slots hold.
+
+    Equal pages of a host count once, so copies of a page make no template.
+    """
+    read = cut(read_pages(pages))
+    wrappers = host_wrappers(read)
+    once = read.select("host", "page", "slots").dropDuplicates(["host", "page"])
+    n_pages = once.groupBy("host").agg(F.count("*").alias("n_pages"))
+    texts = once.select("host", F.inline("slots")).groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    fixed = F.col("n") >= F.greatest(F.lit(TEMPLATE_PAGES), F.ceil(F.col("n_pages") * F.lit(TEMPLATE_SHARE)))
+    judged = texts.join(n_pages, "host").withColumn("fixed", fixed)
+    template = F.collect_list(F.when(F.col("fixed"), F.col("text")))
+    paths = judged.groupBy("host", "path").agg(F.sum(F.when(F.col("fixed"), 0).otherwise(F.col("chars"))).alias("chars"), F.sum(F.when(F.col("fixed"), 0).otherwise(F.col("links"))).alias("links"), template.alias("fixed_texts"))
+    slots = paths.groupBy("host").agg(F.collect_list(F.struct("path", "chars", "links")).alias("slots"), F.flatten(F.collect_list("fixed_texts")).alias("template"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, drops = [], []
+            for wrapper, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                start, drop = rules_of(json.loads(wrapper), {x["path"]: (x["chars"], x["links"]) for x in found or ()})
+                starts.append(start)
+                drops.append(drop)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(pa.string())), pa.array(drops, pa.list_(pa.string())), batch.column(3)], ["host", "starts", "drop", "template"])
+
+    joined = wrappers.join(slots, "host", "left").select("host", "wrapper", "slots", "template")
+    return cut(joined.mapInArrow(run, "host string, starts array<string>, drop array<string>, template array<long>"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -68,17 +107,25 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     References are decoded, white space in a block is one blank, blocks are
     joined by two newlines. Null and empty html have an empty text; pages of a
-    null or malformed url are one host; repeated rows stay; an empty table gives
-    no rows.
+    null or malformed url are one host; repeated rows stay; very long and deep
+    pages are read whole; other columns are left out; an empty table gives no
+    rows.
     """
-    wrappers = host_wrappers(pages)
-    small = (wrappers.agg(F.sum(F.length("wrapper")).alias("n")).first()["n"] or 0) <= SENT_CHARS
+    rules = host_rules(pages)
+    size = F.length(F.concat_ws("", "starts", "drop")) + 8 * F.size(F.coalesce("template", F.array().cast("array<bigint>")))
+    small = (rules.agg(F.sum(size).alias("n")).first()["n"] or 0) <= SENT_CHARS
     named = pages.select(F.col("page_id").cast("long"), "url", "html", host_of(F.col("url")).alias("host"))
-    joined = named.join(F.broadcast(wrappers) if small else wrappers, "host", "left")
+    joined = named.join(F.broadcast(rules) if small else rules, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(2000)
+        def sets(starts: tuple, drop: tuple, template: tuple) -> tuple[frozenset, frozenset, frozenset]:
+            return frozenset(starts), frozenset(drop), frozenset(template)
+
         for batch in batches:
-            texts = [main_text(parse(source or ""), _paths(wrapper)) for source, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = []
+            for source, *rule in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                texts.append(main_text(parse(source or ""), *sets(*(tuple(x or ()) for x in rule))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return joined.select("page_id", "url", "html", "wrapper").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "starts", "drop", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -3,32 +3,43 @@
 A page is a tree of block elements with text slots. Equal neighbours fold into
 one repeated group. Two wrappers are aligned level by level: what both have is
 merged, what one lacks becomes optional, runs of equal members become repeated.
-Merging is how the pages of one host, and parts of them in any grouping, become
-the host's wrapper.
+Aligning the different trees of a host's pages gives the host's wrapper.
+
+What a wrapper's slots hold over all pages of the host tells what they are: slots
+of one text are the template's, repeated groups of links are lists of links, the
+element whose slots vary most holds the article.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
+# no part but short quoted values looks past the next "<"
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>"
+    r"<!--"
+    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title)\b[^<>]*>"
+    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"<]*\"|'[^'<]*'|\"[^\"]{0,1000}\"|'[^']{0,1000}'|[^<>])*+)>"
+    r"|<[!?][^<>]*>"
     r"|[^<]+|<",
-    re.IGNORECASE | re.DOTALL,
+    re.IGNORECASE,
 )
+RAW_ENDS = {"!": re.compile("-->")} | {t: re.compile(f"</{t}\\b[^<>]*>?", re.IGNORECASE) for t in "script style noscript template svg iframe textarea title".split()}
 MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A tag of these ends an open element of the named tags.
 ENDS = {t: ("p",) for t in "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
 ENDS |= {"li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "option": ("option",)}
+#: Elements further down are siblings of the one at this depth; their text stays.
+DEPTH = 100
+#: Members of a level up to which two wrappers are aligned as they are.
+LEVEL = 300
 #: Elements that never hold the article's text.
 ASIDE_TAGS = frozenset("nav header footer aside form menu button select dialog head input".split())
+#: Names of elements that are asides unless they hold most of a host's varying text.
 ASIDE_MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
@@ -37,12 +48,12 @@ ASIDE_COMPOUNDS = frozenset(
     "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper breadcrumb-trail comment-form comment-list comment-respond comments-area comments-section cookie-banner cookie-consent cookie-notice left-sidebar main-menu main-nav main-navigation nav-bar nav-links nav-menu page-footer pagination-links post-navigation promo-box related-articles related-posts related-stories right-sidebar search-box search-form share-bar share-buttons share-links sidebar-left sidebar-right sidebar-widget site-footer site-header site-nav site-navigation skip-link social-icons social-links social-media social-share sponsored-content top-bar top-nav widget-area".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
-#: Elements that are no asides, whatever their marks.
+#: Elements that are no asides, whatever their names.
 NEVER_ASIDE = MAIN_TAGS | {"", "html", "body"}
 
 
 class Element:
-    """A block element of a page; children are elements and texts."""
+    """A block element of a page; children are elements and pairs of a text and whether it is a link's."""
 
     __slots__ = ("children", "marks", "tag")
 
@@ -57,16 +68,25 @@ class Element:
 def parse(source: str) -> Element:
     """The tree of block elements; scripts, styles, comments and inline tags are left out."""
     root = Element("", "")
-    stack = [root]
-    for m in TOKEN.finditer(source):
+    stack, at, link = [root], 0, False
+    while at < len(source):
+        m = TOKEN.match(source, at)
+        at = m.end()
+        if m[0] == "<!--" or m["raw"]:
+            # without an end they go on to the end of the page, as browsers have it
+            found = RAW_ENDS["!" if m["raw"] is None else m["raw"].lower()].search(source, at)
+            at = found.end() if found else len(source)
+            continue
         tag = m["tag"]
         if tag is None:
-            if m["raw"] is None and m[0][:2] not in ("<!", "<?"):
-                stack[-1].children.append(m[0])
+            if m[0][:2] not in ("<!", "<?"):
+                stack[-1].children.append((m[0], link))
             continue
         tag = tag.lower()
         if tag == "br":
-            stack[-1].children.append(" ")
+            stack[-1].children.append((" ", link))
+        if tag == "a":
+            link = not m["end"]
         if tag in INLINE or tag in VOID:
             continue
         if m["end"]:
@@ -75,6 +95,7 @@ def parse(source: str) -> Element:
                     del stack[depth:]
                     break
             continue
+        link = False
         for closed in ENDS.get(tag, ()):
             # only up to the nearest element that holds others of this kind
             for depth in range(len(stack) - 1, 0, -1):
@@ -85,35 +106,64 @@ def parse(source: str) -> Element:
                     break
         marks = " ".join(sorted({re.sub(r"\d+", "", w) for x in MARKS.findall(m["attrs"]) for w in "".join(x).lower().split()} - {""})) if m["attrs"] else ""
         element = Element(tag, marks)
+        if len(stack) > DEPTH:
+            stack.pop()
         stack[-1].children.append(element)
         if not m[0].endswith("/>"):
             stack.append(element)
     return root
 
 
-def blocks(element: Element, keep: dict[int, bool] | None = None) -> Iterator[tuple[Element, str]]:
-    """Blocks of text in page order, each with its element; white space is one blank."""
-    text: list[str] = []
+def blocks(element: Element, path: tuple[str, ...] = (), drop: frozenset[str] | None = None, starts: frozenset[str] | None = None) -> Iterator[tuple[str, str, int]]:
+    """Path, text and characters in links of each block, in page order; white space is one blank.
+
+    Elements that :func:`aside` tells by ``drop``, the paths that are dropped or
+    (after a "+") spared, are left out; none if it is None. With ``starts``, only blocks in elements
+    of these paths are given.
+    """
+    place, text, links = "/".join(path), [], 0
+    inside = starts is None or place in starts
+    below = None if inside else starts
 
-    def flush() -> Iterator[tuple[Element, str]]:
+    def flush() -> Iterator[tuple[str, str, int]]:
+        nonlocal links
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
-            if joined:
-                yield element, joined
+            if joined and inside:
+                yield place, joined, min(links, len(joined))
+            links = 0
 
     for child in element.children:
-        if isinstance(child, str):
-            text.append(child)
+        if isinstance(child, tuple):
+            text.append(child[0])
+            links += len(child[0].strip()) if child[1] else 0
         else:
             yield from flush()
-            if keep is None or keep.get(id(child), True):
-                yield from blocks(child, keep)
+            down = (*path, child.key)
+            if drop is None or not aside(child.key, "/".join(down), drop):
+                yield from blocks(child, down, drop, below)
     yield from flush()
 
 
-# A wrapper node is [key, optional, repeated, pages, chars, children]; the key of
-# a text slot is "#", that of a group of members "(" and their keys.
+def aside(key: str, place: str, drop: frozenset[str]) -> bool:
+    """Whether an element is left out: by its tag, by the host's wrapper, or by its name where the wrapper does not spare it."""
+    tag, _, marks = key.partition(".")
+    if tag in NEVER_ASIDE:
+        return False
+    if tag in ASIDE_TAGS or place in drop:
+        return True
+    words = (re.sub(r"[-_:]+", "-", w).strip("-") for w in marks.split())
+    return f"+{place}" not in drop and any(w in ASIDE_MARKS or w in ASIDE_COMPOUNDS for w in words)
+
+
+def digest(text: str) -> int:
+    """A text as a signed number of 64 bits."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+# A wrapper node is [key, optional, repeated, children]; the key of a text slot is
+# "#", that of a group of members "(" and their keys.
 
 
 def _fold(nodes: list[list]) -> list[list]:
@@ -136,7 +186,7 @@ def _fold(nodes: list[list]) -> list[list]:
             while [n[0] for n in out[j : j + period]] == keys:
                 members = [merge(a, b) for a, b in zip(members, out[j : j + period], strict=True)]
                 j += period
-            out[i:j] = [["(" + " ".join(keys), False, True, members[0][3], sum(n[4] for n in members), members]]
+            out[i:j] = [["(" + " ".join(keys), False, True, members]]
             i += 1
     return out
 
@@ -145,25 +195,46 @@ def wrapper_of(element: Element) -> list:
     """The wrapper that one page is."""
     nodes = []
     for child in element.children:
-        if isinstance(child, str):
-            size = len(child.strip())
-            if size:
-                nodes.append(["#", False, False, 1, size, []])
+        if isinstance(child, tuple):
+            if child[0].strip():
+                nodes.append(["#", False, False, []])
         else:
             nodes.append(wrapper_of(child))
-    folded = _fold(nodes)
-    return [element.key, False, False, 1, sum(n[4] for n in folded), folded]
+    return [element.key, False, False, _bounded(_fold(nodes))]
 
 
 def merge(a: list, b: list) -> list:
     """The wrapper of the pages of both; keys are equal."""
-    return [a[0], a[1] or b[1], a[2] or b[2], a[3] + b[3], a[4] + b[4], _align(a[5], b[5])]
+    return [a[0], a[1] or b[1], a[2] or b[2], _align(a[3], b[3])]
+
+
+def _bounded(nodes: list[list]) -> list[list]:
+    """A level of many members as one repeated member of each key, in order of appearance; over LEVEL keys, of each tag."""
+    for name in (lambda n: n[0], lambda n: n[0].partition(".")[0] if n[0][:1] != "(" else "("):
+        if len(nodes) <= LEVEL:
+            break
+        kept: dict[str, list] = {}
+        for node in nodes:
+            key = name(node)
+            one = [key if key != "(" else node[0], True, True, node[3]]
+            kept[key] = [one[0], True, True, _align(kept[key][3], one[3])] if key in kept else one
+        nodes = list(kept.values())
+    return nodes
 
 
 def _align(a: list[list], b: list[list]) -> list[list]:
     """Members of both in one order; those that one side lacks are optional."""
-    if [n[0] for n in a] == [n[0] for n in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+    first = 0
+    while first < min(len(a), len(b)) and a[first][0] == b[first][0]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[-1 - last][0] == b[-1 - last][0]:
+        last += 1
+    head = [merge(x, y) for x, y in zip(a[:first], b[:first], strict=True)]
+    tail = [merge(x, y) for x, y in zip(a[len(a) - last :], b[len(b) - last :], strict=True)]
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
+    if not a and not b:
+        return head + tail
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
         for j in range(len(b) - 1, -1, -1):
@@ -180,99 +251,93 @@ def _align(a: list[list], b: list[list]) -> list[list]:
         else:
             out.append(optional(b[j]))
             j += 1
-    return _fold(out)
+    return _bounded(_fold(head + out + tail))
 
 
 def expression(node: list) -> str:
     """The wrapper as a regular expression."""
-    inner = " ".join(map(expression, node[5]))
+    inner = " ".join(map(expression, node[3]))
     text = "#" if node[0] == "#" else f"({inner})" if node[0][:1] == "(" else f"<{node[0]}>{inner}</>" if node[0] else inner
     sign = ("*" if node[1] else "+") if node[2] else "?" if node[1] else ""
     return f"({text}){sign}" if sign else text
 
 
-def is_aside(key: str) -> bool:
-    """Whether an element of this key never holds the article's text."""
-    tag, _, marks = key.partition(".")
-    if tag in NEVER_ASIDE:
-        return False
-    words = (re.sub(r"[-_:]+", "-", w).strip("-") for w in marks.split())
-    return tag in ASIDE_TAGS or any(w in ASIDE_MARKS or w in ASIDE_COMPOUNDS for w in words)
+def members(node: list, repeated: bool = False) -> Iterator[tuple[list, bool]]:
+    """The elements and slots of a level, those of groups among them, and whether they repeat."""
+    for child in node[3]:
+        if child[0][:1] == "(":
+            yield from members(child, True)
+        else:
+            yield child, repeated or child[2]
 
 
-def main_paths(wrapper: list) -> list[tuple[str, ...]]:
-    """Paths of the elements that hold the article.
+def rules_of(wrapper: list, slots: dict[str, tuple[int, int]]) -> tuple[list[str], list[str]]:
+    """Paths of the elements that hold a host's article; and paths to drop, or to spare after a "+".
 
-    Those are ``article`` and ``main`` elements outside asides; without one, the
-    lowest element that has most of the text outside asides and stands in most
-    pages.
+    ``slots`` has, by path, the characters of texts that vary over the host's
+    pages, and those of them in links. Lists are dropped that repeat a member and
+    are links for the most part. Elements of an aside's name are spared if they
+    hold half of the text. The article is in ``article`` and ``main`` elements;
+    without one, in the lowest element that has most of the text.
     """
-    found: list[tuple[str, ...]] = []
-
-    def members(node: list) -> Iterator[list]:
-        for child in node[5]:
-            if child[0][:1] == "(":
-                yield from members(child)
-            else:
-                yield child
-
-    def chars(node: list) -> int:
-        return sum(c[4] if c[0] == "#" else 0 if is_aside(c[0]) else chars(c) for c in members(node))
+    sums: dict[str, tuple[int, int]] = {}
+    for place, (text, links) in slots.items():
+        keys = place.split("/")
+        if not any(k.partition(".")[0] in ASIDE_TAGS for k in keys):
+            for n in range(len(keys) + 1):
+                up = "/".join(keys[:n])
+                t, k = sums.get(up, (0, 0))
+                sums[up] = (t + text, k + links)
+                if up == place:
+                    break
+    whole = sums.get("", (0, 0))[0]
+    drop: list[str] = []
+
+    def lists(node: list, path: tuple[str, ...]) -> None:
+        text, links = sums.get("/".join(path), (0, 0))
+        inner = [(child, repeated) for child, repeated in members(node) if child[0] != "#"]
+        if path and text and links * 10 >= text * 7 and node[0].partition(".")[0] not in NEVER_ASIDE and any(repeated for _, repeated in inner):
+            drop.append("/".join(path))
+        for child, _ in inner:
+            lists(child, (*path, child[0]))
+
+    lists(wrapper, ())
+    dropped = set(drop)
+    spared = ["+" + p for p, (t, _) in sums.items() if p and t * 2 >= whole and p not in dropped and aside(p.rpartition("/")[2], p, frozenset())]
+    out = frozenset(drop) | frozenset(spared)
+    found: list[str] = []
+
+    def below(node: list, path: tuple[str, ...]) -> Iterator[tuple[list, bool, tuple[str, ...]]]:
+        for child, repeated in members(node):
+            if child[0] != "#" and not aside(child[0], "/".join((*path, child[0])), out):
+                yield child, repeated, (*path, child[0])
 
     def search(node: list, path: tuple[str, ...]) -> None:
-        for child in members(node):
-            if child[0] == "#" or is_aside(child[0]):
-                continue
+        for child, _, down in below(node, path):
             if child[0].partition(".")[0] in MAIN_TAGS:
-                found.append((*path, child[0]))
+                found.append("/".join(down))
             else:
-                search(child, (*path, child[0]))
+                search(child, down)
 
     search(wrapper, ())
     if found:
-        return found
-    node, path, whole = wrapper, (), chars(wrapper)
-    while True:
-        lower = [c for c in members(node) if c[0] != "#" and not c[2] and not is_aside(c[0]) and chars(c) * 10 >= whole * 6 and c[5] and any(x[0] != "#" for x in members(c))]
-        if not lower or not whole:
-            return [path]
-        node = max(lower, key=chars)
-        path = (*path, node[0])
-
-
-def main_text(root: Element, paths: list[tuple[str, ...]]) -> str:
-    """Blocks of the elements at the paths, asides left out, joined by blank lines.
-
-    A page without such an element gives the text of its whole body outside asides.
+        return found, sorted(out)
+    node, path = wrapper, ()
+    while whole:
+        lower = [(sums.get("/".join(down), (0, 0))[0], child, down) for child, repeated, down in below(node, path) if not repeated and any(x[0] != "#" for x, _ in members(child))]
+        lower = [x for x in lower if x[0] * 10 >= whole * 6]
+        if not lower:
+            break
+        _, node, path = max(lower, key=lambda x: x[0])
+    return ["/".join(path)], sorted(out)
+
+
+def main_text(root: Element, starts: frozenset[str], drop: frozenset[str], template: frozenset[int] = frozenset()) -> str:
+    """Blocks of the elements that hold the article, joined by blank lines, without those of the template.
+
+    In ``article`` and ``main`` elements no text is taken for the template's. A
+    page without such an element gives the text of its whole body.
     """
-    keep: dict[int, bool] = {}
-
-    def mark(element: Element) -> None:
-        for child in element.children:
-            if not isinstance(child, str):
-                keep[id(child)] = not is_aside(child.key)
-                if keep[id(child)]:
-                    mark(child)
-
-    def at(element: Element, path: tuple[str, ...]) -> Iterator[Element]:
-        if not path:
-            yield element
-            return
-        for child in element.children:
-            if not isinstance(child, str) and child.key == path[0]:
-                yield from at(child, path[1:])
-
-    mark(root)
-    wanted = {id(e) for p in paths for e in at(root, p)}
-    starts: list[Element] = []
-
-    def ordered(element: Element) -> None:
-        if id(element) in wanted:
-            starts.append(element)
-            return
-        for child in element.children:
-            if not isinstance(child, str):
-                ordered(child)
-
-    ordered(root)
-    return "\n\n".join(text for start in starts or [root] for _, text in blocks(start, keep))
+    found = list(blocks(root, (), drop, starts)) or list(blocks(root, (), drop))
+    marked = lambda place: any(k.partition(".")[0] in MAIN_TAGS for k in place.split("/"))
+    return "\n\n".join(text for place, text, _ in found if marked(place) or digest(f"{place}\n{text}") not in template)

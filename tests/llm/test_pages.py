@@ -1,12 +1,14 @@
 import base64
 import hashlib
+import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
 from leafmill.llm import warc
 from leafmill.llm.pages import extract_pages
-from leafmill.llm.wrappers import expression, main_paths, main_text, merge, parse, wrapper_of
+from leafmill.llm.wrappers import blocks, expression, main_text, merge, parse, rules_of, wrapper_of
 
 SHELL = (
     '<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>'
@@ -19,6 +21,16 @@ def page(body, items=1):
     return SHELL.format(body=body, li='<li><a href="/b?x=1&amp;y=2">B</a></li>' * items)
 
 
+def alone(source):
+    """The text of a page that is its host's only one."""
+    root, slots = parse(source), {}
+    for path, text, links in blocks(root):
+        t, k = slots.get(path, (0, 0))
+        slots[path] = (t + len(text), k + links)
+    starts, drop = rules_of(wrapper_of(root), slots)
+    return main_text(root, frozenset(starts), frozenset(drop))
+
+
 def test_wrapper_of_pages_is_union_free():
     a = wrapper_of(parse("<ul><li>1<li>2<li>3</ul><p>x"))
     b = wrapper_of(parse("<ul><li>1</ul><h1>t</h1><p>x<p>y"))
@@ -28,8 +40,69 @@ def test_wrapper_of_pages_is_union_free():
 
 
 def test_main_without_article_is_the_element_with_most_text():
-    tree = parse('<div class="top">short</div><div id="content"><p>' + "long text " * 20 + "<p>more</div><footer>f</footer>")
-    assert main_paths(wrapper_of(tree)) == [("div.content",)]
+    assert alone('<div class="top">short</div><div id="content"><p>' + "long text " * 20 + "<p>more</div><footer>f</footer>") == ("long text " * 20).strip() + "\n\nmore"
+
+
+def pattern(node):
+    """The wrapper as a Python pattern over a page's tokens."""
+    inner = "".join(map(pattern, node[3]))
+    text = "(?:#)" if node[0] == "#" else f"(?:{inner})" if node[0][:1] == "(" else f"(?:{re.escape('<' + node[0] + '>')}{inner}</>)"
+    return text + (("*" if node[1] else "+") if node[2] else "?" if node[1] else "")
+
+
+def tokens(element):
+    out = []
+    for child in element.children:
+        if isinstance(child, tuple):
+            if child[0].strip() and out[-1:] != ["#"]:
+                out.append("#")
+        else:
+            out.append(tokens(child))
+    return f"<{element.key}>{''.join(out)}</>"
+
+
+def test_wrappers_match_all_pages_they_are_made_of():
+    rng = random.Random(8)
+
+    def some(depth):
+        return "".join(f"<{t}>{some(depth - 1)}</{t}>" if depth and rng.random() < 0.6 else rng.choice(["x", "<br>y", ""]) for t in rng.choices(["div", "ul", "li", "section"], k=rng.randint(0, 4)))
+
+    for _ in range(150):
+        trees = [parse(some(3)) for _ in range(rng.randint(2, 5))]
+        whole = wrapper_of(trees[0])
+        for t in trees[1:]:
+            whole = merge(whole, wrapper_of(t))
+        for t in trees:
+            assert re.fullmatch(pattern(whole), tokens(t)), (expression(whole), tokens(t))
+
+
+def test_slots_tell_template_from_article(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice("ka lo mi ter un ves ra so".split()) + str(rng.randrange(99)) for _ in range(n))
+    rows, expected = [], {}
+    for i in range(8):
+        story = [words(40), words(30)]
+        links = "".join(f"<li><a href=/{k}>{words(2)}</a>" for k in range(5))
+        rows.append((i, f"http://h.example/{i}", f"<body><div class=x1>Welcome to this site, read on</div><div class=box><div class='sidebar'><p>{story[0]}<p>Sign the guest book<p>{story[1]}<ul>{links}</ul></div></div><div class=x2>{words(3)}</div>"))
+        expected[i] = "\n\n".join(story)
+    rows += [(100 + k, *rows[0][1:]) for k in range(30)]  # copies of a page make no template
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [{r.page_id: r.text for r in extract_pages(df.repartition(n)).collect()} for n in (1, 5)]
+    assert got[0] == got[1]
+    assert {i: got[0][i] for i in range(8)} == expected and {got[0][100 + k] for k in range(30)} == {expected[0]}
+
+
+def test_deep_broken_and_many_formed_pages(spark):
+    began = time.process_time()
+    for piece in ("<a ", "<div ", '<a "', "<a '", "<!--", "<script>", "<div>", "<p class='", "</div", "<"):
+        alone(piece * (300_000 // len(piece)) + "text")
+    assert time.process_time() - began < 60
+    deep = "<article>" + "<div>" * 10_000 + "<p>inner text here" + "</div>" * 10_000 + "<p>after"
+    assert alone(deep) == "inner text here\n\nafter"
+    assert alone("<article><p>if a<b then c <em>d</em></article>") == "if a<b then c d"
+    rows = [(i, "http://h.example/", f"<div class=h{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}x><b>t</b></div>" * 3 + f"<article><p>Text {i}</article>") for i in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    assert {r.page_id: r.text for r in extract_pages(df).collect()} == {i: f"Text {i}" for i in range(900)}
 
 
 def test_extracts_articles(spark):
@@ -114,6 +187,5 @@ def test_records_of_other_types_and_broken_ones(spark):
 
 
 def test_marks_of_the_page_and_parts_of_names_are_no_asides():
-    for page in ("<body class='right-sidebar'><main><p>Text</main>", "<body class='sidebar has-header'><div><p>Text</div>", "<main class='with-sidebar'><p>Text</main>", "<article class='post comments-open'><p>Text</article>", "<div class='no-sidebar'><p>Text</div>"):
-        tree = parse(f"<html>{page}<div class='related-posts'>More</div><div id='comments_2'>Reader</div><div class='ad'>Buy</div></html>")
-        assert main_text(tree, main_paths(wrapper_of(tree))) == "Text", page
+    for page in ("<body class='right-sidebar'><main><p>Text</main>", "<body class='sidebar has-header'><div><p>Text</div>", "<main class='with-sidebar'><p>Text</main>", "<article class='post comments-open'><p>Text</article>", "<div class='no-sidebar'><p>Text</div>", "<body class='no-sidebar'><article><p>Text</article>", "<div class='content ad-free'><p>Text</div>", "<div class='post-header'><h1>Text</h1></div>"):
+        assert alone(f"<html>{page}<div class='related-posts'>More</div><div id='comments_2'>Reader</div><div class='ad'>Buy</div></html>") == "Text", page
