@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import share_file
+from leafmill.llm.common import cut, share_file
 from leafmill.llm.lexicon import Lexicon, compile_lexicon
 from leafmill.llm.shingles import span_hashes
 
@@ -34,6 +34,8 @@ WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 END = 0x110000
 #: Characters, and rows of a batch, that are worked on together; a longer text is one piece.
 CHUNK, ROWS = 1 << 18, 512
+#: Counts below it have a step of the histogram each.
+EXACT = 1 << 14
 
 
 @cache
@@ -204,10 +206,11 @@ def count_words(docs: DataFrame, path: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, max_words: int = 100_000, max_bytes: int = 40) -> bytes:
-    """The lexicon of the corpus's ``max_words`` most frequent words of up to ``max_bytes``.
+    """The lexicon of the corpus's most frequent words of up to ``max_bytes``, ``max_words`` at most.
 
-    All words are counted over all texts; only the bounded top comes to the
-    driver, with its ids.
+    All words are counted over all texts. A histogram of the counts gives the
+    least count that no more than ``max_words`` words reach; only those come to
+    the driver, with their ids.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +219,16 @@ def build_lexicon(docs: DataFrame, path: str, max_words: int = 100_000, max_byte
             ids = [model.merge(w.as_py()) for w in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
 
-    top = count_words(docs, path).where(F.length("word") <= max_bytes).orderBy(F.desc("n"), "word").limit(max_words)
+    # counts as they are up to EXACT, then in steps of a 64th of an octave
+    step = F.when(F.col("n") < EXACT, F.col("n")).otherwise(EXACT + F.floor((F.log2(F.col("n").cast("double")) - F.log2(F.lit(float(EXACT)))) * 64)).cast("long")
+    counts = cut(count_words(docs, path).where(F.length("word") <= max_bytes).select("word", step.alias("step")))
+    least, reached = None, 0
+    for r in sorted(counts.groupBy("step").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["step"]):
+        reached += r["words"]
+        if reached > max_words:
+            break
+        least = r["step"]
+    top = counts.where(F.col("step") >= least) if least is not None else counts.limit(0)
     rows = sorted((bytes(r.word), r.ids) for r in top.select("word").repartition(8).mapInArrow(run, "word binary, ids array<int>").collect())
     return compile_lexicon([w for w, _ in rows], [i for _, i in rows])
 

@@ -67,6 +67,15 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "Zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
 
@@ -110,6 +119,25 @@ NOTICES = {
 }
 
 
+#: Digests of the canonical whole texts of licences that are too long to be written out.
+DIGESTS = {
+    "Apache-2.0": "e6a451dce42ab8d4680fad924e570785da0232bff29f75285ec562220504b2da",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "BSD-3-Clause (University of California)": "e7cef7bf7fa468dad67b0345cdedf22643539a39a84e2e3b3b200a694a0eeda4",
+    "CC0-1.0": "3543dcc60a0402f26a4bfa9890d41c38c4cf6d3ca2012ae9953b6c9770a79449",
+    "GFDL-1.2": "07179cfcd9a4a8c813d9d848fafbb889944994ba7e14682cccfdfb0258ab358b",
+    "GFDL-1.3": "b80512237f0c36267b1d3cc7c4561b7b488d75e4ec311c0c3846662fa876b3c7",
+    "GPL-1.0": "07e35989b8c661d8800dfc45970de9dcd52e89926237a84d13f70bc25b2aef06",
+    "GPL-2.0": "0ce2ec434621e8b524eb73b37b809db0c85d81170422c600d5e992895bdb62a4",
+    "GPL-3.0": "bde7dce1462614d86bf512aefc2f65abb0bd1a13e740e5a9bd37f40e76c62500",
+    "LGPL-2.0": "4e4c201e61b07a193d1b2f635eee11a25cf8e86f9013649686a32c34ba49203e",
+    "LGPL-2.1": "ff1cc550dc018c7f5876b89f0ec29a2135a96d39920d20e68e45087dbfb8bfce",
+    "LGPL-3.0": "256195cdc3866b92e131c85ab83be64a70cdb25bbef30d9ba20f9e203a0898c0",
+    "MPL-1.1": "186489fb387b90436e4cd81466b39e9a16761884816412695a1e4ba709f61573",
+    "MPL-2.0": "b58a5e7569edec43100cb87489425cf6cc7f001aad18aad7de2f6327e043bad1",
+}
+
+
 def canonical_line(line: Column) -> Column:
     """Lower case, blanks for all but letters and digits, equal spellings; '' for dropped lines."""
     plain = F.concat(F.btrim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
@@ -124,14 +152,17 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(lines, lambda x: (x != "") & ~x.isin(*TITLES) & ~x.rlike(COPYRIGHT))
 
 
-def known_digests(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """sha256, license of known texts; the table is as short as the mapping."""
+def known_digests(docs: DataFrame, texts: dict[str, str], digests: dict[str, str] | None = None) -> DataFrame:
+    """canonical_sha256, license of known texts and digests; the table is as short as the mappings."""
     known = docs.sparkSession.createDataFrame([(v, k) for k, v in texts.items()], "text string, license string")
     lines = canonical_lines(F.col("text"))
-    return known.select(F.sha2(F.concat_ws(" ", lines), 256).alias("canonical_sha256"), "license").dropDuplicates(["canonical_sha256"])
+    found = known.select(F.sha2(F.concat_ws(" ", lines), 256).alias("canonical_sha256"), "license")
+    if digests:
+        found = found.union(docs.sparkSession.createDataFrame([(v, k) for k, v in digests.items()], found.schema))
+    return found.dropDuplicates(["canonical_sha256"])
 
 
-def scan_licenses(docs: DataFrame, texts: dict[str, str] = TEXTS, notices: dict[str, str] = NOTICES) -> DataFrame:
+def scan_licenses(docs: DataFrame, texts: dict[str, str] = TEXTS, notices: dict[str, str] = NOTICES, digests_known: dict[str, str] = DIGESTS) -> DataFrame:
     """doc_id, canonical_sha256, license_id, n_notices and notice_ids of each document.
 
     license_id: the known licence that the entire text is, else null.
@@ -150,7 +181,7 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] = TEXTS, notices: dict[
     short = F.filter("lines", lambda x: F.length(x) <= longest)
     found = F.array_compact(F.transform(short, lambda x: F.try_element_at(lookup, F.sha2(x, 256))))
     scanned = rows.select("doc_id", F.sha2(F.concat_ws(" ", "lines"), 256).alias("canonical_sha256"), found.alias("found"))
-    known = known_digests(docs, texts).withColumnRenamed("license", "license_id")
+    known = known_digests(docs, texts, digests_known).withColumnRenamed("license", "license_id")
     return scanned.join(F.broadcast(known), "canonical_sha256", "left").select(
         "doc_id",
         "canonical_sha256",
@@ -160,7 +191,7 @@ def scan_licenses(docs: DataFrame, texts: dict[str, str] = TEXTS, notices: dict[
     )
 
 
-def scan_sql(table: str, texts: dict[str, str] = TEXTS, notices: dict[str, str] = NOTICES) -> str:
+def scan_sql(table: str, texts: dict[str, str] = TEXTS, notices: dict[str, str] = NOTICES, digests_known: dict[str, str] = DIGESTS) -> str:
     """DuckDB SQL for the rows of :func:`scan_licenses`."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     line = "trim(regexp_replace(lower(x), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' ') || ' '"
@@ -170,7 +201,7 @@ def scan_sql(table: str, texts: dict[str, str] = TEXTS, notices: dict[str, str]
     values = lambda d, known: ", ".join(f"({quote(k)}, {quote(v)})" for k, v in (((v, k) for k, v in d.items()) if known else d.items()))
     return f"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {lines} AS lines FROM {table}),
-t AS (SELECT sha256(array_to_string({lines}, ' ')) AS h, license FROM (VALUES {values(texts, True)}) v(text, license)),
+t AS (SELECT sha256(array_to_string({lines}, ' ')) AS h, license FROM (VALUES {values(texts, True)}) v(text, license) UNION ALL VALUES {values(digests_known, True)}),
 n AS (SELECT sha256(array_to_string({lines}, ' ')) AS h, license FROM (VALUES {values(notices, False)}) v(text, license)),
 f AS (SELECT rid, count(*) AS n_notices, string_agg(DISTINCT license, ',' ORDER BY license) AS notice_ids
       FROM (SELECT rid, unnest(lines) AS line FROM d) JOIN n ON sha256(line) = n.h GROUP BY rid)

@@ -6,13 +6,16 @@ weighted sampling without replacement. A source's budget is spent on complete
 epochs first; what is left of it goes to the documents with the smallest keys,
 found by prefix sums.
 
-No task sees a whole source. Keys fall into ordered buckets of about
-``bucket_rows`` rows; sums of buckets give the running total before each bucket,
-and only rows within one bucket are sorted together.
+No task sees a whole source. The logarithm of an exponential key has a density of
+at most 1 / e, whatever the weights and however they are mixed, so cutting it into
+equal steps gives ordered buckets of ``bucket_rows`` rows at most, on average. Sums
+of buckets give the running total before each bucket, and only rows within one
+bucket are sorted together.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -77,7 +80,7 @@ def mix_sources(
     words. Returns doc_id, source, size, source_size, target, epochs (times the
     document enters the mix), taken (= epochs * size). Empty and null texts have
     size 0 and take 0; equal rows are sampled as separate rows of equal key, in
-    which ties break by size; an empty table gives no rows. The same rows give
+    which ties break by size; texts are counted whole, other columns are left out; an empty table gives no rows. The same rows give
     the same mix on every run.
     """
     key = sampling_key(F.col("doc_id"), F.col("text"), quality_weight(F.col("text")), seed)
@@ -94,9 +97,8 @@ def mix_sources(
     targets = source_targets(sizes, weights, limit)
     full = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(limit))).otherwise(F.lit(0)).cast("long")
     budgets = targets.withColumn("full", full).withColumn("rest", F.greatest(F.col("target") - F.col("full") * F.col("source_size"), F.lit(0.0)))
-    buckets = F.ceil(F.col("n_docs") / F.lit(float(bucket_rows)))
-    # 1 - exp(-key) grows with the key, so buckets are intervals of keys
-    bucket = F.least(buckets - 1, F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * buckets)).cast("long")
+    steps = F.greatest(F.lit(1.0), F.col("n_docs") / F.lit(math.e * bucket_rows))
+    bucket = F.floor(F.log("key") * steps).cast("long")
     rows = base.join(F.broadcast(budgets) if sizes.count() <= SENT_SOURCES else budgets, "skey").withColumn("bucket", bucket)
     spent = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("bucket_size"))
     earlier = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

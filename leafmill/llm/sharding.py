@@ -122,7 +122,8 @@ def kd_shards(docs: DataFrame, *, shards: int = 24, slack: float = 0.01, slot_ro
     hash block and doc_id). ``slack`` is the part of a shard's bytes by which
     one cut may miss its quantile; a group of equal texts is only divided where
     it is heavier. Null metadata forms a code of its own, equal
-    rows are separate rows, an empty table gives no rows.
+    rows are separate rows, texts are weighed whole, other columns are left out,
+    an empty table gives no rows.
     """
     points = cut(metadata_points(docs))
     spans = [f(c).alias(f"{f.__name__}_{c}") for c in DIMS for f in (F.min, F.max)]

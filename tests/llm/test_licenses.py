@@ -1,6 +1,8 @@
 import hashlib
+from pathlib import Path
 
 import duckdb
+import pytest
 
 from leafmill.llm.licenses import NOTICES, TEXTS, scan_licenses, scan_sql
 
@@ -41,3 +43,19 @@ def test_known_texts_in_other_dress(spark):
 def test_every_notice_is_found(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(NOTICES)], "doc_id long, text string")
     assert {r.doc_id: r.notice_ids for r in scan_licenses(df).collect()} == dict(enumerate(NOTICES.values()))
+
+
+#: Licences that Debian systems have as files, by their identifiers.
+FILES = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not Path("/usr/share/common-licenses").is_dir(), reason="no licence files here")
+def test_long_licences_by_their_digests(spark):
+    texts = [(Path("/usr/share/common-licenses") / f).read_text() for f in FILES]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    rows += [(100 + i, "Copyright 2020 Some One\n" + t.replace("license", "licence").replace("  ", " ").upper()) for i, t in enumerate(texts)]
+    rows += [(200 + i, t[:-200]) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.license_id for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    names = list(FILES.values())
+    assert [got[i] for i in range(len(names))] == names == [got[100 + i] for i in range(len(names))]
+    assert all(got[200 + i] is None for i in range(len(names)))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from leafmill.llm import classifier, rules
-from leafmill.llm.stats import COUNTS, FEATURES, text_stats
+from leafmill.llm.stats import COUNTS, FEATURES, text_stats, with_stats
 
 
 def brute_counts(text):
@@ -110,3 +110,20 @@ def test_forest_is_monotone_and_flat_arrays_agree():
         grid[:, f] = np.tile(np.linspace(0, 1, 30), 20)
         steps = np.diff(forest.margin(grid).reshape(20, 30), axis=1)
         assert (steps <= 1e-9).all()
+
+
+def test_ridge_equals_a_direct_solution(tables):
+    docs, labels = tables
+    stats = [(r.doc_id, text_stats(r.text)[1]) for r in docs.collect()]
+    truth = {}
+    for r in labels.collect():
+        if r.quality in (0, 1):
+            truth[r.doc_id] = max(r.quality, truth.get(r.doc_id, 0))
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    rows = [(x, truth[i]) for i, x in stats if i is not None and i in truth and fold(i) not in (0, 4)]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    model = classifier.fit(with_stats(docs).select("doc_id", "stat_features"), labels)
+    f = model.features(x)
+    penalty = np.full(f.shape[1], 1e-3 * len(y) / (f.shape[1] - 1))
+    penalty[-1] = 1e-9
+    assert np.allclose(model.raw(x), f @ np.linalg.solve(f.T @ f + np.diag(penalty), f.T @ y), atol=1e-6)

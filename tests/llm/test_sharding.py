@@ -2,7 +2,7 @@ import random
 import zlib
 from collections import defaultdict
 
-from leafmill.llm.sharding import kd_shards
+from leafmill.llm.sharding import DIMS, kd_shards, metadata_points
 
 
 def rows(n=1500):
@@ -35,3 +35,35 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(1, "a", "en", "s"), (2, "a", "en", "s")], "doc_id long, text string, lang string, source string")
     assert {r.slot for r in kd_shards(df).collect()} <= {0, 1}
     assert kd_shards(df.limit(0)).count() == 0
+
+
+def brute_tree(points, shards):
+    """Shards of (doc_id, size) by a k-d tree built row by row."""
+    span = lambda rows, c: max(r[c] for r in rows) - min(r[c] for r in rows)
+    whole = {c: max(1, span(points, c)) for c in DIMS}
+
+    def build(rows, k, first):
+        if k == 1 or not rows:
+            return {(r.doc_id, r["size"]): first for r in rows}
+        widest = max(DIMS, key=lambda c: (span(rows, c) / whole[c], -DIMS.index(c)))
+        goal = sum(r["size"] for r in rows) * (k // 2) / k
+        left, total = [], 0
+        ordered = sorted(rows, key=lambda r: (r[widest], r.spread))
+        for r in ordered:
+            if total + r["size"] >= goal:
+                # a key that goes over the goal as a whole is cut by rows, the last to its nearer side
+                if goal - total > 1e-6 and (total + r["size"] - goal <= 1e-6 or 2 * (goal - total) >= r["size"]):
+                    left.append(r)
+                break
+            left.append(r)
+            total += r["size"]
+        return build(left, k // 2, first) | build(ordered[len(left) :], k - k // 2, first + k // 2)
+
+    return build(points, shards, 0)
+
+
+def test_equals_a_tree_built_row_by_row(spark):
+    data = [r for r in rows(700) if r[0] is not None]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string").dropDuplicates(["doc_id"]).cache()
+    expected = brute_tree(metadata_points(df).collect(), 7)
+    assert {(r.doc_id, r["size"]): r.shard for r in kd_shards(df, shards=7, slack=1e-12).collect()} == expected
