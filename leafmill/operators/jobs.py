@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 
 ACTIVE = ("queued", "processing")
-#: Columns of a job that no answer shows.
-HIDDEN = ("path", "src_texts", "params", "file_hash", "started", "last_progress", "cancel", "abort_reason", "api_key")
+#: Columns of a job that no answer shows.
+HIDDEN = ("path", "src_texts", "params", "file_hash", "started", "last_progress", "cancel", "abort_reason", "_api_key")
 
 
 class Translator(Protocol):
@@ -67,7 +67,7 @@ def translated(rows: DataFrame, translator: Translator, key: str = "id", budget:
         except Exception:
             found = []
         if len(found) == len(texts):
-            return [f.strip() or t for f, t in zip(found, texts, strict=True)]
+            return [(f or "").strip() or t for f, t in zip(found, texts, strict=True)]
         return list(texts) if len(texts) == 1 else [ask([t])[0] for t in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,3 +94,57 @@ def resumed(rows: DataFrame, checkpoint: DataFrame, translator: Translator, key:
     joined = rows.join(saved, F.col(key).cast("string") == F.col("saved_key"), "left")
     cached = joined.where("saved_key is not null").select(F.col(key).cast("long").alias(key), "source", "target")
     return cached.unionByName(translated(joined.where("saved_key is null").select(key, "source"), translator, key))
+
+
+class Editor(Protocol):
+    """Corrects some drafts at a time, given pairs of a source and its draft; one text out for each in."""
+
+    def __call__(self, pairs: list[tuple[str, str]]) -> list[str]: ...
+
+
+def proofread(rows: DataFrame, editor: Editor, key: str = "id", budget: int = 2500) -> DataFrame:
+    """key, source, draft, target: drafts as an editor leaves them.
+
+    Batches hold up to ``budget`` characters of sources and drafts. A draft stays
+    where the answer is blank, of another number of texts, or fails; blank
+    drafts are not sent. A ClientError stops the run.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            pairs, out, batch, used = list(zip(frame["source"], frame["draft"], strict=True)), [], [], 0
+
+            def ask(batch: list[tuple[str, str]]) -> list[str]:
+                try:
+                    found = editor(batch) if batch else []
+                except ClientError:
+                    raise
+                except Exception:
+                    found = []
+                return [(f or "").strip() or d for f, (_, d) in zip(found, batch, strict=True)] if len(found) == len(batch) else [d for _, d in batch]
+
+            for pair in pairs:
+                size = len(pair[0]) + len(pair[1])
+                if batch and used + size > budget:
+                    out += ask(batch)
+                    batch, used = [], 0
+                batch.append(pair)
+                used += size
+            yield frame.assign(target=out + ask(batch))
+
+    named = rows.select(F.col(key).cast("long").alias(key), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("draft", F.lit("")).alias("draft"))
+    real = F.length(T.strip(F.col("draft"))) > 0
+    done = named.where(real).mapInPandas(run, f"{key} long, source string, draft string, target string")
+    return done.unionByName(named.where(~real).withColumn("target", F.col("draft")))
+
+
+def rebuilt(rows: DataFrame, cached: DataFrame, key: str = "cache_key") -> DataFrame:
+    """Rows with target: the translation cached under their key, else their own text; and whether it was cached."""
+    known = cached.groupBy(F.col(key).alias("cached_key")).agg(F.min("target").alias("found"))
+    joined = rows.join(known, F.col(key) == F.col("cached_key"), "left")
+    return joined.withColumn("cached", F.col("cached_key").isNotNull()).withColumn("target", F.coalesce("found", "text")).drop("cached_key", "found")
+
+
+def downloads(jobs: DataFrame) -> DataFrame:
+    """Jobs whose result can be fetched: done and with a path."""
+    return jobs.where((F.col("status") == "done") & (F.length("path") > 0))

@@ -78,14 +78,19 @@ def floors(boxes: DataFrame) -> DataFrame:
     return boxes.join(near, "id", "left").select("book", "page", "id", F.least(F.col("page_h") - 2, F.coalesce("near", F.col("page_h"))).alias("floor"))
 
 
-def overlaps(boxes: DataFrame, share: float = 0.1) -> DataFrame:
-    """book, page, i, j, area: pairs i < j of one page whose intersection is over ``share`` of the smaller box."""
-    a = boxes.select("book", "page", F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "x1", "y0", "y1")])
-    b = boxes.select("book", "page", F.col("id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "x1", "y0", "y1")])
+def overlaps(boxes: DataFrame, share: float = 0.1, band: float = 50.0) -> DataFrame:
+    """book, page, i, j, area: pairs i < j of one page whose intersection is over ``share`` of the smaller box.
+
+    Boxes meet in bands of ``band`` points, in the first that both are in.
+    """
+    bands = F.explode(F.sequence(F.floor(F.col("y0") / band), F.floor(F.col("y1") / band))).alias("band")
+    a = boxes.select("book", "page", bands, F.col("id").alias("i"), *[F.col(c).alias(f"a_{c}") for c in ("x0", "x1", "y0", "y1")])
+    b = boxes.select("book", "page", bands, F.col("id").alias("j"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "x1", "y0", "y1")])
     across = F.least("a_x1", "b_x1") - F.greatest("a_x0", "b_x0")
     down = F.least("a_y1", "b_y1") - F.greatest("a_y0", "b_y0")
     size = lambda p: (F.col(f"{p}_x1") - F.col(f"{p}_x0")) * (F.col(f"{p}_y1") - F.col(f"{p}_y0"))
-    pairs = a.join(b, ["book", "page"]).where("i < j").where((across > 0) & (down > 0))
+    met = F.floor(F.greatest("a_y0", "b_y0") / band) == F.col("band")
+    pairs = a.join(b, ["book", "page", "band"]).where("i < j").where(met & (across > 0) & (down > 0))
     return pairs.where(across * down > share * F.greatest(F.least(size("a"), size("b")), F.lit(1.0))).select("book", "page", "i", "j", (across * down).alias("area"))
 
 
@@ -104,13 +109,15 @@ def first_matches(rows: DataFrame, known: DataFrame) -> DataFrame:
     """name, override: the value of the first known string that equals a name or is within distance 2.
 
     ``known`` has orig, value and ord. Names of fewer than 3 characters never
-    match, those of fewer than 6 only exactly. The known table is short.
+    match, those of fewer than 6 only exactly.
     """
     norm = F.lower(T.one_spaced(F.col("name")))
     names = rows.select("name").distinct().withColumn("norm", norm).where("length(norm) >= 3")
-    table = maybe_sent(known.select("value", "ord", F.lower(T.one_spaced(F.col("orig"))).alias("so")).where("length(so) > 0"))
-    near = (F.col("norm") == F.col("so")) | ((F.length("norm") >= 6) & (F.abs(F.length("norm") - F.length("so")) <= 2) & (F.levenshtein("norm", "so") <= 2))
-    hits = names.join(table, near).groupBy("name").agg(F.min(F.struct("ord", "value")).alias("best"))
+    table = known.select("value", "ord", F.lower(T.one_spaced(F.col("orig"))).alias("so")).where("length(so) > 0")
+    # strings within distance 2 share one that up to two deletions leave
+    pairs = _neighbours(names, "norm").join(_neighbours(table, "so"), "near").drop("near")
+    near = (F.col("norm") == F.col("so")) | ((F.length("norm") >= 6) & (F.levenshtein("norm", "so") <= 2))
+    hits = pairs.where(near).groupBy("name").agg(F.min(F.struct("ord", "value")).alias("best"))
     return rows.join(hits.select("name", F.col("best.value").alias("override")), "name", "left")
 
 

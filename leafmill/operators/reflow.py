@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,3 +154,54 @@ def segments(flow: DataFrame) -> DataFrame:
     inside = Window.partitionBy("book", "segment").orderBy("page", "par_no")
     after = (F.col("kind") == "para") & F.coalesce(F.lag("kind").over(inside) != "para", F.lit(False))
     return rows.withColumn("unindented", after)
+
+
+def heading_pages(heads: DataFrame, lines: DataFrame, cut: int = 40) -> DataFrame:
+    """book, ord, page: each heading's page, searched from the page of the heading before.
+
+    ``heads`` has book, ord and text. A page holds a heading if its words in one
+    space hold the first ``cut`` characters of it, from the start of a word; a
+    heading not found has the page where its search began. Pages meet headings
+    by a heading's first word; one task folds a book's headings, of a few whole
+    numbers each.
+    """
+    needle = F.concat(F.lit(" "), F.left(T.one_spaced(F.col("text")), F.lit(cut)))
+    one = ~F.col("needle").substr(F.lit(2), F.lit(cut)).contains(" ")
+    named = heads.select("book", "ord", needle.alias("needle")).withColumn("probe", F.when(one, F.concat("needle", F.lit(" "))).otherwise(F.col("needle")))
+    named = named.withColumn("word", F.split("needle", " ")[1])
+    parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
+    pages = lines.groupBy("book", "page").agg(F.concat(F.lit(" "), T.one_spaced(F.concat_ws(" ", F.transform(parts, lambda p: p["text"]))), F.lit(" ")).alias("body"))
+    words = pages.select("book", "page", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
+    met = named.where("word <> ''").join(words, ["book", "word"]).join(pages, ["book", "page"]).where(F.col("body").contains(F.col("probe")))
+    found = met.groupBy("book", "ord").agg(F.sort_array(F.collect_list("page")).alias("pages"))
+    rows = named.select("book", "ord").join(found, ["book", "ord"], "left")
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part, at, out = part.sort_values("ord"), 0, []
+        for hits in part["pages"]:
+            at = next((p for p in (hits if hits is not None else ()) if p >= at), at)
+            out.append(at)
+        return part.assign(page=out)[["book", "ord", "page"]]
+
+    return rows.groupBy("book").applyInPandas(fold, "book string, ord long, page int")
+
+
+def line_pitch(lines: DataFrame, default: float = 1.15) -> DataFrame:
+    """book, page, pitch: distance of neighbouring lines over their height, within 1.05 and 2."""
+    n = F.count("*")
+    pitch = (F.max("y0") - F.min("y0")) / (n - 1) / F.avg(F.col("y1") - F.col("y0"))
+    return lines.groupBy("book", "page").agg(F.when(n > 1, F.greatest(F.lit(1.05), F.least(F.lit(2.0), pitch))).otherwise(default).alias("pitch"))
+
+
+def ink_boxes(ink: DataFrame, boxes: DataFrame, least: int = 25, grown: float = 4.0) -> DataFrame:
+    """block, x0, y0, x1, y1: each box drawn close around the ink of its block.
+
+    The box stays where there are under ``least`` points of ink, where the ink
+    is beside it, or where its area would be more than ``grown`` times as large.
+    """
+    tight = ink.groupBy("block").agg(F.min("x").alias("l"), F.min("y").alias("t"), (F.max("x") + 1).alias("r"), (F.max("y") + 1).alias("b"), F.count("*").alias("n"))
+    beside = (F.col("r") <= F.col("x0")) | (F.col("l") >= F.col("x1")) | (F.col("b") <= F.col("y0")) | (F.col("t") >= F.col("y1"))
+    area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1))
+    good = (F.col("n") >= least) & ~beside & ((F.col("r") - F.col("l")) * (F.col("b") - F.col("t")) <= grown * area)
+    ends = [F.when(good, F.col(new)).otherwise(F.col(old)).alias(old) for new, old in (("l", "x0"), ("t", "y0"), ("r", "x1"), ("b", "y1"))]
+    return boxes.join(tight, "block", "left").select("block", *ends)

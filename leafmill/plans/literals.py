@@ -67,6 +67,25 @@ SPANS: Rows = (
 GLOSSARY: Rows = ("ord int, term string, value string", [(0, "Meta", "Мета"), (1, "meta", "мета2"), (2, "NLP", "НЛП"), (3, "x", "short"), (4, "garb,-le", "v"), (5, "Anchor", ""), (6, "Anchor", "якорь"), (7, "State", "ста,-н")])
 PINS: Rows = ("term string", [("NLP",), ("DNA",)])
 MASK: Rows = ("block int, y int, v boolean", [(b, y, (y * (3 + b)) % 11 in (1, 2, 3, 4, 5) or (y % 17 == 0)) for b in (0, 1, 2) for y in range(60)])
+FLOW: Rows = (
+    "book string, page int, par_no int, kind string, text string, y0 double",
+    [
+        ("literal", 1, 0, "h1", "Глава первая", 30.0),
+        ("literal", 1, 1, "para", "Абзац идёт через стра-", 44.0),
+        ("literal", 2, 0, "para", "ницу и дальше", 30.0),
+        ("literal", 2, 1, "para", "на той же странице", 44.0),
+        ("literal", 3, 0, "para", "и ещё на одной.", 30.0),
+        ("literal", 3, 1, "para", "строка после точки", 44.0),
+        ("literal", 4, 0, "para", "Новая с большой", 30.0),
+        ("literal", 5, 0, "h2", "Заголовок", 30.0),
+        ("literal", 5, 1, "para", "goes on after a heading", 44.0),
+        ("literal", 6, 0, "para", "and over the page", 30.0),
+        ("literal", 7, 0, "para", "and over another one", 30.0),
+    ],
+)
+INK_BOXES: Rows = ("block int, x0 int, y0 int, x1 int, y1 int", [(0, 8, 5, 28, 50), (1, 10, 20, 14, 24), (2, 6, 0, 30, 3), (3, 1, 1, 2, 2)])
+#: Between texts that are sent together.
+DELIMITER = "\n@@@\n"
 PIXELS: Rows = ("id int, r int, g int, b int, n int", [(1, 13, 20, 30, 4), (1, 14, 21, 31, 3), (1, 200, 200, 250, 6), (2, 255, 255, 255, 2), (2, 0, 5, 11, 2), (3, 100, 100, 100, 1), (3, 107, 100, 100, 1)])
 COVERS: Rows = (
     "id int, raw string",

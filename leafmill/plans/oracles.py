@@ -101,7 +101,7 @@ skip_ AS (SELECT book, page FROM toc WHERE is_toc UNION SELECT book, min(page) F
 PARS = BODY + "," + GAPS + "," + SKIP + "," + STARTS + f""",
 pars AS ({joined('nos', 'book, page, par_no', 'line_no')})"""
 CROSS = PARS + f""",
-on_ AS (SELECT *, coalesce(kind = 'para' AND lag(kind) OVER w = 'para' AND NOT {like("lag(text) OVER w", T.SENTENCE_END)} AND {like('text', T.LOWER_START)}, false) AS c FROM pars WINDOW w AS (PARTITION BY book ORDER BY page, par_no)),
+on_ AS (SELECT *, coalesce(kind = 'para' AND lag(kind) OVER w = 'para' AND NOT {like("lag(text) OVER w", T.SENTENCE_END)} AND {like('text', T.LOWER_START)}, false) AS c FROM (SELECT book, page, par_no, kind, text, y0 FROM pars UNION ALL SELECT * FROM {L.values(L.FLOW)}) WINDOW w AS (PARTITION BY book ORDER BY page, par_no)),
 run_ AS (SELECT *, sum(1 - c::INTEGER) OVER (PARTITION BY book ORDER BY page, par_no) AS run FROM on_),
 join_ AS (SELECT *, c AND page <> first_value(page) OVER (PARTITION BY book, run ORDER BY page, par_no) AS j FROM run_),
 flow_ AS (SELECT *, sum(1 - j::INTEGER) OVER (PARTITION BY book ORDER BY page, par_no) - 1 AS flow_no FROM join_),
@@ -251,8 +251,34 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT book, 'contents', 2, page, par_no::BIGINT, left(text, 90) FROM pars WHERE kind <> 'para' UNION ALL SELECT book, 'body', 3, page, par_no::BIGINT, md5(text) FROM pars""",
     "k08_template_rule": f"WITH {LINES} SELECT book, CASE WHEN count(*) <= 2 THEN 'centred' WHEN count(*) = 3 THEN 'top' ELSE 'band' END AS template, (array_agg(line_no ORDER BY length(text) DESC, line_no))[1] AS accent FROM lines WHERE page = 0 GROUP BY book",
     "k14_preview_rows": f"""WITH {IDS} SELECT book, page, line_no, id::BIGINT AS id, '{{"id":' || id || ',"page":' || page || ',"size":' || trunc(size)::INTEGER || ',"chars":' || length(text) || '}}' AS row, md5(text) AS original_md5, md5(CASE WHEN id % 3 = 0 THEN lower(text) ELSE text END) AS translated_md5 FROM ids""",
-    "m03_pixel_bbox": f"SELECT block, CASE WHEN count(*) >= 25 THEN min(y) ELSE 0 END AS top, CASE WHEN count(*) >= 25 THEN max(y) + 1 ELSE 60 END AS bottom FROM {V(L.MASK)} WHERE v GROUP BY block",
+    "m03_pixel_bbox": f"""WITH k AS (SELECT block, min(x) AS l, min(y) AS t, max(x) + 1 AS r, max(y) + 1 AS b, count(*) AS n FROM (SELECT block, y, unnest(range(40)) AS x FROM {V(L.MASK)} WHERE v)
+        WHERE (x + y) % 7 < 3 AND x BETWEEN 5 + block AND 30 AND (block < 2 OR y < 2) GROUP BY block),
+      g AS (SELECT o.*, k.*, coalesce(n >= 25 AND NOT (r <= x0 OR l >= x1 OR b <= y0 OR t >= y1) AND (r - l) * (b - t) <= 4 * greatest((x1 - x0) * (y1 - y0), 1), false) AS good, o.block AS bl FROM {V(L.INK_BOXES)} o LEFT JOIN k ON k.block = o.block)
+      SELECT bl AS block, CASE WHEN good THEN l ELSE x0 END::INTEGER AS x0, CASE WHEN good THEN t ELSE y0 END::INTEGER AS y0, CASE WHEN good THEN r ELSE x1 END::INTEGER AS x1, CASE WHEN good THEN b ELSE y1 END::INTEGER AS y1 FROM g""",
+    "j14_heading_pages": f"""WITH RECURSIVE {PARS},
+      h AS (SELECT book, page * 100000::BIGINT + par_no AS ord, left(regexp_replace({strip('text')}, '\\s+', ' ', 'g'), 40) AS needle FROM pars WHERE kind <> 'para'),
+      b AS (SELECT book, page, ' ' || regexp_replace(string_agg(text, ' ' ORDER BY line_no), '\\s+', ' ', 'g') || ' ' AS body FROM lines GROUP BY ALL),
+      m AS (SELECT h.book, h.ord, b.page FROM h JOIN b ON b.book = h.book AND contains(b.body, ' ' || needle || CASE WHEN contains(needle, ' ') THEN '' ELSE ' ' END)),
+      o AS (SELECT book, ord, row_number() OVER (PARTITION BY book ORDER BY ord) AS rn FROM h),
+      s AS (SELECT o.book, o.ord, o.rn, coalesce((SELECT min(page) FROM m WHERE m.book = o.book AND m.ord = o.ord AND m.page >= 0), 0) AS page FROM o WHERE rn = 1
+        UNION ALL SELECT o.book, o.ord, o.rn, coalesce((SELECT min(m.page) FROM m WHERE m.book = o.book AND m.ord = o.ord AND m.page >= s.page), s.page) FROM s JOIN o ON o.book = s.book AND o.rn = s.rn + 1)
+      SELECT book, ord, page::INTEGER AS page FROM s""",
+    "l02_proofread": f"SELECT doc_id AS id, md5(CASE WHEN text IS NULL THEN '' WHEN length(text) % 2 = 0 THEN {strip("'~' || text || '.'")} ELSE '~' || text END) AS target_md5 FROM documents",
+    "l05_cover_chain": f"""WITH {LINES}, n AS (SELECT n_name AS orig, lower(n_name) AS so, '<' || n_name || '>' AS value, n_nationkey AS ord FROM nation),
+      r AS (SELECT book, line_no::BIGINT AS line_no, text AS name FROM lines WHERE page = 0 AND length(text) <= 30 UNION ALL SELECT 'literal', ord, left(orig, 3) || 'x' || substr(orig, 4) FROM n),
+      k AS (SELECT *, lower(regexp_replace({strip('name')}, '\\s+', ' ', 'g')) AS norm FROM r)
+      SELECT k.book, k.line_no, coalesce((SELECT arg_min(value, ord) FROM n WHERE length(norm) >= 3 AND (norm = so OR (length(norm) >= 6 AND levenshtein(norm, so) <= 2))), '[' || name || ']') AS shown FROM k""",
+    "t04_resumed": "SELECT doc_id AS id, md5(CASE WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'saved ' || doc_id WHEN regexp_matches(x, '\\p{L}') THEN '[' || x || ']' ELSE x END) AS target_md5 FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)",
+    "t10_rebuild": f"WITH {PARS}, c AS (SELECT DISTINCT {key('text')} AS k FROM pars WHERE page % 3 = 0) SELECT book, page, par_no::BIGINT AS par_no, c.k IS NOT NULL AS cached, md5(CASE WHEN c.k IS NOT NULL THEN 'T:' || md5(c.k) ELSE text END) AS target_md5 FROM pars LEFT JOIN c ON c.k = {key('text')}",
+    "p14_scanned_override": f"WITH {LINES}, b AS (SELECT book, count(DISTINCT page) AS n, sum(length(text)) AS c FROM lines GROUP BY book) SELECT book, (n >= 3 AND c < 2400 * n) OR (book IN ('src1', 'src3', 'src5') AND c < 4000 * greatest(n, 1)) AS scanned FROM b",
+    "p27_cover_gate": f"WITH {LINES} SELECT DISTINCT source AS book, source IN (SELECT book FROM lines WHERE page = 0 AND length(text) >= 4) AS has_text FROM documents",
+    "k15_downloads": f"SELECT job_id, path FROM {V(L.JOBS)} WHERE status = 'done' AND length(path) > 0",
+    "w09_line_pitch": f"WITH {LINES} SELECT book, page, round(CASE WHEN count(*) > 1 THEN greatest(1.05::DOUBLE, least(2.0::DOUBLE, (max(y0) - min(y0)) / (count(*) - 1) / avg(y1 - y0))) ELSE 1.15::DOUBLE END, 6) AS pitch FROM lines GROUP BY ALL",
+    "o04_image_order": f"WITH {BOXES} SELECT book, page, id::BIGINT AS id, row_number() OVER (PARTITION BY book, page ORDER BY y0, id)::BIGINT AS place FROM boxes WHERE image",
+    "f19_join_split": f"WITH {LINES}, p AS (SELECT book, page, string_agg(text, {q(L.DELIMITER)} ORDER BY line_no) AS sent, count(*) AS n FROM lines GROUP BY ALL) SELECT book, page, md5(sent) AS sent_md5, n, len(string_split(sent, {q(L.DELIMITER.strip())})) = n AS whole FROM p",
+    "f23_glossary_text": f"SELECT string_agg(term || ' → ' || value, '; ' ORDER BY ord) AS glossary FROM {V(L.GLOSSARY)} WHERE length(value) > 0",
     "o06_top_by_count": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS token FROM documents) WHERE length(token) > 2 GROUP BY token ORDER BY n DESC, token LIMIT 60",
     "u04_seen_dedup": f"WITH {IDS} SELECT book, md5(text) AS key, min(id) AS first_id, count(*) AS n FROM ids GROUP BY book, text HAVING count(*) > 1",
     "u02_set_difference": "SELECT user_id, event_type FROM events WHERE event_id % 3 = 0 EXCEPT ALL SELECT user_id, event_type FROM events WHERE event_id % 3 = 1",
 }
+ORACLES["t13_quality_flag"] = f"SELECT book, 'done' AS status, CASE WHEN has_issues THEN 'check' ELSE 'clean' END AS flag FROM ({ORACLES['a16_quality_report']})"

@@ -319,7 +319,7 @@ def w02_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def w03_cross_page(spark: SparkSession, folder: str) -> DataFrame:
-    merged = reflow.merged_across_pages(flow(spark, folder))
+    merged = reflow.merged_across_pages(flow(spark, folder).unionByName(L.frame(spark, L.FLOW)))
     return merged.select("book", F.col("flow_no").cast("long").alias("flow_no"), "kind", F.md5("text").alias("text_md5"))
 
 
@@ -526,9 +526,105 @@ def k14_preview_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def m03_pixel_bbox(spark: SparkSession, folder: str) -> DataFrame:
-    rows = L.frame(spark, L.MASK).where("v")
-    box = rows.groupBy("block").agg(F.min("y").alias("top"), (F.max("y") + 1).alias("bottom"), F.count("*").alias("n"))
-    return box.select("block", F.when(F.col("n") >= 25, F.col("top")).otherwise(0).alias("top"), F.when(F.col("n") >= 25, F.col("bottom")).otherwise(60).alias("bottom"))
+    across = L.frame(spark, L.MASK).where("v").select("block", "y", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("x"))
+    ink = across.where("(x + y) % 7 < 3 and x between 5 + block and 30 and (block < 2 or y < 2)")
+    return reflow.ink_boxes(ink, L.frame(spark, L.INK_BOXES))
+
+
+@query
+def j14_heading_pages(spark: SparkSession, folder: str) -> DataFrame:
+    heads = flow(spark, folder).where("kind <> 'para'").select("book", (F.col("page").cast("long") * 100000 + F.col("par_no")).alias("ord"), "text")
+    return reflow.heading_pages(heads, lines(spark, folder))
+
+
+@query
+def l02_proofread(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"), F.concat(F.lit("~"), "text").alias("draft"))
+    done = jobs.proofread(rows, lambda pairs: [d + "." if len(s) % 2 == 0 else " " for s, d in pairs])
+    return done.select("id", F.md5("target").alias("target_md5"))
+
+
+@query
+def l05_cover_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Cover texts as read, corrected by known titles, else by their words, else translated."""
+    nation = table(spark, folder, "nation").select(F.col("n_name").alias("orig"), F.concat(F.lit("<"), "n_name", F.lit(">")).alias("value"), F.col("n_nationkey").alias("ord"))
+    read = lines(spark, folder).where("page = 0 and length(text) <= 30").select("book", "line_no", F.col("text").alias("name"))
+    extra = nation.select(F.lit("literal").alias("book"), F.col("ord").alias("line_no"), F.concat(F.substring("orig", 1, 3), F.lit("x"), F.expr("substring(orig, 4)")).alias("name"))
+    rows = read.unionByName(extra)
+    known = matching.first_matches(rows.select("name").distinct(), nation)
+    shown = rows.join(known, "name", "left")
+    return shown.select("book", "line_no", F.coalesce("override", F.concat(F.lit("["), "name", F.lit("]"))).alias("shown"))
+
+
+@query
+def t04_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"))
+    saved = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("saved "), F.col("doc_id").cast("string")).alias("target"))
+    done = jobs.resumed(rows, saved, lambda texts: [f"[{t}]" for t in texts])
+    return done.select("id", F.md5("target").alias("target_md5"))
+
+
+@query
+def t10_rebuild(spark: SparkSession, folder: str) -> DataFrame:
+    pars = flow(spark, folder).withColumn("cache_key", T.cache_key(F.col("text")))
+    cached = pars.where("page % 3 = 0").select("cache_key", F.concat(F.lit("T:"), F.md5("cache_key")).alias("target"))
+    return jobs.rebuilt(pars, cached).select("book", "page", F.col("par_no").cast("long").alias("par_no"), "cached", F.md5("target").alias("target_md5"))
+
+
+@query
+def t13_quality_flag(spark: SparkSession, folder: str) -> DataFrame:
+    """The report as a flag of a finished job: the job is done either way."""
+    report = quality.quality_report(lines(spark, folder), threshold=0.2, per_page=1)
+    return report.select("book", F.lit("done").alias("status"), F.when(F.col("has_issues"), "check").otherwise("clean").alias("flag"))
+
+
+@query
+def p14_scanned_override(spark: SparkSession, folder: str) -> DataFrame:
+    """Books scanned by their text, or by sight where their text is thin too."""
+    pages = lines(spark, folder).groupBy("book", "page").agg(F.sum(F.length("text")).alias("chars"))
+    seen = F.col("book").isin("src1", "src3", "src5")
+    books = quality.scanned_books(pages, per_page=2400)
+    return books.select("book", (F.col("scanned") | (seen & (F.col("chars") < 4000 * F.greatest("pages", F.lit(1))))).alias("scanned"))
+
+
+@query
+def p27_cover_gate(spark: SparkSession, folder: str) -> DataFrame:
+    """Books whose first page has no line of four characters or more."""
+    books = table(spark, folder, "documents").select(F.col("source").alias("book")).distinct()
+    covers = lines(spark, folder).where("page = 0 and length(text) >= 4").select("book").distinct().withColumn("has", F.lit(True))
+    return books.join(covers, "book", "left").select("book", F.coalesce("has", F.lit(False)).alias("has_text"))
+
+
+@query
+def k15_downloads(spark: SparkSession, folder: str) -> DataFrame:
+    return jobs.downloads(L.frame(spark, L.JOBS)).select("job_id", "path")
+
+
+@query
+def w09_line_pitch(spark: SparkSession, folder: str) -> DataFrame:
+    return reflow.line_pitch(lines(spark, folder)).withColumn("pitch", F.round("pitch", 6))
+
+
+@query
+def o04_image_order(spark: SparkSession, folder: str) -> DataFrame:
+    images = layout.boxes(lines(spark, folder)).where("image").select("book", "page", "y0", F.col("id").cast("long").alias("id"))
+    return images.withColumn("place", matching.window_rank(images, ["book", "page"], "y0", "id").cast("long")).select("book", "page", "id", "place")
+
+
+@query
+def f19_join_split(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of a page sent as one text and taken apart again, with the count check."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda p: p["text"])
+    pages = lines(spark, folder).groupBy("book", "page").agg(F.concat_ws(L.DELIMITER, parts).alias("sent"), F.count("*").alias("n"))
+    back = F.size(F.split("sent", L.DELIMITER.strip()))
+    return pages.select("book", "page", F.md5("sent").alias("sent_md5"), "n", (back == F.col("n")).alias("whole"))
+
+
+@query
+def f23_glossary_text(spark: SparkSession, folder: str) -> DataFrame:
+    rows = L.frame(spark, L.GLOSSARY).where("length(value) > 0")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term", "value"))), lambda p: F.concat(p["term"], F.lit(" → "), p["value"]))
+    return rows.agg(F.concat_ws("; ", parts).alias("glossary"))
 
 
 @query

@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from leafmill.operators.jobs import Translator, translated
 
 STALL_SCHEMA = "job long, last_beat double, beats long, verdict string"
-STATE_SCHEMA = "started double, last double, beats long"
+STATE_SCHEMA = "started double, last double, beats long, seen double"
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -35,20 +35,25 @@ def sessions(events: DataFrame, idle: str = "480 seconds", late: str = "1 hour")
 
 
 def watchdog(events: DataFrame, idle: float = 480.0, total: float = 3600.0, tick_ms: int = 5000) -> DataFrame:
-    """A row for each job that goes over its time or stands still, by the clock of its beats.
+    """A row for each job that goes over its time or stands still.
 
-    State is three numbers a job. A job that beats no more is found by a
-    processing-time timer of ``tick_ms``.
+    Gaps between beats are told by the clock of the beats. A job that beats no
+    more is looked at every ``tick_ms`` and stalls once no beat of it has come for
+    ``idle`` seconds of the processing clock. State is four numbers a job.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         job = key[0]
+        clock = state.getCurrentProcessingTimeMs() / 1000
         if state.hasTimedOut:
-            started, last, beats = state.get
+            started, last, beats, seen = state.get
+            if clock - seen <= idle:
+                state.setTimeoutDuration(tick_ms)
+                return
             state.remove()
             yield pd.DataFrame([(job, last, beats, "stalled")], columns=["job", "last_beat", "beats", "verdict"])
             return
-        started, last, beats = state.get if state.exists else (None, None, 0)
+        started, last, beats, _ = state.get if state.exists else (None, None, 0, clock)
         found = []
         for at in sorted(t for frame in frames for t in frame["at"]):
             if started is None:
@@ -60,7 +65,7 @@ def watchdog(events: DataFrame, idle: float = 480.0, total: float = 3600.0, tick
                 found.append((job, last, beats, "stalled"))
                 started, beats = at, 0
             last, beats = max(last, at), beats + 1
-        state.update((started, last, beats))
+        state.update((started, last, beats, clock))
         state.setTimeoutDuration(tick_ms)
         yield pd.DataFrame(found, columns=["job", "last_beat", "beats", "verdict"])
 

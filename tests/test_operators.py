@@ -32,7 +32,7 @@ def test_every_query_has_sql():
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["p02_global_ids", "p15_toc_pages", "p16_artifacts_removed", "w02_paragraphs", "w03_cross_page", "w05_batches", "j08_box_over_box", "j11_fuzzy_words", "a16_quality_report", "k02_page_plan", "l01_mock_translate", "t02_stall_detection"])
+@pytest.mark.parametrize("name", ["p02_global_ids", "p15_toc_pages", "p16_artifacts_removed", "w02_paragraphs", "w03_cross_page", "w05_batches", "j08_box_over_box", "j11_fuzzy_words", "a16_quality_report", "k02_page_plan", "l01_mock_translate", "t02_stall_detection", "j01_translation_lookup", "j05_cache_reuse", "j10_box_overlaps", "j12_fuzzy_titles", "j14_heading_pages", "k14_preview_rows", "l02_proofread", "l05_cover_chain", "m03_pixel_bbox", "t04_resumed", "t10_rebuild", "f19_join_split", "a03_words_to_lines"])
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
@@ -145,6 +145,26 @@ def test_resume_asks_for_the_rest_only(spark, tmp_path):
     assert sorted(log.read_text().split("\n")[:-1]) == ["text 3", "text 4", "text 5"]
 
 
+def test_a_missing_answer_leaves_the_source(spark):
+    df = spark.createDataFrame([(1, "one"), (2, "two")], "id long, source string").coalesce(1)
+    assert {r.id: r.target for r in jobs.translated(df, lambda texts: [None, "II"]).collect()} == {1: "one", 2: "II"}
+
+
+def test_drafts_stay_where_the_editor_fails(spark):
+    def editor(pairs):
+        if any("bad" in s for s, _ in pairs):
+            raise RuntimeError
+        return [None if "none" in s else d.upper() for s, d in pairs]
+
+    rows = [(1, "s", "draft"), (2, "none", "kept"), (3, "s", " "), (4, None, None), (5, "bad " * 700, "d " * 700)]
+    got = {r.id: r.target for r in jobs.proofread(spark.createDataFrame(rows, "id long, source string, draft string").coalesce(1), editor).collect()}
+    assert got == {1: "DRAFT", 2: "kept", 3: " ", 4: "", 5: "d " * 700}
+
+
+def test_secret_columns_are_hidden(spark):
+    assert jobs.public_status(spark.createDataFrame([(1, "x", "k")], "job_id int, path string, _api_key string")).columns == ["job_id"]
+
+
 def test_chunks_do_not_depend_on_their_size(spark):
     lines = spark.createDataFrame([line(p, 0, "x") for p in range(5)], LINE)
     assert [sum(r.lines for r in batching.page_chunks(lines, n).collect()) for n in (2, 99)] == [5, 5]

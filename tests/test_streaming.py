@@ -1,3 +1,6 @@
+import time
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from leafmill.streaming import heartbeats
@@ -28,7 +31,11 @@ def test_closed_sessions_equal_the_batch(spark, tmp_path):
 def test_watchdog_finds_the_gaps_of_a_batch(spark, tmp_path):
     path = events(spark, tmp_path)
     stream = heartbeats.watchdog(heartbeats.read_events(spark, path, 10), idle=2 * 86400.0, total=1e12, tick_ms=3_600_000)
-    found = {(r.job, round(r.last_beat, 3)) for r in run(stream, tmp_path) if r.verdict == "stalled"}
+    # timers keep such a query going, so it is stopped once it has read all
+    query = stream.writeStream.format("memory").queryName("gaps").option("checkpointLocation", str(tmp_path / "check")).start()
+    query.processAllAvailable()
+    query.stop()
+    found = {(r.job, round(r.last_beat, 3)) for r in spark.table("gaps").collect() if r.verdict == "stalled"}
     rows = sorted((r.user_id, r.ts.timestamp()) for r in spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).collect())
     expected = {(a[0], round(a[1], 3)) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0] and b[1] - a[1] > 2 * 86400}
     assert found == expected and found
@@ -42,3 +49,23 @@ def test_translated_batches_replace_themselves(spark, tmp_path):
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
         heartbeats.translate_stream(rows, lambda texts: [t.upper() for t in texts], out, str(tmp_path / "check")).awaitTermination(120)
     assert sorted(r.target for r in spark.read.parquet(out).collect()) == [f"T{i}" for i in range(10)]
+
+
+def test_a_job_that_beats_is_not_stalled_at_a_tick(spark, tmp_path):
+    path, schema = tmp_path / "beats", "user_id long, ts timestamp"
+    one = lambda name, jobs: spark.createDataFrame([(j, datetime.fromtimestamp(time.time(), UTC)) for j in jobs], schema).coalesce(1).write.parquet(str(path / name))
+    one("a", [1, 2])
+    rows = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(path))
+    found = heartbeats.watchdog(rows, idle=14.0, total=1e9, tick_ms=500)
+    query = found.writeStream.format("memory").queryName("ticks").outputMode("append").option("checkpointLocation", str(tmp_path / "check")).trigger(processingTime="500 milliseconds").start()
+    verdicts = lambda: {(r.job, r.verdict) for r in spark.table("ticks").collect()}
+    try:
+        ends = time.time() + 100
+        k = 0
+        while (2, "stalled") not in verdicts() and time.time() < ends:
+            time.sleep(2)
+            one(f"b{k}", [1])
+            k += 1
+        assert verdicts() == {(2, "stalled")} and k >= 4
+    finally:
+        query.stop()
