@@ -31,13 +31,15 @@ def test_closed_sessions_equal_the_batch(spark, tmp_path):
 def test_watchdog_finds_the_gaps_of_a_batch(spark, tmp_path):
     path = events(spark, tmp_path)
     stream = heartbeats.watchdog(heartbeats.read_events(spark, path, 10), idle=2 * 86400.0, total=1e12, tick_ms=3_600_000)
-    # timers keep such a query going, so it is stopped once it has read all
-    query = stream.writeStream.format("memory").queryName("gaps").option("checkpointLocation", str(tmp_path / "check")).start()
-    query.processAllAvailable()
-    query.stop()
-    found = {(r.job, round(r.last_beat, 3)) for r in spark.table("gaps").collect() if r.verdict == "stalled"}
     rows = sorted((r.user_id, r.ts.timestamp()) for r in spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).collect())
     expected = {(a[0], round(a[1], 3)) for a, b in zip(rows, rows[1:], strict=False) if a[0] == b[0] and b[1] - a[1] > 2 * 86400}
+    # timers keep such a query going, so it is stopped once it has found all, or has had its time
+    query = stream.writeStream.format("memory").queryName("gaps").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    found, ends = None, time.time() + 60
+    while found != expected and time.time() < ends:
+        time.sleep(1)
+        found = {(r.job, round(r.last_beat, 3)) for r in spark.table("gaps").collect() if r.verdict == "stalled"}
+    query.stop()
     assert found == expected and found
 
 
