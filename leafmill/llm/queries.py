@@ -29,38 +29,47 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents: five-word shingles, similarity 0.75 or more."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; sources weigh 5, 2, 1, at most 3 times each."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op4_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every whole text and what they decode to, as digests."""
     return bpe.token_digests(table(spark, sf_dir, "documents"), bpe.default_vocabulary(spark))
 
 
 def op5_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by its host's wrapper."""
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op6_subspace_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at cosine 0.95 or more."""
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op7_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels of other folds than 0."""
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdicts of boosted trees for all documents."""
     return rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licences that whole texts are, and known notices on their lines."""
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards 0 to 23 of near equal bytes for all documents."""
     shards = sharding.kd_shards(table(spark, sf_dir, "documents"))
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
