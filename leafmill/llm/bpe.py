@@ -229,8 +229,10 @@ def build_lexicon(docs: DataFrame, path: str, max_words: int = 100_000, max_byte
             break
         least = r["step"]
     top = counts.where(F.col("step") >= least) if least is not None else counts.limit(0)
-    rows = sorted((bytes(r.word), r.ids) for r in top.select("word").repartition(8).mapInArrow(run, "word binary, ids array<int>").collect())
-    return compile_lexicon([w for w, _ in rows], [i for _, i in rows])
+    found = top.select("word").repartition(8).mapInArrow(run, "word binary, ids array<int>").toArrow()
+    words, ids = found.column("word").to_pylist(), found.column("ids").to_pylist()
+    order = sorted(range(len(words)), key=words.__getitem__)
+    return compile_lexicon([words[i] for i in order], [ids[i] for i in order])
 
 
 class Encoder:

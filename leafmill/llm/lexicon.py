@@ -21,7 +21,7 @@ class _Builder:
     """States of a minimal automaton, made from words in ascending order."""
 
     def __init__(self) -> None:
-        self.arcs: list[dict[int, int]] = [{}]
+        self.arcs: list[dict[int, int] | None] = [{}]  # None: an equal state stands for it
         self.ends: list[bool] = [False]
         self.register: dict[tuple, int] = {}
         self.path: list[tuple[int, int, int]] = []  # (state, byte, child) of the last word, not yet shared
@@ -49,10 +49,14 @@ class _Builder:
         while len(self.path) > keep:
             state, byte, child = self.path.pop()
             key = (self.ends[child], *self.arcs[child].items())
-            self.arcs[state][byte] = self.register.setdefault(key, child)
+            same = self.register.setdefault(key, child)
+            self.arcs[state][byte] = same
+            if same != child:
+                self.arcs[child] = None
 
     def finish(self) -> None:
         self._share(0)
+        self.register.clear()
 
 
 def compile_lexicon(words: Sequence[bytes], ids: Sequence[Sequence[int]]) -> bytes:
