@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import bpe, classifier, mixing, neardup, rules
 from leafmill.llm.common import cut, remove_folder, shared_folder, table
-from leafmill.llm.stats import with_stats
+from leafmill.llm.stats import drawn_ids, with_stats
 
 
 def _where(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], passes: str) -> DataFrame:
@@ -30,9 +30,12 @@ def _where(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], passes: str
     return judged.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
-def _labelled_stats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and stat_features of the labelled documents of ``docs``."""
-    named = docs.select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+def _labelled_stats(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
+    """doc_id and stat_features of the documents of ``docs`` with the labels that a model is fitted on.
+
+    Their ids, about ``fit_rows`` at most, are sent to all tasks; no texts are shuffled.
+    """
+    named = docs.select("doc_id", "text").join(F.broadcast(drawn_ids(labels, "quality", fit_rows)), "doc_id", "left_semi")
     return cut(with_stats(named).select("doc_id", "stat_features"))
 
 
@@ -43,7 +46,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     one verdict; rows without doc_id are judged by their text. Trees are fitted
     on the labelled documents; without labels the base rules decide alone.
     """
-    forest = rules.fit(_labelled_stats(spark, docs, sf_dir), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    forest = rules.fit(_labelled_stats(docs, labels, rules.FIT_ROWS), labels)
     return _where(docs, lambda d: rules.judge(d, forest), "kept")
 
 
@@ -54,7 +58,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     that an earlier stage has taken away included. Null and empty texts have a
     score as well; repeated rows share it; rows without doc_id are scored too.
     """
-    model = classifier.fit(_labelled_stats(spark, table(spark, sf_dir, "documents"), sf_dir), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    model = classifier.fit(_labelled_stats(table(spark, sf_dir, "documents"), labels, classifier.FIT_ROWS), labels)
     return _where(docs, lambda d: classifier.score(d, model), "predicted = 1")
 
 

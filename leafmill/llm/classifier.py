@@ -21,6 +21,8 @@ from leafmill.llm.common import cut, fold_of
 from leafmill.llm.stats import FEATURES, labelled, matrix, with_stats
 
 BINS = 1000
+#: Labelled rows that a classifier is fitted on, about so many at most.
+FIT_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ def _normal_equations(rows: DataFrame, features: Fourier) -> tuple[np.ndarray, n
     return table[:, :size], table[:, size]
 
 
-def fit(stats: DataFrame, labels: DataFrame, *, dimensions: int = 256, ridge: float = 1e-3, width: float = 3.0, fit_rows: int = 200_000, seed: int = 7) -> Classifier:
+def fit(stats: DataFrame, labels: DataFrame, *, dimensions: int = 256, ridge: float = 1e-3, width: float = 3.0, fit_rows: int = FIT_ROWS, seed: int = 7) -> Classifier:
     """Fit ``labels.quality`` on document statistics, rows of fold 0 left out.
 
     Folds 1 to 3 give the ridge, fold 4 the calibration, of about ``fit_rows``

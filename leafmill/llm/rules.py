@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import cut
 from leafmill.llm.stats import COUNTS, FEATURES, labelled, matrix, with_stats
 
+#: Labelled rows that a forest is grown from, about so many at most.
+FIT_ROWS = 50_000
 #: Features in which a score may only fall.
 FALLING = ("symbols_per_word", "dup_line_share", "repeat_word_share", "adjacent_repeat_share", "top_word_share")
 
@@ -111,7 +113,7 @@ def _forest(nodes: list[list[float]], roots: list[int], depth: int, start: float
     return Forest(whole[0], table[:, 1], whole[1], whole[2], table[:, 4], np.array(roots, np.int64), depth, start)
 
 
-def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = 50_000) -> Forest:
+def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Forest:
     """Grow a forest on ``labels.quality`` from about ``fit_rows`` labelled rows at most, none of fold 0."""
     rows = labelled(stats, labels, "quality", fit_rows).select("label", "stat_features").toArrow().combine_chunks()
     x = np.asarray(rows.column("stat_features").combine_chunks().flatten()).reshape(-1, len(FEATURES)) if len(rows) else np.empty((0, len(FEATURES)))

@@ -103,6 +103,16 @@ def with_stats(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
+def drawn_ids(labels: DataFrame, column: str, fit_rows: int) -> DataFrame:
+    """doc_id of about ``fit_rows`` labelled rows at most, none of fold 0; where there are more, those of the smallest hashes."""
+    from leafmill.llm.common import fold_of
+
+    ids = labels.where(F.col(column).isin(0, 1)).select("doc_id").distinct().where(fold_of(F.col("doc_id")) != 0)
+    n = ids.count()
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    return ids.where(draw < int(fit_rows / n * 2.0**53)) if n > fit_rows else ids
+
+
 def labelled(stats: DataFrame, labels: DataFrame, column: str, fit_rows: int) -> DataFrame:
     """label (0 or 1), fold and stat_features of about ``fit_rows`` labelled documents at most.
 
