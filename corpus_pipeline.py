@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import bpe, classifier, mixing, neardup, rules
-from leafmill.llm.common import cut, remove_folder, shared_folder, table
+from leafmill.llm.common import cut, release, remove_folder, shared_folder, table
 from leafmill.llm.stats import drawn_ids, with_stats
 
 
@@ -123,6 +123,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             here = f"{folder}/{k}-{name}"
             docs.write.parquet(here)
             docs = spark.read.parquet(here)
+            release(spark)
             if last:
                 remove_folder(spark, last)
             last = here

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -37,6 +38,16 @@ def remove_folder(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any more.
+
+    It learns of them when the driver's JVM collects its garbage, which a driver
+    with little to do may put off until the disks of the executors are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """No more rows to an Arrow batch of whole texts; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
