@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from leafmill.llm import classifier, rules
-from leafmill.llm.stats import COUNTS, FEATURES, text_stats, with_stats
+from leafmill.llm.stats import COUNTS, FEATURES, drawn_ids, text_stats, with_stats
 
 
 def brute_counts(text):
@@ -127,3 +127,14 @@ def test_ridge_equals_a_direct_solution(tables):
     penalty = np.full(f.shape[1], 1e-3 * len(y) / (f.shape[1] - 1))
     penalty[-1] = 1e-9
     assert np.allclose(model.raw(x), f @ np.linalg.solve(f.T @ f + np.diag(penalty), f.T @ y), atol=1e-6)
+
+
+def test_drawn_ids_are_bounded_and_of_no_held_out_row(spark):
+    rows = [(i, i % 2) for i in range(5000)] + [(7, 1), (None, 1), (9001, None), (9002, 5)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    usable = {i for i in range(5000) if zlib.crc32(str(i).encode()) % 5}
+    whole = [r.doc_id for r in drawn_ids(labels, "quality", 10_000).collect()]
+    assert set(whole) == usable and len(whole) == len(usable)
+    drawn = [sorted(r.doc_id for r in drawn_ids(labels.repartition(n), "quality", 1000).collect()) for n in (1, 3)]
+    assert drawn[0] == drawn[1] and set(drawn[0]) < usable and 850 < len(drawn[0]) < 1150
+    assert drawn_ids(labels.limit(0), "quality", 10).count() == 0
