@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leafmill.llm import bpe, classifier, licenses, middle, mixing, neardup, pages, rules, sharding, vectors, warc
+from leafmill.llm import bpe, classifier, curves, licenses, middle, mixing, neardup, pages, rules, sharding, vectors, warc
 from leafmill.llm.common import table
 
 
@@ -74,6 +74,11 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op12_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors by inner product of every twentieth vector."""
+    return curves.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_automaton_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text rearranged at two of its lines, and restored, as digests."""
     return middle.digests(middle.fill_in_middle(table(spark, sf_dir, "documents")))
@@ -92,6 +97,7 @@ QUERIES = {
         op8_quality_rules,
         op9_license_digests,
         op10_kd_shards,
+        op12_hilbert_neighbours,
         op13_automaton_middle,
     )
 } | {"pipeline": corpus_pipeline.run}

@@ -53,8 +53,8 @@ def test_functions_of_chunks_compose(spark):
     for s in range(middle.STATES):
         state, n = s, 0
         for byte in text:
-            at = state * middle.CLASSES + middle.CLASS_OF[byte]
-            n, state = n + middle.STARTS[at], middle.NEXT[at]
+            at = state * middle.CLASSES + int(middle.CLASS_OF[byte])
+            n, state = n + int(middle.STARTS[at]), int(middle.NEXT[at])
         assert (ends[s, -1], units[s, -1]) == (state, n)
 
 
