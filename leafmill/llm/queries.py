@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leafmill.llm import bpe, classifier, curves, licenses, middle, mixing, neardup, pages, rules, sharding, vectors, warc
+from leafmill.llm import bpe, classifier, curves, licenses, middle, mixing, neardup, pages, phrases, rules, sharding, vectors, warc
 from leafmill.llm.common import table
 
 
@@ -74,6 +74,11 @@ def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_sketch_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2,000 best phrases of two to five words that occur 100 times or more."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors by inner product of every twentieth vector."""
     return curves.nearest_vectors(table(spark, sf_dir, "embeddings"))
@@ -97,12 +102,14 @@ QUERIES = {
         op8_quality_rules,
         op9_license_digests,
         op10_kd_shards,
+        op11_sketch_collocations,
         op12_hilbert_neighbours,
         op13_automaton_middle,
     )
 } | {"pipeline": corpus_pipeline.run}
 ORACLES = {
     "op3_weighted_mix": mixing.MIX_SQL.replace("{docs}", "documents"),
+    "op11_sketch_collocations": phrases.PHRASES_SQL.replace("{least}", "100"),
     "op13_automaton_middle": middle.MIDDLE_SQL,
     "op9_license_digests": licenses.scan_sql("documents"),
 }
