@@ -34,7 +34,9 @@ from leafmill.llm.common import cut, whole_groups
 AXES, BITS = 6, 8
 #: Queries that meet one block of candidates in one task, at most about so many.
 PIECE = 4096
-GROUP = ("curve", "block", "piece")
+GROUP = ("curve", "size", "block", "piece")
+#: Neighbouring blocks of a curve that one task compares, and found rows after which it merges their lists.
+RUN, HELD = 8, 200_000
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -195,6 +197,18 @@ def _products(asked: np.ndarray, stands: np.ndarray, low: np.ndarray, top: int)
     return np.concatenate(queries), np.concatenate(found), np.concatenate(scores)
 
 
+def _merged(found: list[np.ndarray], top: int) -> np.ndarray:
+    """The ``top`` of each query among lists of asking, rep, low and score, each pair once."""
+    rows = np.concatenate(found)
+    rows = rows[np.unique(np.stack((rows["asking"], rows["rep"])), axis=1, return_index=True)[1]]
+    rows = rows[np.lexsort((rows["low"], -rows["score"], rows["asking"]))]
+    return rows[np.arange(len(rows)) - np.searchsorted(rows["asking"], rows["asking"]) < top]
+
+
+def _batch(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c])) for c in ("asking", "rep", "score")], ["asking", "rep", "score"])
+
+
 def _true_neighbours(reps: DataFrame, queries: list[tuple], k: int) -> DataFrame:
     """asking, rep: the ``k`` nearest other vectors of each of some queries (rep, size, raw), by comparing with all."""
 
@@ -253,11 +267,10 @@ def nearest_vectors(table: DataFrame, *, every: int = 20, k: int = 20, curves: i
     stands = ranks.where(~F.col("asks")).select("curve", F.expr(f"rank div {block}").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).alias("piece"), "asks", "rep")
     touched = F.sequence(F.expr(f"greatest(rank - {window}, 0) div {block}"), F.expr(f"(rank + {window}) div {block}"))
     asking = ranks.where("asks").select("curve", F.explode(touched).alias("block"), F.pmod(F.xxhash64("rep"), F.lit(pieces)).cast("int").alias("piece"), "asks", "rep")
-    dealt = stands.unionByName(asking).join(reps.select("rep", "size", "raw", "low"), "rep")
-    # blocks of a length have a number of their own
-    dealt = dealt.withColumn("block", F.col("block") * 65536 + F.col("size")).select(*GROUP, "asks", "rep", "low", "size", "raw")
+    dealt = stands.unionByName(asking).join(reps.select("rep", "size", "raw", "low"), "rep").select(*GROUP, "asks", "rep", "low", "raw")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []  # asking, rep, low, score of what neighbouring blocks have found
         for part, bounds in whole_groups(batches, GROUP):
             asks, rep, low, sizes = (np.asarray(part.column(c)) for c in ("asks", "rep", "low", "size"))
             raws = part.column("raw")
@@ -266,9 +279,17 @@ def nearest_vectors(table: DataFrame, *, every: int = 20, k: int = 20, curves: i
                 if len(q) and len(c):
                     x, y = (matrix(raws.take(pa.array(rows)).to_pylist(), int(sizes[a])) for rows in (q, c))
                     i, j, score = _products(x, y, low[c], k + 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[q][i]), pa.array(rep[c][j]), pa.array(score)], ["asking", "rep", "score"])
-
-    met = dealt.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(compare, "asking long, rep long, score double")
+                    held.append(np.rec.fromarrays([rep[q][i], rep[c][j], low[c][j], score], names="asking,rep,low,score"))
+                if sum(map(len, held)) > HELD:
+                    held = [_merged(held, k + 1)]
+                    if len(held[0]) > HELD // 2:
+                        yield _batch(held.pop())
+        if held:
+            yield _batch(_merged(held, k + 1))
+
+    # neighbouring blocks meet in one task, so that a query's lists are merged there
+    near = dealt.repartition("curve", "size", F.expr(f"block div {RUN}"), "piece").sortWithinPartitions(*GROUP)
+    met = near.mapInArrow(compare, "asking long, rep long, score double")
     merged = cut(met.groupBy("asking", "rep").agg(F.max("score").alias("score")))
     named = merged.join(reps.select("rep", "low"), "rep")
     best = Window.partitionBy("asking").orderBy(F.desc("score"), "low")
