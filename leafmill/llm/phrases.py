@@ -31,6 +31,8 @@ WORDS, ROWS, SLAB, MOST_COUNTERS = 5, 2, 1 << 16, 1 << 25
 #: Bytes of texts that are looked at together, and words of a part of a longer text.
 CHUNK, PART = 4 << 20, 500_000
 BLANK, END = 1, 2
+#: Bytes of texts to a task for each byte of its sketch, and at least; counted phrases that a task adds up before it returns them.
+SHARE, LEAST_TEXT, HELD = 3, 32 << 20, 1_000_000
 GRAM_SCHEMA = "lang string, words int, phrase string, n long"
 
 
@@ -180,11 +182,28 @@ def frequent_bits(docs: DataFrame, width: int, least: int) -> list[bytes]:
     return [b"".join(found.get(row * each + no, empty) for no in range(-(-width // SLAB))) for row in range(ROWS)]
 
 
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """Counts of equal phrases of some tables as one."""
+    summed = pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+    return summed.rename_columns(["lang", "words", "phrase", "n"])
+
+
 def exact_counts(docs: DataFrame, width: int, least: int) -> DataFrame:
     """lang, words, phrase, n: the phrases of one to five words that occur ``least`` times or more, and all words as phrase ''."""
     sent = docs.sparkSession.sparkContext.broadcast(frequent_bits(docs, width, least))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for table in counted(batches):
+            held.append(table)
+            if sum(map(len, held)) > 2 * HELD:
+                held = [_added(held)]
+                if len(held[0]) > HELD:
+                    yield from held.pop().to_batches(max_chunksize=10_000)
+        if held:
+            yield from _added(held).to_batches(max_chunksize=10_000)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         bits = [np.frombuffer(b, np.uint8) for b in sent.value]
         for chunk in _chunks(batches):
             every = np.bincount(chunk.lang[chunk.counted], minlength=len(chunk.langs))
@@ -212,7 +231,7 @@ def exact_counts(docs: DataFrame, width: int, least: int) -> DataFrame:
                 rows.append((chunk.lang[here], np.full(len(here), k), names, n))
             for lang, words, phrase, n in rows:
                 if len(n):
-                    yield pa.RecordBatch.from_arrays([pa.array(chunk.langs[lang].tolist(), pa.string()), pa.array(words.astype(np.int32)), phrase.cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "words", "phrase", "n"])
+                    yield pa.table([pa.array(chunk.langs[lang].tolist(), pa.string()), pa.array(words.astype(np.int32)), phrase.cast(pa.binary()).cast(pa.string()), pa.array(n.astype(np.int64))], names=["lang", "words", "phrase", "n"])
 
     partial = docs.mapInArrow(count, GRAM_SCHEMA)
     return partial.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == 0))
@@ -232,10 +251,12 @@ def collocations(docs: DataFrame, *, least: int = 100, top: int = 2000, width: i
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     if width is None:
-        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         # about a word to six bytes, and five phrases to a word
         width = int(min(max(size / 6 * WORDS / (least / 2), SLAB), MOST_COUNTERS))
+    # tasks have texts in proportion to their sketches, so that all sketches together stay a part of the texts
+    rows = rows.coalesce(max(1, -(-size // max(SHARE * ROWS * width, LEAST_TEXT))))
     counts = cut(exact_counts(rows, width, least))
     every = counts.where("words = 0").select("lang", F.col("n").alias("all_words"))
     known = counts.where("words > 0").select("lang", "phrase", "n")
