@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
@@ -50,6 +50,37 @@ def stalls(beats: DataFrame, job: str, at: str, idle: int, total: int) -> DataFr
     return jobs.withColumn("verdict", verdict)
 
 
+def beats_of(events: DataFrame, job: str, at: str, done: Column, total: Column) -> DataFrame:
+    """job, at (microseconds), percent: what a job's events say of its progress."""
+    return events.select(F.col(job).alias("job"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), T.progress_percent(done, total).alias("percent"))
+
+
+def timeouts(beats: DataFrame, idle: int, total: int) -> DataFrame:
+    """job, last_beat, beats, percent, verdict: each job's first limit that ended before a beat of it.
+
+    ``beats`` has job, at (microseconds) and percent; only a change of the
+    percentage is progress. The limit that ends first is the verdict, the total
+    limit where both end together. The row tells the last beat before, and the
+    beats until then. Jobs within their limits have no row.
+    """
+    order = Window.partitionBy("job").orderBy("at", "percent")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    goes = F.coalesce(F.col("percent") != F.lag("percent").over(order), F.lit(True))
+    rows = beats.withColumn("went", F.when(goes, F.col("at")))
+    rows = rows.withColumns({"started": F.min("at").over(before), "moved": F.max("went").over(before), "last_beat": F.max("at").over(before), "n": F.count("*").over(before), "last_percent": F.lag("percent").over(order)})
+    by_total, by_idle = F.col("started") + total * 1_000_000, F.col("moved") + idle * 1_000_000
+    late = rows.where(F.col("at") > F.least(by_total, by_idle)).withColumn("verdict", F.when(by_total <= by_idle, "over time").otherwise("stalled"))
+    first = late.groupBy("job").agg(F.min(F.struct("at", "last_beat", "n", "last_percent", "verdict")).alias("first"))
+    return first.select("job", F.col("first.last_beat").alias("last_beat"), F.col("first.n").alias("beats"), F.col("first.last_percent").alias("percent"), F.col("first.verdict").alias("verdict"))
+
+
+def first_submits(submits: DataFrame) -> DataFrame:
+    """Of the submits of one content and layout the first: its columns, and how many there were."""
+    columns = [c for c in submits.columns if c not in ("file_hash", "layout")]
+    first = submits.groupBy("file_hash", "layout").agg(F.min(F.struct("ts", *[c for c in columns if c != "ts"])).alias("first"), F.count("*").alias("submits"))
+    return first.select("file_hash", "layout", *[F.col(f"first.{c}").alias(c) for c in columns], "submits")
+
+
 def translated(rows: DataFrame, translator: Translator, key: str = "id", budget: int = 2500) -> DataFrame:
     """key, source, target: one row out for each in.
 

@@ -67,15 +67,49 @@ def covered_boxes(boxes: DataFrame, share: float = 0.6, least: float = 0.0) -> D
     return pairs.select("book", "page", "id", "image_id")
 
 
-def floors(boxes: DataFrame) -> DataFrame:
-    """book, page, id, floor: 2 points above the nearest box below that overlaps in x, else 2 above the page's end.
-
-    Boxes of one page meet only; those of a page are few.
+def _ranges_of_a_tree(low: Column, high: Column, levels: int = 24) -> Column:
+    """The fewest nodes of a binary tree over whole numbers that make up low (included) to high (excluded): level and place."""
+    start = F.struct(low.cast("long").alias("l"), high.cast("long").alias("r"), F.array().cast("array<struct<level:int,place:bigint>>").alias("nodes"))
+
+    def up(state: Column, level: Column) -> Column:
+        left, right = state["l"], state["r"]
+        own = lambda keep, place: F.when(keep, F.array(F.struct(level.cast("int").alias("level"), place.alias("place")))).otherwise(F.array().cast("array<struct<level:int,place:bigint>>"))
+        odd_l, odd_r = (left < right) & (left % 2 == 1), (left < right) & (right % 2 == 1)
+        shift = lambda c: F.floor(c / 2).cast("long")
+        taken_l, taken_r = left + odd_l.cast("long"), right - odd_r.cast("long")
+        # where one cell is left, it is taken once
+        both = odd_r & (taken_l <= right - 1)
+        return F.struct(shift(taken_l).alias("l"), shift(F.greatest(taken_r, taken_l)).alias("r"), F.concat(state["nodes"], own(odd_l, left), own(both, right - 1)).alias("nodes"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, up, lambda s: s["nodes"])
+
+
+def floors(boxes: DataFrame, gap: float = 2.0, levels: int = 24) -> DataFrame:
+    """book, page, id, floor: ``gap`` above the nearest box below that overlaps in x, else ``gap`` above the page's end.
+
+    Boxes have a width. Their edges are numbered on each page, and a box is a few
+    nodes of a binary tree over these numbers. Two boxes overlap in x if a node of
+    one is, or lies above, a node of the other; so each box stands at its own nodes
+    and at all above them, and a sweep down each node's boxes tells the next lower
+    one. There are a few rows to a box, and no pairs.
     """
-    other = boxes.select("book", "page", F.col("id").alias("other"), F.col("x0").alias("o_x0"), F.col("x1").alias("o_x1"), F.col("y0").alias("o_y0"))
-    below = (F.col("o_y0") > F.col("y0") + 2) & (F.col("o_x1") > F.col("x0")) & (F.col("o_x0") < F.col("x1")) & (F.col("other") != F.col("id"))
-    near = boxes.join(other, ["book", "page"]).where(below).groupBy("id").agg((F.min("o_y0") - 2).alias("near"))
-    return boxes.join(near, "id", "left").select("book", "page", "id", F.least(F.col("page_h") - 2, F.coalesce("near", F.col("page_h"))).alias("floor"))
+    edges = boxes.select("book", "page", "id", F.posexplode(F.array("x0", "x1")).alias("side", "x"))
+    numbered = edges.withColumn("number", F.dense_rank().over(Window.partitionBy("book", "page").orderBy("x")))
+    ends = numbered.groupBy("id").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    placed = boxes.select("book", "page", "id", "y0", "page_h").join(ends, "id")
+    nodes = placed.select("book", "page", "id", "y0", _ranges_of_a_tree(F.col("low"), F.col("high"), levels).alias("own"))
+    above = F.flatten(F.transform("own", lambda n: F.transform(F.sequence(n["level"], F.lit(levels)), lambda up: F.struct(up.alias("level"), n["place"].alias("place"), n["level"].alias("from")))))
+    standing = nodes.select("book", "page", "id", "y0", F.explode(above).alias("n")).select("book", "page", "id", "y0", F.col("n.level").alias("level"), F.expr("shiftright(n.place, n.level - n.from)").alias("place"), (F.col("n.level") == F.col("n.from")).alias("own"))
+    standing = standing.groupBy("book", "page", "id", "y0", "level", "place").agg(F.max("own").alias("own"))
+    # a box asks from just under its top; boxes at that very height are not below
+    events = standing.select("book", "page", "level", "place", "own", F.explode(F.array(F.struct(F.col("y0").alias("at"), F.lit(1).alias("kind"), F.col("y0").alias("top"), F.lit(None).cast("long").alias("asks")), F.struct((F.col("y0") + gap).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("top"), F.col("id").cast("long").alias("asks")))).alias("e")).select("book", "page", "level", "place", "own", "e.*")
+    up = Window.partitionBy("book", "page", "level", "place").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    every, owned = F.last("top", ignorenulls=True).over(up), F.last(F.when(F.col("own"), F.col("top")), ignorenulls=True).over(up)
+    # at a node of its own a box meets all that stand there, at one above only those whose own it is
+    swept = events.withColumn("next", F.when(F.col("own"), every).otherwise(owned)).where("asks is not null")
+    near = swept.groupBy("asks").agg((F.min("next") - gap).alias("near"))
+    met = placed.join(near, F.col("id").cast("long") == F.col("asks"), "left")
+    return met.select("book", "page", "id", F.least(F.col("page_h") - gap, F.coalesce("near", F.col("page_h"))).alias("floor"))
 
 
 def overlaps(boxes: DataFrame, share: float = 0.1, band: float = 50.0) -> DataFrame:
@@ -100,9 +134,12 @@ def image_anchors(images: DataFrame, flow: DataFrame) -> DataFrame:
     ``images`` has the centre as y; ``flow`` has par_no and y0. Without one the
     anchor is null: the image goes to the end.
     """
-    elements = flow.select("book", "page", "par_no", "y0")
-    above = images.join(elements, ["book", "page"]).where("y0 <= y").groupBy("image_id").agg(F.max("par_no").alias("anchor"))
-    return images.join(above, "image_id", "left").select("book", "page", "image_id", "anchor")
+    nothing = F.lit(None).cast("long")
+    elements = flow.select("book", "page", F.col("y0").alias("y"), F.lit(0).alias("kind"), F.col("par_no").cast("long").alias("par_no"), nothing.alias("image_id"))
+    asking = images.select("book", "page", "y", F.lit(1).alias("kind"), nothing.alias("par_no"), F.col("image_id").cast("long").alias("image_id"))
+    down = Window.partitionBy("book", "page").orderBy("y", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    merged = elements.unionByName(asking).withColumn("anchor", F.max("par_no").over(down))
+    return merged.where("kind = 1").select("book", "page", "image_id", "anchor")
 
 
 def first_matches(rows: DataFrame, known: DataFrame) -> DataFrame:

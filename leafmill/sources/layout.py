@@ -8,7 +8,7 @@ never meets in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import strip
@@ -35,9 +35,22 @@ def ranked(df: DataFrame, group: list[str], block: str, order: list[str], name:
     return joined.drop("first_block", "first_rank", *[f"first_{g}" for g in group])
 
 
+def id_block(rows: DataFrame, column: str, each: int = BLOCK) -> Column:
+    """A number that never falls with a whole-number column: blocks of about ``each`` rows, however sparse the ids are.
+
+    It takes one pass over the column, for its least, its greatest and its count.
+    """
+    low, high, n = rows.agg(F.min(column), F.max(column), F.count(column)).first()
+    if not n:
+        return F.lit(0).cast("long")
+    width = max((high - low) * each // n, 1)
+    # beyond that the difference itself would not fit
+    return F.expr(f"(`{column}` - ({low}L)) div {width}L") if high - low < 1 << 62 else F.expr(f"shiftright(`{column}`, {width.bit_length() - 1})")
+
+
 def book_pages(documents: DataFrame) -> DataFrame:
     """book, page, doc_id, text."""
-    rows = documents.select(F.col("source").alias("book"), "doc_id", "text", F.expr(f"doc_id div {BLOCK}").alias("block"))
+    rows = documents.select(F.col("source").alias("book"), "doc_id", "text", id_block(documents, "doc_id").alias("block"))
     return ranked(rows, ["book"], "block", ["doc_id"], "page").select("book", F.col("page").cast("int").alias("page"), "doc_id", "text")
 
 
@@ -68,14 +81,39 @@ def lines(documents: DataFrame) -> DataFrame:
     )
 
 
+def set_lines(documents: DataFrame, words: int = 10, per_page: int = 30) -> DataFrame:
+    """The columns of ``lines`` for documents set anew: ``words`` words to a line, ``per_page`` lines to a page.
+
+    Pages of a document follow each other in its book, so texts go on over page
+    ends, as they do in a book.
+    """
+    every = F.filter(F.split("text", r"[ \t\n\x0b\x0c\r]+"), lambda w: w != "")
+    rows = book_pages(documents).select("book", F.col("page").alias("doc"), every.alias("w")).where("size(w) > 0")
+    starts = F.sequence(F.lit(0), F.expr(f"(size(w) - 1) div {words}"))
+    rows = rows.select("book", "doc", F.posexplode(F.transform(starts, lambda k: F.array_join(F.slice("w", k * words + 1, words), " "))).alias("k", "text"))
+    number = F.expr(f"cast(k % {per_page} as int)")
+    return rows.select(
+        "book",
+        F.expr(f"doc * 10000000L + k div {per_page}").alias("page"),
+        number.alias("line_no"),
+        "text",
+        F.lit(52.0).alias("x0"),
+        F.least(F.lit(356.0), 52.0 + 5 * F.length("text")).alias("x1"),
+        (30 + 14 * number).cast("double").alias("y0"),
+        (42 + 14 * number).cast("double").alias("y1"),
+        F.lit(11.5).alias("size"),
+        F.lit(60.0 + 14 * per_page).alias("page_h"),
+    )
+
+
 def with_ids(rows: DataFrame) -> DataFrame:
     """``rows`` of lines with a dense global id in the order of book, page and line."""
-    keyed = rows.withColumn("block", F.expr("page div 64")).withColumn("one", F.lit(1))
+    keyed = rows.withColumn("block", F.expr("page div 64"))
     books = rows.groupBy("book").agg(F.count("*").alias("n"))
     # one row per book: the ids before each
     before = Window.partitionBy().orderBy(F.col("book").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     first = books.select(F.col("book").alias("first_book"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first_id"))
-    placed = ranked(keyed.drop("one"), ["book"], "block", ["page", "line_no"], "in_book")
+    placed = ranked(keyed, ["book"], "block", ["page", "line_no"], "in_book")
     joined = placed.join(first, F.col("book").eqNullSafe(F.col("first_book")))
     return joined.withColumn("id", F.col("first_id") + F.col("in_book")).drop("first_book", "first_id", "in_book", "block")
 

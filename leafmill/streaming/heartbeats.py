@@ -8,12 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from leafmill.operators.jobs import Translator, translated
 
-STALL_SCHEMA = "job long, last_beat double, beats long, verdict string"
-STATE_SCHEMA = "started double, last double, beats long, seen double"
+STALL_SCHEMA = "job long, last_beat long, beats long, percent int, verdict string"
+STATE_SCHEMA = "started long, moved long, last long, beats long, percent int, began long, went long"
+#: The setting that keeps states with timers.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -34,43 +36,102 @@ def sessions(events: DataFrame, idle: str = "480 seconds", late: str = "1 hour")
     return spells.select("job", F.col("spell.start").alias("began"), F.col("spell.end").alias("ended"), "beats")
 
 
-def watchdog(events: DataFrame, idle: float = 480.0, total: float = 3600.0, tick_ms: int = 5000) -> DataFrame:
-    """A row for each job that goes over its time or stands still.
+class Watchdog(StatefulProcessor):
+    """Two limits for each job: the time it may take, and the time its percentage may stand still.
 
-    Gaps between beats are told by the clock of the beats. A job that beats no
-    more is looked at every ``tick_ms`` and stalls once no beat of it has come for
-    ``idle`` seconds of the processing clock. State is four numbers a job.
+    A beat has a time in microseconds and a percentage; only a change of the
+    percentage is progress. Of the limits, the one that ends first is the verdict,
+    the total limit where both end together. Beats are judged by their own clock;
+    for a job that beats no more a timer is set, by the processing clock, to the end
+    of the nearer limit. A job that was reported is over: its later beats count
+    for nothing, and its state goes after ``forget_ms``.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        job = key[0]
-        clock = state.getCurrentProcessingTimeMs() / 1000
-        if state.hasTimedOut:
-            started, last, beats, seen = state.get
-            if clock - seen <= idle:
-                state.setTimeoutDuration(tick_ms)
+    def __init__(self, idle: float, total: float, forget_ms: int = 86_400_000) -> None:
+        self.idle, self.total, self.forget_ms = idle, total, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", STATE_SCHEMA)
+        self.over = handle.getValueState("over", "told boolean", self.forget_ms)
+
+    def verdict(self, now: float, started: float, moved: float, unit: float) -> str | None:
+        """What ends a job by ``now``, on a clock of that many units a second."""
+        by_total, by_idle = started + self.total * unit, moved + self.idle * unit
+        if now > min(by_total, by_idle):
+            return "over time" if by_total <= by_idle else "stalled"
+        return None
+
+    def _told(self, key: tuple, state: tuple, verdict: str) -> pd.DataFrame:
+        self.job.clear()
+        self.over.update((True,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        return pd.DataFrame([(key[0], state[2], state[3], state[4], verdict)], columns=["job", "last_beat", "beats", "percent", "verdict"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if self.over.exists():
+            return
+        clock = timerValues.getCurrentProcessingTimeInMs()
+        # started, moved and last by the beats' clock; then beats, percent; started and moved by the processing clock
+        state = self.job.get() if self.job.exists() else None
+        for at, percent in sorted((int(a), int(p)) for frame in rows for a, p in zip(frame["at"], frame["percent"], strict=True)):
+            if state is None:
+                state = (at, at, at, 1, percent, clock, clock)
+                continue
+            started, moved, last, beats, before, began, went = state
+            verdict = self.verdict(at, started, moved, 1e6)
+            if verdict:
+                yield self._told(key, state, verdict)
                 return
-            state.remove()
-            yield pd.DataFrame([(job, last, beats, "stalled")], columns=["job", "last_beat", "beats", "verdict"])
+            goes = percent != before
+            state = (started, at if goes else moved, max(last, at), beats + 1, percent, began, clock if goes else went)
+        if state is not None:
+            self.job.update(state)
+            self._set_timer(state)
+
+    def _set_timer(self, state: tuple) -> None:
+        ends = int(min(state[5] + self.total * 1000, state[6] + self.idle * 1000)) + 1
+        timers = set(self.handle.listTimers())
+        for timer in timers - {ends}:
+            self.handle.deleteTimer(timer)
+        if ends not in timers:
+            self.handle.registerTimer(ends)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.job.exists():
             return
-        started, last, beats, _ = state.get if state.exists else (None, None, 0, clock)
-        found = []
-        for at in sorted(t for frame in frames for t in frame["at"]):
-            if started is None:
-                started = last = at
-            if at - started > total:
-                found.append((job, last, beats, "over time"))
-                started, beats = at, 0
-            elif at - last > idle:
-                found.append((job, last, beats, "stalled"))
-                started, beats = at, 0
-            last, beats = max(last, at), beats + 1
-        state.update((started, last, beats, clock))
-        state.setTimeoutDuration(tick_ms)
-        yield pd.DataFrame(found, columns=["job", "last_beat", "beats", "verdict"])
-
-    beats = events.select(F.col("user_id").cast("long").alias("job"), F.col("ts").cast("double").alias("at"))
-    return beats.groupBy("job").applyInPandasWithState(run, STALL_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        state = self.job.get()
+        verdict = self.verdict(timerValues.getCurrentProcessingTimeInMs(), state[5], state[6], 1000)
+        if verdict:
+            yield self._told(key, state, verdict)
+        else:
+            self._set_timer(state)
+
+    def close(self) -> None:
+        pass
+
+
+def watchdog(beats: DataFrame, idle: float = 480.0, total: float = 3600.0, forget_ms: int = 86_400_000) -> DataFrame:
+    """A row for each job of a stream that takes too long or stands still.
+
+    ``beats`` has job, at (microseconds) and percent, as ``jobs.beats_of`` gives;
+    on a finite table ``jobs.timeouts`` gives the same rows. Timers and states
+    with a time to live need the state store ``STATE_STORE`` names.
+    """
+    rows = beats.select(F.col("job").cast("long").alias("job"), F.col("at").cast("long").alias("at"), F.col("percent").cast("int").alias("percent"))
+    return rows.groupBy("job").transformWithStateInPandas(Watchdog(idle, total, forget_ms), STALL_SCHEMA, "Append", "processingTime")
+
+
+def accepted_submits(submits: DataFrame, within: str = "1 hour") -> DataFrame:
+    """The first submit of each content and layout on a stream; repeats and late ones go.
+
+    ``submits`` has file_hash, layout and a timestamp ts. A key is kept for
+    ``within`` after its first submit, by the watermark, so state is bounded by what
+    comes in that time; on a finite table ``jobs.first_submits`` gives the same rows
+    for repeats within that time.
+    """
+    return submits.withWatermark("ts", within).dropDuplicatesWithinWatermark(["file_hash", "layout"])
 
 
 def translate_stream(rows: DataFrame, translator: Translator, out: str, checkpoint: str, key: str = "id") -> StreamingQuery:
