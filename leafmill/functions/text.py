@@ -15,6 +15,7 @@ GLUED_HYPHEN = r"[,.)(]-|-[,.)(]"
 GLUED_SIGN = rf"[{LETTERS}][)(,\p{{Nd}}][{LETTERS}]"
 GLUED_DIGIT = rf"\p{{Nd}}[{CYRILLIC}]{{2,}}"
 HEADING_WORD = r"^(частина|часть|розділ|раздел|глава|part|chapter)([^\p{L}\p{N}_]|$)"
+# The two imprint patterns are one alternative each: RE2 and Java know no common word border, so a border is spelt out for both ends of the first.
 IMPRINT_CODE = r"(^|[^\p{L}\p{N}_])(удк|ббк|isbn|issn|ean)([^\p{L}\p{N}_]|$)"
 IMPRINT_MARK = r"^[^\p{L}\p{N}_]*[а-яa-zё]\s\p{Nd}{2,4}([^\p{L}\p{N}_]|$)"
 LEADERS = r"[.…]{2,}\s*\p{Nd}{1,4}\s*$"
@@ -24,6 +25,9 @@ SENTENCE_END = r"[.!?…:»\")]\s*$"
 LOWER_START = r"^[а-яёїієґa-z]"
 CAPITAL_START = r"^[«\"(]?\s*[—–-]?\s*[А-ЯЁЇІЄҐA-Z\p{Nd}]"
 HYPHEN_END = r"[А-Яа-яЁёЇїІіЄєҐґA-Za-z]-$"
+WORD, NO_WORD = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
+SECRET = r"key=[A-Za-z0-9_.-]+"
+MARKED_LETTER = "[A-Za-zА-Яа-яЁёЇіІїЄєҐґ]"
 TOKEN_EDGE = "().,;:«»\"'·—-"
 
 
@@ -67,8 +71,7 @@ def looks_garbled(c: Column) -> Column:
 def junk_tokens(c: Column) -> Column:
     """Tokens in which, edges stripped, a letter, a digit and one of / ; : = ) ( meet."""
     cores = F.transform(F.split(strip(c), r"[\s]+"), lambda t: F.btrim(t, F.lit(TOKEN_EDGE)))
-    letter = "[A-Za-zА-Яа-яЁёЇіІїЄєҐґ]"
-    return F.size(F.filter(cores, lambda t: (F.length(t) >= 3) & t.rlike(letter) & t.rlike(r"\p{Nd}") & t.rlike("[/;:=)(]")))
+    return F.size(F.filter(cores, lambda t: (F.length(t) >= 3) & t.rlike(MARKED_LETTER) & t.rlike(r"\p{Nd}") & t.rlike("[/;:=)(]")))
 
 
 def suspect_garble(c: Column) -> Column:
@@ -110,7 +113,7 @@ def escape_html(c: Column) -> Column:
 
 def mask_keys(c: Column, limit: int = 200) -> Column:
     """Values of key= in a message are hidden, and the message is cut."""
-    return F.left(F.regexp_replace(c, r"key=[^&\s]+", "key=***"), F.lit(limit))
+    return F.left(F.regexp_replace(c, SECRET, "key=***"), F.lit(limit))
 
 
 def joined_lines(c: Column) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
@@ -169,11 +169,39 @@ def proofread(rows: DataFrame, editor: Editor, key: str = "id", budget: int = 25
     return done.unionByName(named.where(~real).withColumn("target", F.col("draft")))
 
 
-def rebuilt(rows: DataFrame, cached: DataFrame, key: str = "cache_key") -> DataFrame:
-    """Rows with target: the translation cached under their key, else their own text; and whether it was cached."""
-    known = cached.groupBy(F.col(key).alias("cached_key")).agg(F.min("target").alias("found"))
-    joined = rows.join(known, F.col(key) == F.col("cached_key"), "left")
-    return joined.withColumn("cached", F.col("cached_key").isNotNull()).withColumn("target", F.coalesce("found", "text")).drop("cached_key", "found")
+def rebuilt(rows: DataFrame, cached: DataFrame) -> DataFrame:
+    """Rows with target: the translation known for their cache key, else their own text; and whether it was known.
+
+    ``cached`` has text, target and ord. A text has the target of its last row; of
+    the texts of one key, the one that came last answers. Blank texts and blank
+    targets answer nothing.
+    """
+    texts = cached.groupBy("text").agg(F.min("ord").alias("came"), F.max_by("target", "ord").alias("target"))
+    good = texts.where((F.length(T.strip(F.col("text"))) > 0) & (F.length(T.strip(F.col("target"))) > 0))
+    known = good.groupBy(T.cache_key(F.col("text")).alias("known_key")).agg(F.max_by("target", "came").alias("found"))
+    joined = rows.join(known, T.cache_key(F.col("text")) == F.col("known_key"), "left")
+    return joined.withColumn("cached", F.col("known_key").isNotNull()).withColumn("target", F.coalesce("found", "text")).drop("known_key", "found")
+
+
+def built(lines: DataFrame, path: str, threshold: float = 5.0, least: int = 4) -> dict:
+    """Write a finished book and flag it in the same pass: status, and what the flag says.
+
+    Suspect lines are counted as they are written. The job is done whatever the
+    counts say, and also where they cannot be had; then there is no flag.
+    """
+    seen = Observation("quality")
+    counted = F.length("text") >= least
+    lines.observe(seen, F.count_if(counted).alias("total"), F.count_if(counted & T.suspect_garble(F.col("text"))).alias("suspect")).write.mode("overwrite").parquet(path)
+    return {"status": "done", "quality": flag_of(seen, threshold)}
+
+
+def flag_of(seen: Observation, threshold: float) -> dict | None:
+    try:
+        counts = seen.get
+        percent = round(100.0 * counts["suspect"] / max(counts["total"], 1), 1)
+        return {"total": counts["total"], "suspect": counts["suspect"], "garbled_percent": percent, "has_issues": percent >= threshold}
+    except Exception:  # a book without a flag is still a book
+        return None
 
 
 def downloads(jobs: DataFrame) -> DataFrame:

@@ -48,6 +48,26 @@ def nearest_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
     return tokens.join(found, "token", "left").withColumn("fixed", F.coalesce("fixed", "token"))
 
 
+def corrected_texts(rows: DataFrame, keys: list[str], column: str, words: DataFrame, least: int = 2) -> DataFrame:
+    """keys, column, fixed, changed: texts whose words are put right by the known ones.
+
+    A text is cut into words and what is between; each word of ``least`` letters or
+    more is replaced as ``nearest_words`` tells, and the parts are put together
+    again. Equal words are looked up once.
+    """
+    # columns of its own are set apart from those of the rows
+    apart = {c: f"own_{i}" for i, c in enumerate([*keys, column])}
+    named = rows.select(*[F.col(c).alias(n) for c, n in apart.items()])
+    parts = F.regexp_extract_all(F.col(apart[column]), F.lit(T.WORD + "|" + T.NO_WORD), F.lit(0))
+    tokens = named.select("*", F.posexplode(parts).alias("part_no", "token"))
+    wanted = tokens.where((F.length("token") >= least) & F.col("token").rlike("^" + T.WORD)).select("token").distinct()
+    fixed = nearest_words(wanted, words)
+    joined = tokens.join(fixed, "token", "left").withColumn("fixed", F.coalesce("fixed", "token"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_no", "fixed"))), lambda p: p["fixed"]), "")
+    done = joined.groupBy(*apart.values()).agg(whole.alias("fixed"))
+    return done.select(*[F.col(n).alias(c) for c, n in apart.items()], "fixed", (F.col("fixed") != F.col(apart[column])).alias("changed"))
+
+
 def _neighbours(rows: DataFrame, column: str) -> DataFrame:
     """Rows once for each string left by up to two deletions; strings within distance 2 share one."""
     cut_one = lambda x: F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))

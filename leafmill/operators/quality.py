@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
@@ -95,3 +95,31 @@ def title_lines(lines: DataFrame, body_page: DataFrame, share: float = 0.7, titl
     ranked = rows.withColumn("kind", kind).where("kind is not null").withColumn("place", F.row_number().over(Window.partitionBy("book", "kind").orderBy("line_no")))
     part = lambda k, n: F.concat_ws(" " if k == "title" else "; ", F.transform(F.array_sort(F.collect_list(F.when((F.col("kind") == k) & (F.col("place") <= n), F.struct("place", "text")))), lambda s: s["text"]))
     return ranked.groupBy("book").agg(F.substring(part("title", titles), 1, 120).alias("title"), part("author", authors).alias("authors"))
+
+
+def cover_gate(blocks: Column, keep_original: Column) -> Column:
+    """Whether a cover is made anew: its page has no block of text, and the original is not to stay."""
+    return (blocks == 0) & ~F.coalesce(keep_original, F.lit(False))
+
+
+def dominant_colours(pixels: DataFrame, k: int = 6, step: int = 12) -> DataFrame:
+    """id, place, r, g, b, share, plain, base, accent: each image's ``k`` most frequent colours in steps of ``step``.
+
+    ``pixels`` has id, r, g, b and n. A colour stands for its step's middle.
+    ``plain``: the first has over half of all pixels. ``base``: of the first three,
+    the one whose luminance is farthest from 110; ``accent``: the one of the widest
+    range of channels. Ties go to the more frequent.
+    """
+    down = lambda c: F.expr(f"{c} div {step} * {step}").cast("int").alias(c)
+    counts = pixels.select("id", down("r"), down("g"), down("b"), "n").groupBy("id", "r", "g", "b").agg(F.sum("n").alias("n"))
+    totals = pixels.groupBy("id").agg(F.sum("n").alias("every")).withColumnRenamed("id", "of_id")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "r", "g", "b"))
+    top = counts.withColumn("place", rank).where(F.col("place") <= k).join(totals, F.col("id") == F.col("of_id"))
+    up = lambda c: F.least(F.lit(255), F.col(c) + step // 2).cast("int").alias(c)
+    top = top.select("id", "place", up("r"), up("g"), up("b"), F.round(F.col("n") / F.col("every"), 6).alias("share"))
+    # k rows an image
+    own = Window.partitionBy("id")
+    far = F.when(F.col("place") <= 3, F.abs(T.luminance(F.col("r"), F.col("g"), F.col("b")) - 110))
+    wide = F.greatest("r", "g", "b") - F.least("r", "g", "b")
+    best = lambda score: F.max(F.struct(score.alias("score"), (-F.col("place")).alias("place"))).over(own)["place"] == -F.col("place")
+    return top.withColumn("plain", F.max("share").over(own) > 0.5).withColumn("base", best(F.round(far, 6))).withColumn("accent", best(wide))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.sources.checkpoints import cut
 
 KINDS = ("h1", "h2", "h3", "para")
 
@@ -129,61 +133,173 @@ def _joined(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return grouped.select(*group, F.col("parts")[0]["kind"].alias("kind"), folded.alias("text"), F.col("parts")[0]["y0"].alias("y0"))
 
 
-def merged_across_pages(pars: DataFrame) -> DataFrame:
-    """book, page, par_no, kind, text: paragraphs that go on over a page end are one, on its first page.
+def _at_block_ends(rows: DataFrame, value: Column, before: str) -> DataFrame:
+    """``rows`` (book, block, page, par_no) with the value of the row before in the book, also over block ends.
+
+    Inside a block its rows tell; for its first row the blocks' last values are
+    carried over, a row for each block.
+    """
+    inside = Window.partitionBy("book", "block").orderBy("page", "par_no")
+    over = Window.partitionBy("book").orderBy("block")
+    last = rows.groupBy("book", "block").agg(F.max_by(value, F.struct("page", "par_no")).alias("last"))
+    carried = last.select(F.col("book").alias("in_book"), F.col("block").alias("in_block"), F.lag("last").over(over).alias("carried"))
+    met = rows.join(carried, F.col("book").eqNullSafe(F.col("in_book")) & (F.col("block") == F.col("in_block")))
+    first = F.row_number().over(inside) == 1
+    return met.withColumn(before, F.when(first, F.col("carried")).otherwise(F.lag(value).over(inside))).drop("in_book", "in_block", "carried")
+
+
+def _counted_on(rows: DataFrame, new: Column, name: str) -> DataFrame:
+    """``rows`` with the number of rows up to theirs in the book for which ``new`` holds: counts of blocks, then of rows."""
+    inside = Window.partitionBy("book", "block").orderBy("page", "par_no")
+    over = Window.partitionBy("book").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("book", "block").agg(F.count_if(new).alias("new"))
+    first = counts.select(F.col("book").alias("in_book"), F.col("block").alias("in_block"), F.coalesce(F.sum("new").over(over), F.lit(0)).alias("so_far"))
+    met = rows.join(first, F.col("book").eqNullSafe(F.col("in_book")) & (F.col("block") == F.col("in_block")))
+    return met.withColumn(name, F.col("so_far") + F.sum(new.cast("int")).over(inside)).drop("in_book", "in_block", "so_far")
+
+
+def merged_across_pages(pars: DataFrame, pages: int = 64) -> DataFrame:
+    """book, flow_no, kind, text: paragraphs that go on over a page end are one, on its first page.
 
     A paragraph goes on if the one before has no sentence end, it starts in lower
     case, and its page is not the page where the merged one began. Rows that do
     not join keep that page, so a run of candidates joins by comparing with the
-    page of the row before the run.
+    page of the row before the run. Books are taken in blocks of whole pages: a run
+    that comes from an earlier block began on another page, so all of it joins, and
+    of each block the next needs no more than how its last row ends.
     """
-    book = Window.partitionBy("book").orderBy("page", "par_no")
-    goes_on = (F.col("kind") == "para") & (F.lag("kind").over(book) == "para") & ~F.lag("text").over(book).rlike(T.SENTENCE_END) & F.col("text").rlike(T.LOWER_START)
-    rows = pars.withColumn("goes_on", F.coalesce(goes_on, F.lit(False)))
-    rows = rows.withColumn("run", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(book))
-    head = F.min("page").over(Window.partitionBy("book", "run"))
-    rows = rows.withColumn("joins", F.col("goes_on") & (F.col("page") != head))
-    rows = rows.withColumn("flow_no", F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(book) - 1)
+    rows = cut(pars).withColumn("block", F.expr(f"page div {pages}"))
+    is_text = F.col("kind") == "para"
+    rows = _at_block_ends(rows, F.coalesce(is_text & ~F.col("text").rlike(T.SENTENCE_END), F.lit(False)), "open_before")
+    rows = rows.withColumn("goes_on", F.coalesce(F.col("open_before") & is_text & F.col("text").rlike(T.LOWER_START), F.lit(False)))
+    inside = Window.partitionBy("book", "block").orderBy("page", "par_no")
+    rows = rows.withColumn("run", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(inside))
+    head = F.min("page").over(Window.partitionBy("book", "block", "run"))
+    rows = rows.withColumn("joins", F.col("goes_on") & ((F.col("run") == 0) | (F.col("page") != head)))
+    rows = _counted_on(rows, ~F.col("joins"), "flow_no").withColumn("flow_no", F.col("flow_no") - 1)
     return _joined(rows.withColumn("place", F.struct("page", "par_no")), ["book", "flow_no"], ["page", "par_no"]).drop("y0")
 
 
-def segments(flow: DataFrame) -> DataFrame:
-    """``flow`` with segment (a new one at each h1 after the first row) and first_after_heading."""
-    book = Window.partitionBy("book").orderBy("page", "par_no")
-    rows = flow.withColumn("segment", F.sum(F.when((F.col("kind") == "h1") & (F.row_number().over(book) > 1), 1).otherwise(0)).over(book))
-    inside = Window.partitionBy("book", "segment").orderBy("page", "par_no")
-    after = (F.col("kind") == "para") & F.coalesce(F.lag("kind").over(inside) != "para", F.lit(False))
-    return rows.withColumn("unindented", after)
+def segments(flow: DataFrame, pages: int = 64) -> DataFrame:
+    """``flow`` with segment (a new one at each h1 after the first row) and unindented, for text after a heading.
+
+    Segments are counted in blocks of whole pages, and blocks added up.
+    """
+    rows = cut(flow).withColumn("block", F.expr(f"page div {pages}"))
+    rows = _at_block_ends(rows, F.col("kind"), "kind_before")
+    rows = _counted_on(rows, (F.col("kind") == "h1") & F.col("kind_before").isNotNull(), "segment")
+    after = (F.col("kind") == "para") & F.coalesce(F.col("kind_before") != "para", F.lit(False))
+    return rows.withColumn("unindented", after).drop("block", "kind_before")
 
 
-def heading_pages(heads: DataFrame, lines: DataFrame, cut: int = 40) -> DataFrame:
-    """book, ord, page: each heading's page, searched from the page of the heading before.
+#: Bits that tell which hashes of headings there may be; more headings than some hundred thousand only make them tell less.
+HASH_BITS = 1 << 22
 
-    ``heads`` has book, ord and text. A page holds a heading if its words in one
-    space hold the first ``cut`` characters of it, from the start of a word; a
-    heading not found has the page where its search began. Pages meet headings
-    by a heading's first word; one task folds a book's headings, of a few whole
-    numbers each.
+
+def _window_hashes(points: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each window of so many characters."""
+    h = np.zeros(max(len(points) - size + 1, 0), np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + points[k : k + len(h)]
+    return h ^ (h >> np.uint64(29))
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def heading_pages(heads: DataFrame, lines: DataFrame, cut_at: int = 40, probe: int = 12, pages: int = 64) -> DataFrame:
+    """book, page, par_no, found: each heading's page, searched from the page of the heading before.
+
+    ``heads`` has book, page, par_no and text. A page holds a heading if its lines
+    in one space hold the first ``cut_at`` characters of it anywhere, whatever their
+    case. A heading not found, or without text, has the page where its search began.
+
+    Pages meet headings by hashes of all their windows of the length of a heading's
+    first ``probe`` characters; each page's text is looked at once for all headings
+    that may be on it. What a block of headings does to the page where its search
+    begins is a step function of the pages where its headings are; a scan through
+    the blocks tells where each begins, and then each finds its own.
     """
-    needle = F.concat(F.lit(" "), F.left(T.one_spaced(F.col("text")), F.lit(cut)))
-    one = ~F.col("needle").substr(F.lit(2), F.lit(cut)).contains(" ")
-    named = heads.select("book", "ord", needle.alias("needle")).withColumn("probe", F.when(one, F.concat("needle", F.lit(" "))).otherwise(F.col("needle")))
-    named = named.withColumn("word", F.split("needle", " ")[1])
+    key = F.left(F.lower(T.one_spaced(F.col("text"))), F.lit(cut_at))
+    named = cut(heads.select("book", F.col("page").cast("long").alias("page"), F.col("par_no").cast("long").alias("par_no"), key.alias("needle"), F.expr(f"page div {pages}").alias("block")))
+    needles = named.where("needle <> ''").select("book", "needle").distinct()
+    kept = F.least(F.length("needle"), F.lit(probe))
+    sizes = sorted(r[0] for r in needles.select(kept).distinct().collect())  # probe different ones at most
+
+    def hash_needles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(size=[min(len(t), probe) for t in frame["needle"]], hash=[int(_window_hashes(_points(t[:probe]), min(len(t), probe))[0].astype(np.int64)) for t in frame["needle"]])
+
+    hashed = cut(needles.mapInPandas(hash_needles, "book string, needle string, size int, hash long"))
+    slot = F.pmod(F.col("hash"), F.lit(HASH_BITS))
+    words = hashed.groupBy(F.shiftright(slot, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(hash, {HASH_BITS}) % 64 as int))")).alias("bits")).collect()  # HASH_BITS / 64 rows at most
+    known = np.zeros(HASH_BITS // 64, np.int64)
+    for row in words:
+        known[row.word] = row.bits
+
+    def hash_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for book, page, body in frame.itertuples(index=False, name=None):
+                points = _points(body)
+                for size in sizes:
+                    h = _window_hashes(points, size).astype(np.int64)
+                    place = h & (HASH_BITS - 1)
+                    h = np.unique(h[(known[place >> 6] >> (place & 63)) & 1 == 1])
+                    yield pd.DataFrame({"book": book, "page": page, "size": np.int32(size), "hash": h})
+
     parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
-    pages = lines.groupBy("book", "page").agg(F.concat(F.lit(" "), T.one_spaced(F.concat_ws(" ", F.transform(parts, lambda p: p["text"]))), F.lit(" ")).alias("body"))
-    words = pages.select("book", "page", F.explode(F.array_distinct(F.split("body", " "))).alias("word"))
-    met = named.where("word <> ''").join(words, ["book", "word"]).join(pages, ["book", "page"]).where(F.col("body").contains(F.col("probe")))
-    found = met.groupBy("book", "ord").agg(F.sort_array(F.collect_list("page")).alias("pages"))
-    rows = named.select("book", "ord").join(found, ["book", "ord"], "left")
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, at, out = part.sort_values("ord"), 0, []
-        for hits in part["pages"]:
-            at = next((p for p in (hits if hits is not None else ()) if p >= at), at)
+    bodies = cut(lines.groupBy("book", F.col("page").cast("long").alias("page")).agg(F.lower(T.one_spaced(F.concat_ws(" ", F.transform(parts, lambda p: p["text"])))).alias("body")))
+    met = bodies.mapInPandas(hash_pages, "book string, page long, size int, hash long").join(hashed, ["book", "size", "hash"])
+    # the headings that may be on a page, no more than it has characters
+    asked = met.groupBy("book", "page").agg(F.collect_set("needle").alias("needles"))
+    hits = bodies.join(asked, ["book", "page"]).select("book", "page", F.explode(F.filter("needles", lambda n: F.col("body").contains(n))).alias("needle"))
+    places = hits.groupBy("book", "needle").agg(F.array_sort(F.collect_list("page")).alias("hits"))
+    of_block = cut(named.select("book", "block", "needle").distinct().join(places, ["book", "needle"])).toDF("of_book", "of_needle", "of_block", "hits")
+
+    def own_hits(part: pd.DataFrame) -> dict[str, np.ndarray]:
+        return {n: np.asarray(h, np.int64) for n, h in zip(part["of_needle"], part["hits"], strict=True)}
+
+    def summarise(key: tuple, heads: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        """For each page where a heading of the block is: the page where a search ends that begins there, or after the one before."""
+        hits = own_hits(found)
+        ends = np.unique(np.concatenate([*hits.values(), np.empty(0, np.int64)]))
+        values, moved = ends.copy(), np.zeros(len(ends), bool)
+        for needle in heads.sort_values(["page", "par_no"])["needle"] if hits else ():
+            if needle in hits:
+                at = np.searchsorted(hits[needle], values)
+                some = at < len(hits[needle])
+                values[some], moved[some] = hits[needle][at[some]], True
+        return pd.DataFrame({"book": [key[0]], "block": [key[1]], "ends": [ends.tolist()], "values": [np.where(moved, values, -1).tolist()]})
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, at = object(), 0
+        for frame in frames:
+            out = []
+            for book, block, ends, values in frame.itertuples(index=False, name=None):
+                if book != last:
+                    last, at = book, 0
+                out.append((book, block, at))
+                place = int(np.searchsorted(np.asarray(ends, np.int64), at))
+                if place < len(ends) and values[place] >= 0:
+                    at = int(values[place])
+            yield pd.DataFrame(out, columns=["book", "block", "begins"])
+
+    def find(key: tuple, heads: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        hits, out = own_hits(found), []
+        heads = heads.sort_values(["page", "par_no"])
+        at = int(heads["begins"].iloc[0]) if len(heads) else 0
+        for needle in heads["needle"]:
+            place = int(np.searchsorted(hits[needle], at)) if needle in hits else 0
+            at = int(hits[needle][place]) if needle in hits and place < len(hits[needle]) else at
             out.append(at)
-        return part.assign(page=out)[["book", "ord", "page"]]
+        return heads.assign(found=out)[["book", "page", "par_no", "found"]]
 
-    return rows.groupBy("book").applyInPandas(fold, "book string, ord long, page int")
+    grouped = of_block.groupBy("of_book", "of_block")
+    steps = named.groupBy("book", "block").cogroup(grouped).applyInPandas(summarise, "book string, block long, ends array<long>, values array<long>")
+    begins = steps.repartition("book").sortWithinPartitions("book", "block").mapInPandas(scan, "book string, block long, begins long")
+    entered = named.join(begins, ["book", "block"])
+    return entered.groupBy("book", "block").cogroup(grouped).applyInPandas(find, "book string, page long, par_no long, found long")
 
 
 def line_pitch(lines: DataFrame, default: float = 1.15) -> DataFrame:
@@ -193,15 +309,29 @@ def line_pitch(lines: DataFrame, default: float = 1.15) -> DataFrame:
     return lines.groupBy("book", "page").agg(F.when(n > 1, F.greatest(F.lit(1.05), F.least(F.lit(2.0), pitch))).otherwise(default).alias("pitch"))
 
 
-def ink_boxes(ink: DataFrame, boxes: DataFrame, least: int = 25, grown: float = 4.0) -> DataFrame:
-    """block, x0, y0, x1, y1: each box drawn close around the ink of its block.
+def ink_boxes(pixels: DataFrame, boxes: DataFrame, near: int = 48, least: int = 25, grown: float = 4.0) -> DataFrame:
+    """block, x0, y0, x1, y1: each box drawn close around the pixels of its text's colour.
 
-    The box stays where there are under ``least`` points of ink, where the ink
-    is beside it, or where its area would be more than ``grown`` times as large.
+    ``pixels`` has image, x, y, r, g, b; ``boxes`` has block, image, the box, the
+    image's width and height, and the colour as t_r, t_g, t_b. Pixels are searched
+    in a window around the box, half its width (6 at least) to each side and 0.35
+    of its height (6 at least) up and down; ink is what differs from the colour by
+    ``near`` at most in grey. The box stays where its window is under 4 across or
+    down, where there are under ``least`` points of ink, where the ink is beside
+    it, or where its area would be more than ``grown`` times as large.
     """
-    tight = ink.groupBy("block").agg(F.min("x").alias("l"), F.min("y").alias("t"), (F.max("x") + 1).alias("r"), (F.max("y") + 1).alias("b"), F.count("*").alias("n"))
-    beside = (F.col("r") <= F.col("x0")) | (F.col("l") >= F.col("x1")) | (F.col("b") <= F.col("y0")) | (F.col("t") >= F.col("y1"))
-    area = F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1))
-    good = (F.col("n") >= least) & ~beside & ((F.col("r") - F.col("l")) * (F.col("b") - F.col("t")) <= grown * area)
-    ends = [F.when(good, F.col(new)).otherwise(F.col(old)).alias(old) for new, old in (("l", "x0"), ("t", "y0"), ("r", "x1"), ("b", "y1"))]
+    across, down = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    aside, above = F.greatest(F.lit(6.0), across * 0.5), F.greatest(F.lit(6.0), down * 0.35)
+    low = lambda c: F.greatest(F.lit(0), c.cast("int"))
+    seen = boxes.withColumns({"s_x0": low(F.col("x0") - aside), "s_y0": low(F.col("y0") - above), "s_x1": F.least("width", (F.col("x1") + aside).cast("int")), "s_y1": F.least("height", (F.col("y1") + above).cast("int"))})
+    searched = seen.where("s_x1 - s_x0 >= 4 and s_y1 - s_y0 >= 4")
+    # the grey of a difference in whole numbers, by the same weights in thousandths and rounded down
+    grey = F.floor((F.abs(F.col("r") - F.col("t_r")) * 299 + F.abs(F.col("g") - F.col("t_g")) * 587 + F.abs(F.col("b") - F.col("t_b")) * 114) / 1000)
+    inside = (F.col("x") >= F.col("s_x0")) & (F.col("x") < F.col("s_x1")) & (F.col("y") >= F.col("s_y0")) & (F.col("y") < F.col("s_y1"))
+    ink = pixels.join(searched, "image").where(inside & (grey <= near))
+    tight = ink.groupBy("block").agg(F.min("x").alias("l"), F.min("y").alias("t"), (F.max("x") + 1).alias("rt"), (F.max("y") + 1).alias("bt"), F.count("*").alias("n"))
+    beside = (F.col("rt") <= F.col("x0")) | (F.col("l") >= F.col("x1")) | (F.col("bt") <= F.col("y0")) | (F.col("t") >= F.col("y1"))
+    area = F.greatest(across * down, F.lit(1))
+    good = (F.col("n") >= least) & ~beside & ((F.col("rt") - F.col("l")) * (F.col("bt") - F.col("t")) <= grown * area)
+    ends = [F.when(good, F.col(new)).otherwise(F.col(old)).alias(old) for new, old in (("l", "x0"), ("t", "y0"), ("rt", "x1"), ("bt", "y1"))]
     return boxes.join(tight, "block", "left").select("block", *ends)

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import batching, jobs, matching, quality, reflow
+from leafmill.operators import batching, clusters, jobs, matching, quality, reflow
+from leafmill.plans import inputs as I
 from leafmill.plans import literals as L
-from leafmill.sources import layout
+from leafmill.sources import checkpoints, layout
 from leafmill.sources.layout import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,8 +35,14 @@ def clean_lines(spark: SparkSession, folder: str, fraction: float = 0.02) -> Dat
 
 def flow(spark: SparkSession, folder: str) -> DataFrame:
     """Headings and paragraphs of each book, without its cover, title and contents pages."""
-    rows = lines(spark, folder)
-    return reflow.paragraphs(reflow.without_pages(rows, reflow.skip_pages(rows)), reflow.body_size(rows))
+    return flow_of(lines(spark, folder))
+
+
+def flow_of(rows: DataFrame, fraction: float = 0.02) -> DataFrame:
+    """Headers, page numbers and leader lines go first, so they are no part of what follows."""
+    body = reflow.body_size(rows)
+    kept = reflow.without_artifacts(rows, body, reflow.repeated_headers(rows, fraction)).drop("body")
+    return reflow.paragraphs(reflow.without_pages(kept, reflow.skip_pages(kept)), body)
 
 
 @query
@@ -110,13 +119,13 @@ def p21_skip_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p23_status_projection(spark: SparkSession, folder: str) -> DataFrame:
-    shown = jobs.public_status(L.frame(spark, L.JOBS).select("job_id", "status", "progress", "name", "file_hash", "path", "error"))
+    shown = jobs.public_status(I.frame(spark, folder, I.JOBS).select("job_id", "status", "progress", "name", "file_hash", "path", "error"))
     return shown.withColumn("error", T.mask_keys(F.col("error")))
 
 
 @query
 def p25_bit_unpack(spark: SparkSession, folder: str) -> DataFrame:
-    rows = L.frame(spark, L.COLOURS)
+    rows = I.frame(spark, folder, I.COLOURS)
     part = lambda n: F.shiftright("colour", n).bitwiseAND(255)
     has = lambda bit: F.col("flags").bitwiseAND(bit) != 0
     channels = T.hex_channels(F.col("hex"))
@@ -133,13 +142,13 @@ def p08_need_set(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p10_length_ranges(spark: SparkSession, folder: str) -> DataFrame:
-    rows = L.frame(spark, L.GLOSSARY)
+    rows = I.frame(spark, folder, I.GLOSSARY)
     return rows.select("ord", "term", (F.length("term").between(2, 60) & F.length("value").between(1, 80)).alias("kept"))
 
 
 @query
 def p24_job_list(spark: SparkSession, folder: str) -> DataFrame:
-    rows = L.frame(spark, L.JOBS)
+    rows = I.frame(spark, folder, I.JOBS)
     active = rows.select(F.count_if(F.col("status").isin(*jobs.ACTIVE)).alias("active"))
     key = F.coalesce(T.blank_as_null(F.col("fixed_key")), T.blank_as_null(F.col("slot_key")), F.lit("none"))
     return rows.crossJoin(F.broadcast(active)).select("job_id", "status", "progress", "name", "active", key.alias("resolved"))
@@ -167,21 +176,23 @@ def j04_checkpoint_anti(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def j05_cache_reuse(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "documents").select("doc_id", F.md5(T.cache_key(F.col("text")).cast("binary")).alias("key"))
-    cached = rows.groupBy("key").agg(F.min("doc_id").alias("reused_from"))
-    return rows.join(cached, "key").where("reused_from < doc_id").select("doc_id", "reused_from")
+    """The last document of each key answers for the others; texts without a key have no answer."""
+    key = F.nullif(T.cache_key(F.col("text")), F.lit(""))
+    rows = table(spark, folder, "documents").select("doc_id", F.md5(key.cast("binary")).alias("key"))
+    cached = rows.where("length(key) > 0").groupBy("key").agg(F.max("doc_id").alias("reused_from"))
+    return rows.join(cached, "key").where("reused_from <> doc_id").select("doc_id", "reused_from")
 
 
 @query
 def j06_glossary_merge(spark: SparkSession, folder: str) -> DataFrame:
-    first = L.frame(spark, L.GLOSSARY).where("length(value) > 0").groupBy("term").agg(F.min_by("value", "ord").alias("value"))
+    first = I.frame(spark, folder, I.GLOSSARY).where("length(value) > 0").groupBy("term").agg(F.min_by("value", "ord").alias("value"))
     pins = L.frame(spark, L.PINS).select("term", F.col("term").alias("pin"))
     return first.join(pins, "term", "full").select("term", F.coalesce("value", "pin").alias("value"))
 
 
 @query
 def j07_active_job_semi(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.active_duplicates(L.frame(spark, L.SUBMITS), L.frame(spark, L.JOBS).select("job_id", "status", "file_hash", "layout"))
+    return jobs.active_duplicates(I.frame(spark, folder, I.SUBMITS), I.frame(spark, folder, I.JOBS).select("job_id", "status", "file_hash", "layout"))
 
 
 @query
@@ -259,7 +270,7 @@ def a06_repeated_headers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def a07_argmax_span(spark: SparkSession, folder: str) -> DataFrame:
-    spans = L.frame(spark, L.SPANS).where("kind = 0 and length(trim(text)) > 0")
+    spans = I.frame(spark, folder, I.SPANS).where("kind = 0 and length(trim(text)) > 0")
     best = spans.groupBy("block").agg(F.max(F.struct("size", (-F.col("ord")).alias("back"), "text")).alias("best"))
     return best.select("block", F.col("best.text").alias("winner"), F.col("best.size").alias("size"))
 
@@ -267,7 +278,7 @@ def a07_argmax_span(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def a09_colour_mode(spark: SparkSession, folder: str) -> DataFrame:
     step = lambda c: F.expr(f"{c} div 12 * 12").cast("int").alias(c)
-    rows = L.frame(spark, L.PIXELS).select("id", step("r"), step("g"), step("b"), "n").groupBy("id", "r", "g", "b").agg(F.sum("n").alias("n"))
+    rows = I.frame(spark, folder, I.PIXELS).select("id", step("r"), step("g"), step("b"), "n").groupBy("id", "r", "g", "b").agg(F.sum("n").alias("n"))
     shares = rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("id")), 6))
     top = shares.withColumn("place", matching.window_rank(rows, ["id"], F.desc("n"), "r", "g", "b")).where("place = 1")
     plus = lambda c: F.least(F.lit(255), F.col(c) + 6).alias(c)
@@ -284,7 +295,7 @@ def a11_weighted_mean(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def a13_distinct_ci(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", r"[^\p{L}]+")).alias("k", "word")).where("length(word) between 2 and 70")
-    return quality.first_casings(docs.select((F.col("doc_id") * 1000000 + F.col("k")).alias("ord"), "word"))
+    return quality.first_casings(docs.select(F.struct("doc_id", "k").alias("ord"), "word"))
 
 
 @query
@@ -319,13 +330,15 @@ def w02_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def w03_cross_page(spark: SparkSession, folder: str) -> DataFrame:
-    merged = reflow.merged_across_pages(flow(spark, folder).unionByName(L.frame(spark, L.FLOW)))
+    """Over documents set in lines of ten words and pages of thirty lines, so that paragraphs go on over page ends."""
+    rows = layout.set_lines(table(spark, folder, "documents"))
+    merged = reflow.merged_across_pages(flow_of(rows).unionByName(L.frame(spark, L.FLOW).withColumn("page", F.col("page").cast("long"))))
     return merged.select("book", F.col("flow_no").cast("long").alias("flow_no"), "kind", F.md5("text").alias("text_md5"))
 
 
 @query
 def w04_runs(spark: SparkSession, folder: str) -> DataFrame:
-    return batching.runs(L.frame(spark, L.MASK), "block", "y", "v")
+    return batching.runs(I.frame(spark, folder, I.MASK), "block", "y", "v")
 
 
 @query
@@ -381,7 +394,7 @@ def f12_json_extract(spark: SparkSession, folder: str) -> DataFrame:
 def f13_cover_json(spark: SparkSession, folder: str) -> DataFrame:
     item = "array<struct<text:string,bbox_pct:array<double>,color:string,role:string>>"
     items = F.from_json(F.regexp_extract("raw", r"(?s)\[.*\]", 0), item)
-    rows = L.frame(spark, L.COVERS).select("id", F.posexplode(items).alias("k", "x")).where("length(trim(x.text)) >= 2")
+    rows = I.frame(spark, folder, I.COVERS).select("id", F.posexplode(items).alias("k", "x")).where("length(trim(x.text)) >= 2")
     value = lambda i: F.col("x.bbox_pct")[i]
     pixels = F.greatest(value(0), value(1), value(2), value(3)) > 100
     part = lambda i, whole: F.when(pixels, value(i) / whole * 100.0).otherwise(value(i))
@@ -393,7 +406,7 @@ def f13_cover_json(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def f16_contrast_colour(spark: SparkSession, folder: str) -> DataFrame:
-    rows = L.frame(spark, L.PIXELS)
+    rows = I.frame(spark, folder, I.PIXELS)
     back = F.when(T.luminance(F.col("r"), F.col("g"), F.col("b")) < 128, 255).otherwise(0)
     step = lambda c, t: F.floor(F.col(c) + (back - F.col(c)) * t).cast("int")
     steps = F.sequence(F.lit(0), F.lit(5))
@@ -406,7 +419,7 @@ def f16_contrast_colour(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def f20_names_and_cuts(spark: SparkSession, folder: str) -> DataFrame:
     base = F.regexp_replace(F.regexp_extract("url", r"([^/]*)$", 1), r"\.[^.]*$", "")
-    return table(spark, folder, "pages").select("page_id", base.alias("base"), F.left("url", F.lit(40)).alias("cut"), F.format_string("Translate %s (page %d).", F.col("url"), F.col("page_id")).alias("prompt"), F.base64(F.left("url", F.lit(12)).cast("binary")).alias("b64"))
+    return table(spark, folder, "pages").select("page_id", base.alias("base"), F.left("url", F.lit(40)).alias("cut"), F.format_string("Translate %s (page %d).", F.col("url"), F.col("page_id")).alias("prompt"), F.replace(F.base64(F.col("url").cast("binary")), F.lit("\r\n"), F.lit("")).alias("b64"))
 
 
 @query
@@ -429,14 +442,14 @@ def l01_mock_translate(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def l03_glossary_filter(spark: SparkSession, folder: str) -> DataFrame:
-    rows = L.frame(spark, L.GLOSSARY)
+    rows = I.frame(spark, folder, I.GLOSSARY)
     good = F.length("term").between(2, 60) & F.length("value").between(1, 80) & ~T.looks_garbled(F.col("term")) & ~T.looks_garbled(F.col("value"))
     return rows.where(good).groupBy("term").agg(F.max_by("value", "ord").alias("value"))
 
 
 @query
 def s01_block_transform(spark: SparkSession, folder: str) -> DataFrame:
-    spans = L.frame(spark, L.SPANS).where("kind = 0").select(F.col("block").cast("long").alias("block"), T.joined_lines(F.col("text")).alias("text")).where("length(text) > 0")
+    spans = I.frame(spark, folder, I.SPANS).where("kind = 0").select(F.col("block").cast("long").alias("block"), T.joined_lines(F.col("text")).alias("text")).where("length(text) > 0")
     docs = table(spark, folder, "documents").select((F.col("doc_id") + 1000).alias("block"), F.md5(T.joined_lines(F.col("text"))).alias("text"))
     return spans.unionByName(docs)
 
@@ -448,7 +461,8 @@ def s03_first_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def s04_ocr_cleanup(spark: SparkSession, folder: str) -> DataFrame:
-    return L.frame(spark, L.TOC).select("page", "line_no", T.without_leaders(F.col("text")).alias("text"))
+    rows = L.frame(spark, L.TOC).unionByName(lines(spark, folder).select("book", "page", "line_no", "text"))
+    return rows.select("book", "page", "line_no", F.md5(T.without_leaders(F.col("text"))).alias("text_md5"))
 
 
 @query
@@ -504,7 +518,8 @@ def k03_overlay_plan(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def k04_book_plan(spark: SparkSession, folder: str) -> DataFrame:
     pars = flow(spark, folder)
-    heads = pars.where("kind <> 'para'").select("book", F.lit("contents").alias("section"), F.lit(2).alias("section_no"), "page", "par_no", F.left("text", F.lit(90)).alias("text"))
+    found = reflow.heading_pages(pars.where("kind <> 'para'"), lines(spark, folder))
+    heads = pars.where("kind <> 'para'").join(found, ["book", "page", "par_no"]).select("book", F.lit("contents").alias("section"), F.lit(2).alias("section_no"), F.col("found").cast("int").alias("page"), "par_no", F.left("text", F.lit(90)).alias("text"))
     body = pars.select("book", F.lit("body").alias("section"), F.lit(3).alias("section_no"), "page", "par_no", F.md5("text").alias("text"))
     cover = pars.select("book").distinct().select("book", F.lit("cover").alias("section"), F.lit(1).alias("section_no"), F.lit(0).alias("page"), F.lit(0).cast("long").alias("par_no"), F.col("book").alias("text"))
     return cover.unionByName(heads).unionByName(body).withColumn("par_no", F.col("par_no").cast("long"))
@@ -526,15 +541,18 @@ def k14_preview_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def m03_pixel_bbox(spark: SparkSession, folder: str) -> DataFrame:
-    across = L.frame(spark, L.MASK).where("v").select("block", "y", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("x"))
-    ink = across.where("(x + y) % 7 < 3 and x between 5 + block and 30 and (block < 2 or y < 2)")
-    return reflow.ink_boxes(ink, L.frame(spark, L.INK_BOXES))
+    """Sixteen vectors of 64 components are an image of 32 x 32; each has boxes of several sizes, and a text colour."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "v"))
+    grey = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((F.col("v").cast("double") + 1) * 128))).cast("int")
+    pixels = vectors.select(F.expr("vec_id div 16").alias("image"), F.expr("cast(vec_id % 4 * 8 + i % 8 as int)").alias("x"), F.expr("cast(vec_id div 4 % 4 * 8 + i div 8 as int)").alias("y"), grey.alias("r"), (255 - grey).alias("g"), grey.alias("b"))
+    images = table(spark, folder, "embeddings").select(F.expr("vec_id div 16").alias("image")).distinct()
+    boxes = images.select("image", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k")).selectExpr("image", "image * 6 + k AS block", "cast(k * 3 as double) AS x0", "cast(k * 2 as double) AS y0", "cast(k * 3 + 4 + k * k as double) AS x1", "cast(k * 2 + 3 + k as double) AS y1", "32 AS width", "32 AS height", "80 + k * 20 AS t_r", "128 AS t_g", "200 - k * 20 AS t_b")
+    return reflow.ink_boxes(pixels, boxes)
 
 
 @query
 def j14_heading_pages(spark: SparkSession, folder: str) -> DataFrame:
-    heads = flow(spark, folder).where("kind <> 'para'").select("book", (F.col("page").cast("long") * 100000 + F.col("par_no")).alias("ord"), "text")
-    return reflow.heading_pages(heads, lines(spark, folder))
+    return reflow.heading_pages(flow(spark, folder).where("kind <> 'para'"), lines(spark, folder))
 
 
 @query
@@ -546,14 +564,22 @@ def l02_proofread(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def l05_cover_chain(spark: SparkSession, folder: str) -> DataFrame:
-    """Cover texts as read, corrected by known titles, else by their words, else translated."""
+    """Cover texts as read: words corrected by known ones, then replaced by known titles' translations, else translated.
+
+    Read are the lines of first pages, and every part's name with a wrong letter.
+    """
     nation = table(spark, folder, "nation").select(F.col("n_name").alias("orig"), F.concat(F.lit("<"), "n_name", F.lit(">")).alias("value"), F.col("n_nationkey").alias("ord"))
-    read = lines(spark, folder).where("page = 0 and length(text) <= 30").select("book", "line_no", F.col("text").alias("name"))
-    extra = nation.select(F.lit("literal").alias("book"), F.col("ord").alias("line_no"), F.concat(F.substring("orig", 1, 3), F.lit("x"), F.expr("substring(orig, 4)")).alias("name"))
-    rows = read.unionByName(extra)
-    known = matching.first_matches(rows.select("name").distinct(), nation)
-    shown = rows.join(known, "name", "left")
-    return shown.select("book", "line_no", F.coalesce("override", F.concat(F.lit("["), "name", F.lit("]"))).alias("shown"))
+    part = table(spark, folder, "part")
+    titles = nation.unionByName(part.groupBy(F.col("p_name").alias("orig")).agg((F.min("p_partkey") + 100).alias("ord")).select("orig", F.concat(F.lit("{"), "orig", F.lit("}")).alias("value"), "ord"))
+    read = lines(spark, folder).where("page = 0 and length(text) between 2 and 59").select("book", F.col("line_no").cast("long").alias("line_no"), F.col("text").alias("name"))
+    typo = lambda c: F.concat(F.substring(c, 1, 2), F.lit("q"), F.expr(f"substring({c}, 4)"))
+    names = part.select(F.lit("parts").alias("book"), F.col("p_partkey").alias("line_no"), F.when(F.expr("p_partkey % 3 = 0"), F.upper(typo("p_name"))).when(F.expr("p_partkey % 3 = 1"), F.concat(typo("p_name"), F.lit(" - "), typo("p_brand"))).otherwise(F.col("p_name")).alias("name"))
+    extra = nation.select(F.lit("nations").alias("book"), F.col("ord").cast("long").alias("line_no"), typo("orig").alias("name"))
+    words = titles.select("ord", F.explode(F.regexp_extract_all("orig", F.lit(T.WORD), F.lit(0))).alias("word")).where("length(word) >= 2")
+    fixed = matching.corrected_texts(read.unionByName(names).unionByName(extra), ["book", "line_no"], "name", words)
+    known = matching.first_matches(fixed.select(F.col("fixed").alias("name")).distinct(), titles).withColumnRenamed("name", "fixed")
+    shown = fixed.join(known, "fixed", "left")
+    return shown.select("book", "line_no", F.coalesce("override", F.concat(F.lit("["), "fixed", F.lit("]"))).alias("shown"), "changed")
 
 
 @query
@@ -567,7 +593,8 @@ def t04_resumed(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def t10_rebuild(spark: SparkSession, folder: str) -> DataFrame:
     pars = flow(spark, folder).withColumn("cache_key", T.cache_key(F.col("text")))
-    cached = pars.where("page % 3 = 0").select("cache_key", F.concat(F.lit("T:"), F.md5("cache_key")).alias("target"))
+    target = F.when(F.expr("par_no % 5 = 3"), " ").otherwise(F.concat(F.lit("T:"), F.col("page").cast("string"), F.lit(":"), F.col("par_no").cast("string")))
+    cached = pars.where("page % 3 = 0").select("text", target.alias("target"), F.struct("page", "par_no").alias("ord"))
     return jobs.rebuilt(pars, cached).select("book", "page", F.col("par_no").cast("long").alias("par_no"), "cached", F.md5("target").alias("target_md5"))
 
 
@@ -589,15 +616,18 @@ def p14_scanned_override(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p27_cover_gate(spark: SparkSession, folder: str) -> DataFrame:
-    """Books whose first page has no line of four characters or more."""
-    books = table(spark, folder, "documents").select(F.col("source").alias("book")).distinct()
-    covers = lines(spark, folder).where("page = 0 and length(text) >= 4").select("book").distinct().withColumn("has", F.lit(True))
-    return books.join(covers, "book", "left").select("book", F.coalesce("has", F.lit(False)).alias("has_text"))
+    """Books whose first page has no block at all, so its picture is the cover, unless the original is to stay.
+
+    Each document is a book; those of every third id have a blank first page.
+    """
+    docs = table(spark, folder, "documents").select("doc_id", F.when(F.expr("doc_id % 3 = 0"), " \n \n").otherwise(F.col("text")).alias("text"), F.expr("doc_id % 5 = 0").alias("keep_original"))
+    blocks = F.size(F.filter(F.split("text", "\n"), lambda t: F.length(T.strip(t)) > 0))
+    return docs.select("doc_id", quality.cover_gate(F.coalesce(blocks, F.lit(0)), F.col("keep_original")).alias("remake"))
 
 
 @query
 def k15_downloads(spark: SparkSession, folder: str) -> DataFrame:
-    return jobs.downloads(L.frame(spark, L.JOBS)).select("job_id", "path")
+    return jobs.downloads(I.frame(spark, folder, I.JOBS)).select("job_id", "path")
 
 
 @query
@@ -622,7 +652,8 @@ def f19_join_split(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def f23_glossary_text(spark: SparkSession, folder: str) -> DataFrame:
-    rows = L.frame(spark, L.GLOSSARY).where("length(value) > 0")
+    """The first sixty terms, as a prompt has them."""
+    rows = I.frame(spark, folder, I.GLOSSARY).where("length(value) > 0").orderBy("ord").limit(60)
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "term", "value"))), lambda p: F.concat(p["term"], F.lit(" → "), p["value"]))
     return rows.agg(F.concat_ws("; ", parts).alias("glossary"))
 
@@ -641,5 +672,61 @@ def u04_seen_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def u02_set_difference(spark: SparkSession, folder: str) -> DataFrame:
-    every = table(spark, folder, "events").select("user_id", "event_type")
-    return every.where("event_id % 3 = 0").exceptAll(every.where("event_id % 3 = 1"))
+    every = table(spark, folder, "events").select("user_id", "event_type", "value")
+    done = every.where("value >= 20").select("user_id", "event_type")
+    return every.select("user_id", "event_type").exceptAll(done)
+
+
+@query
+def t03_watchdog(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user's events as a job's beats: the first limit that ends."""
+    beats = jobs.beats_of(table(spark, folder, "events"), "user_id", "ts", F.col("value"), F.lit(100))
+    return jobs.timeouts(beats, idle=2 * 86400, total=20 * 86400)
+
+
+@query
+def t07_accepted_submits(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events").select("event_id", F.sha2("props", 256).alias("file_hash"), F.col("event_type").alias("layout"), F.col("ts").cast("timestamp").alias("ts"))
+    return jobs.first_submits(events).select("file_hash", "layout", "event_id", "submits")
+
+
+@query
+def k09_checkpoint_commit(spark: SparkSession, folder: str) -> DataFrame:
+    """Labelled documents are saved in two parts, the second with some of the first anew; the work goes on from what is saved."""
+    place = f"{checkpoints.work_folder(spark)}/work-{uuid.uuid4().hex}"
+    labels = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality")
+    checkpoints.save(labels.where("quality = 0").select("id", F.concat(F.lit("first "), "id").alias("target")), place)
+    checkpoints.save(labels.where("quality = 1 or length(id) < 3").select("id", F.concat(F.lit("second "), "id").alias("target")), place)
+    saved = checkpoints.load(spark, place, "id string, target string", "id")
+    rows = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("source"))
+    return jobs.resumed(rows, saved, lambda texts: [f"[{t}]" for t in texts]).select("id", F.md5("target").alias("target_md5"))
+
+
+@query
+def w14_fitting_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest type in which each part's words fit in a box of its own."""
+    part = table(spark, folder, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"), (8 + F.col("p_size") % 17).cast("double").alias("size"), (30 + F.col("p_partkey") % 90).cast("double").alias("width"), (10 + F.col("p_partkey") % 37).cast("double").alias("height"))
+    return part.select("p_partkey", batching.fitting_size(F.col("text"), F.col("size"), F.col("width"), F.col("height")).alias("fits"))
+
+
+@query
+def a10_dominant_colours(spark: SparkSession, folder: str) -> DataFrame:
+    """The six most frequent colours of each image, its own by contrast, and whether one has more than half."""
+    return quality.dominant_colours(I.frame(spark, folder, I.PIXELS), 6)
+
+
+@query
+def p18_image_areas(spark: SparkSession, folder: str) -> DataFrame:
+    """Boxes over images of more than a twentieth of the page are painted over, others are filled."""
+    rows = layout.boxes(lines(spark, folder)).withColumn("y1", F.when(F.col("image"), F.col("y1") + 20).otherwise(F.col("y1")))
+    large = rows.where(~F.col("image") | ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) > 0.05 * 420 * F.col("page_h") * 0.2))
+    over = matching.covered_boxes(large).select("id").distinct().withColumn("over", F.lit(True))
+    return rows.where("not image").join(over, "id", "left").select(F.col("id").cast("long").alias("id"), F.coalesce("over", F.lit(False)).alias("painted"))
+
+
+@query
+def a18_palette(spark: SparkSession, folder: str) -> DataFrame:
+    """Four clusters of all vectors, the largest first: no SQL, tested against plain rounds."""
+    centres, sizes, cost = clusters.k_means(table(spark, folder, "embeddings"), least_move=0.001)
+    rows = [(i, int(n), round(float(c[0]), 6), round(float(np.sqrt((c * c).sum())), 6)) for i, (n, c) in enumerate(zip(sizes, centres, strict=True))]
+    return spark.createDataFrame(rows, "place int, size long, first double, length double")

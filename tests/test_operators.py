@@ -28,11 +28,11 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - set(ORACLES) == {"a18_palette"} and set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["p02_global_ids", "p15_toc_pages", "p16_artifacts_removed", "w02_paragraphs", "w03_cross_page", "w05_batches", "j08_box_over_box", "j11_fuzzy_words", "a16_quality_report", "k02_page_plan", "l01_mock_translate", "t02_stall_detection", "j01_translation_lookup", "j05_cache_reuse", "j10_box_overlaps", "j12_fuzzy_titles", "j14_heading_pages", "k14_preview_rows", "l02_proofread", "l05_cover_chain", "m03_pixel_bbox", "t04_resumed", "t10_rebuild", "f19_join_split", "a03_words_to_lines"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
@@ -42,7 +42,7 @@ def test_query_equals_sql(spark, duck, name):
     place = {c[0]: i for i, c in enumerate(cursor.description)}
     assert sorted(place) == columns
     assert got == sorted((tuple(plain(r[place[c]]) for c in columns) for r in cursor.fetchall()), key=repr)
-    assert got or name == "p16_artifacts_removed"
+    assert got or name in ("p11_garble_lines", "t07_duplicate_texts")
 
 
 def test_entry_is_the_flagship(spark):
@@ -191,4 +191,4 @@ def test_words_tokens_and_reuse_take_every_row(spark, tmp_path):
     assert got == {("one", 0, 0): "a b", ("one", 0, 1): "c", ("one", 0, 2): "d-e", ("one", 1, 0): "x-y", ("two", 0, 0): "x y", ("two", 1, 0): "X y", ("two", 2, 0): "other"}
     tokens = [(r.k, r.core) for r in QUERIES["f06_token_split"](spark, folder).where("book = 'one' and page = 0 and line_no = 2").collect()]
     assert [core for k, core in sorted(tokens) if k != 1] == ["d", "e"]
-    assert {r.doc_id: r.reused_from for r in QUERIES["j05_cache_reuse"](spark, folder).collect()} == {4: 2, 5: 2}
+    assert {r.doc_id: r.reused_from for r in QUERIES["j05_cache_reuse"](spark, folder).collect()} == {2: 5, 4: 5}

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.operators import batching, clusters, matching
+from leafmill.operators import batching, clusters, jobs, matching, reflow
 from leafmill.sources import layout
 
 
@@ -129,3 +129,119 @@ def test_the_largest_size_that_fits(spark):
         good = [fits(t, k, w, h) for k in sizes]
         assert good == sorted(good)  # what fits in one size fits in all smaller ones
         assert found == next((k for k, g in zip(sizes, good, strict=True) if g), bottom) / 2
+
+
+SEARCHED = "book string, page long, line_no int, text string"
+
+
+def search(heads, lines):
+    """Page after page, as a reader would."""
+    out, at = {}, {}
+    for book, page, par, text in sorted(heads, key=lambda h: (h[0], h[1], h[2])):
+        needle = " ".join(text.split())[:40].lower()
+        bodies = {}
+        for b, p, _, t in sorted(lines):
+            if b == book:
+                bodies[p] = (bodies[p] + " " + t) if p in bodies else t
+        start = at.get(book, 0)
+        found = next((p for p in sorted(bodies) if p >= start and needle and needle in " ".join(bodies[p].split()).lower()), start)
+        out[book, page, par] = at[book] = found
+    return out
+
+
+@pytest.mark.parametrize("pages", [1, 4, 64])
+def test_headings_are_found_anywhere_on_a_page(spark, pages):
+    rng = np.random.default_rng(9)
+    words = ["Contents", "the end", "Part one", "Ÿ", "x", "of  many"]
+    lines, heads = [("b", 0, 0, "see CONTENTS."), ("b", 2, 0, "precontentsx"), ("b", 3, 0, "A very long heading that goes on and"), ("b", 3, 1, "on over its line end"), ("c", 9, 0, "contents")], []
+    for page in range(4, 30):
+        lines += [("b", page, k, " ".join(rng.choice(words, 4)) if k else f"page {page}") for k in range(2)]
+        heads += [("b", page, k, str(rng.choice(words)) if k else f"Page {rng.integers(page - 3, page + 4)}") for k in range(3)]
+    heads += [("b", 1, 0, "Contents"), ("b", 1, 1, "CONTENTS"), ("b", 3, 0, "a Very long heading that goes on and on over its line end"), ("b", 3, 1, " "), ("c", 9, 0, "not there"), ("c", 9, 1, "Contents"), ("d", 1, 0, "lost")]
+    h = spark.createDataFrame(heads, "book string, page long, par_no int, text string").repartition(3)
+    got = {(r.book, r.page, r.par_no): r.found for r in reflow.heading_pages(h, spark.createDataFrame(lines, SEARCHED), pages=pages).collect()}
+    assert got == search(heads, lines)
+
+
+def merge(rows):
+    merged = []
+    for page, kind, text in rows:
+        if merged and kind == merged[-1][1] == "para" and page != merged[-1][0] and merged[-1][2].rstrip()[-1:] not in tuple('.!?…:»")') and text[:1].islower():
+            last = merged[-1]
+            last[2] = last[2][:-1] + text if last[2].endswith("-") and last[2][-2:-1].isalpha() else last[2] + " " + text
+        else:
+            merged.append([page, kind, text])
+    return [(k, t) for _, k, t in merged]
+
+
+@pytest.mark.parametrize("pages", [1, 2, 3, 64])
+def test_merging_and_segments_equal_loops_at_any_block(spark, pages):
+    rng = np.random.default_rng(pages)
+    books, rows = {}, []
+    for book in ("a", "b", None):
+        own, page = [], 0
+        for k in range(120):
+            page += int(rng.integers(0, 3) == 0) + 4 * int(rng.integers(0, 20) == 0)
+            kind = str(rng.choice(["para", "para", "para", "para", "h1", "h2"]))
+            text = str(rng.choice(["lower", "lower", "lower", "Upper"])) + " " + str(rng.choice(["open", "open", "half-", "ends."]))
+            own.append((page, kind, text))
+            rows.append((book, page, k, kind, text, float(k)))
+        books[book] = own
+    df = spark.createDataFrame(rows, "book string, page int, par_no int, kind string, text string, y0 double").repartition(4)
+    got = {}
+    for r in reflow.merged_across_pages(df, pages).orderBy("flow_no").collect():
+        got.setdefault(r.book, []).append((r.flow_no, r.kind, r.text))
+    assert got == {b: [(i, *x) for i, x in enumerate(merge(own))] for b, own in books.items()}
+    marked = {}
+    for r in reflow.segments(df, pages).orderBy("par_no").collect():
+        marked.setdefault(r.book, []).append((r.segment, r.unindented))
+    for book, own in books.items():
+        n, expected = 0, []
+        for i, (_, kind, _) in enumerate(own):
+            n += kind == "h1" and i > 0
+            expected.append((n, kind == "para" and i > 0 and own[i - 1][1] != "para"))
+        assert marked[book] == expected
+
+
+def test_running_headers_are_gone_before_pages_are_joined(spark):
+    from leafmill.plans.queries import flow_of
+
+    line = lambda page, n, text, y: ("b", page, n, text, 50.0, 350.0, y, y + 12, 11.5, 600.0)
+    rows = [line(0, 0, "Cover", 100.0), line(1, 0, "Title", 100.0)]
+    for page in range(2, 7):
+        rows += [line(page, 0, f"Chapter head {page}", 20.0), line(page, 1, "Long text of the page that goes on over its end", 100.0), line(page, 2, str(page), 580.0)]
+    rows.append(line(7, 0, "Chapter head 7", 20.0))
+    df = spark.createDataFrame(rows, "book string, page int, line_no int, text string, x0 double, x1 double, y0 double, y1 double, size double, page_h double")
+    got = sorted((r.page, r.text) for r in flow_of(df, 0.25).collect())
+    assert got == [(p, "Long text of the page that goes on over its end") for p in range(2, 7)]
+
+
+def test_words_of_covers_are_put_right(spark):
+    words = spark.createDataFrame([("НЛП", 0), ("Психология", 1), ("магия", 2)], "word string, ord int")
+    rows = spark.createDataFrame([(1, "НАП: психалогия!"), (2, "МАГЫЯ"), (3, "другое  слово"), (4, ""), (5, "я НЛП")], "k int, t string")
+    got = {r.k: (r.fixed, r.changed) for r in matching.corrected_texts(rows, ["k"], "t", words).collect()}
+    assert got == {1: ("НЛП: Психология!", True), 2: ("МАГИЯ", True), 3: ("другое  слово", False), 5: ("я НЛП", False)}
+
+
+def test_a_book_is_flagged_as_it_is_written(spark, tmp_path):
+    lines = spark.createDataFrame([("1ГЛОР(23 тест",), ("good line of text",), ("abc",), ("a healthy line",)], "text string")
+    done = jobs.built(lines, str(tmp_path / "book"), threshold=30.0)
+    assert done == {"status": "done", "quality": {"total": 3, "suspect": 1, "garbled_percent": 33.3, "has_issues": True}}
+    assert spark.read.parquet(str(tmp_path / "book")).count() == 4
+    clean = jobs.built(lines.where("length(text) > 13"), str(tmp_path / "clean"), threshold=50.0)
+    assert clean["quality"]["has_issues"] is False
+
+    class Broken:
+        @property
+        def get(self):
+            raise RuntimeError
+
+    assert jobs.flag_of(Broken(), 5.0) is None
+
+
+def test_rebuilds_take_the_last_translation_that_says_something(spark):
+    cached = spark.createDataFrame([("A b", "one", 1), ("a-b", "two", 2), ("A b", "three", 3), ("c", "x", 4), ("c", " ", 5), ("d", "y", 6), (" ", "z", 7)], "text string, target string, ord int")
+    rows = spark.createDataFrame([(1, "a B"), (2, "c"), (3, "D"), (4, " "), (5, "new")], "k int, text string")
+    got = {r.k: (r.target, r.cached) for r in jobs.rebuilt(rows, cached).collect()}
+    # "a-b" came after "A b" first came, so it answers for both; "c" has a blank target at last
+    assert got == {1: ("two", True), 2: ("c", False), 3: ("y", True), 4: (" ", False), 5: ("new", False)}
