@@ -77,13 +77,18 @@ class Space:
             out[:, g] = mixed ^ (mixed >> 29)
         return out
 
-    def first_grid(self, turned: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The first grid where each pair of rows shares a cell and is in its block's range; -1 for none."""
+    def first_grid(self, turned: np.ndarray, slack: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The first grid where each pair of rows shares a cell and may be in its block's range; -1 for none.
+
+        A code is off its vector by ``slack`` at most, as an angle and so as a
+        distance; the range is wider by that of both, so no pair in range is left out.
+        """
         rows, place = np.unique(np.concatenate((a, b)), return_inverse=True)
         cells = self.cells(turned[rows])
         shared = cells[place[: len(a)]] == cells[place[len(a) :]]
         gaps = np.stack([np.einsum("ij,ij->i", d, d) for d in (turned[a, s] - turned[b, s] for s in self.blocks)], axis=1)
-        shared &= (gaps <= np.array(self.budgets) * (1 + 1e-6) + 1e-6)[:, [g[0] for g in self.grids]]
+        reach = np.sqrt(np.array(self.budgets)) + (slack[a] + slack[b])[:, None] + 1e-6
+        shared &= (gaps <= reach * reach)[:, [g[0] for g in self.grids]]
         return np.where(shared.any(axis=1), shared.argmax(axis=1), -1)
 
 
@@ -167,7 +172,7 @@ def _maybe(where: Space, codes: np.ndarray, slack: np.ndarray, side: np.ndarray,
     turned = where.turned(codes) if len(a) else codes
     for low in range(0, len(a), 16384):
         x, y = a[low : low + 16384], b[low : low + 16384]
-        mine = where.first_grid(turned, x, y) == grid
+        mine = where.first_grid(turned, slack, x, y) == grid
         out[0].append(x[mine])
         out[1].append(y[mine])
     return (np.concatenate(out[0]), np.concatenate(out[1])) if out[0] else (a, b)

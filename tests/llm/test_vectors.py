@@ -59,17 +59,37 @@ def test_cells_do_not_depend_on_the_batch():
     assert (where.cells(where.turned(codes))[7:8] == where.cells(where.turned(codes[7:8]))).all()
 
 
-@pytest.mark.parametrize(("cosine", "least"), [(0.9501, 0.98), (0.96, 0.995), (0.98, 0.9999)])
-def test_recall_of_pairs_by_their_cosine(cosine, least):
-    rng, n = np.random.default_rng(4), 4000
-    x = rng.normal(size=(n, 64))
+def pairs_at(cosine, size, n):
+    """n pairs of unit vectors of that cosine, to the last digits."""
+    rng = np.random.default_rng([4, size])
+    x = rng.normal(size=(n, size))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    away = rng.normal(size=(n, 64))
+    away = rng.normal(size=(n, size))
     away -= np.einsum("ij,ij->i", away, x)[:, None] * x
-    y = cosine * x + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1)[:, None]
-    codes, _ = coded(np.concatenate((x, y)) / np.abs(np.concatenate((x, y))).max(axis=1)[:, None])
-    where = Space(64, 0.95, 36, 2.4)
-    assert (where.first_grid(where.turned(codes), np.arange(n), np.arange(n) + n) >= 0).mean() >= least
+    return x, cosine * x + np.sqrt(1 - cosine**2) * away / np.linalg.norm(away, axis=1)[:, None]
+
+
+@pytest.mark.parametrize(("cosine", "size", "least"), [(0.9501, size, 0.99) for size in (4, 8, 16, 23, 24, 32, 64, 100, 384, 768)] + [(0.96, 64, 0.998), (0.98, 64, 0.9999), (0.9501, 2, 0.99)])
+def test_recall_of_pairs_by_their_cosine(cosine, size, least):
+    n = 4000 if size < 300 else 600
+    x, y = pairs_at(cosine, size, n)
+    codes, slack = coded(np.concatenate((x, y)) / np.abs(np.concatenate((x, y))).max(axis=1)[:, None])
+    where = Space(size, 0.95, 36, 2.4)
+    assert (where.first_grid(where.turned(codes), slack, np.arange(n), np.arange(n) + n) >= 0).mean() >= least
+
+
+@pytest.mark.parametrize("size", [4, 8, 16, 23, 24, 64, 768])
+def test_no_links_are_lost_at_the_threshold(spark, size):
+    """Whole runs, with pairs just over and just under the line."""
+    n = 300 if size < 100 else 60
+    over, under = pairs_at(0.9501, size, n), pairs_at(0.9499, size, n)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate((*over, *(-u * 3 for u in under))))]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    v = np.array([r[1] for r in rows])
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    true = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    assert all(got[i] <= true[i].sum() for i in got)
+    assert sum(got.values()) >= 0.99 * true.sum() and true.sum() >= 2 * n
 
 
 def test_few_pairs_of_unlike_vectors_share_a_cell():
