@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut
-from leafmill.llm.wrappers import blocks, digest, main_text, merge, parse, rules_of, wrapper_of
+from leafmill.llm.wrappers import ALWAYS_PAGES, ASIDE_TAGS, MAIN_TAGS, blocks, digest, main_text, merge, parse, rules_of, wrapper_of
 
 #: Rules of all hosts are sent to every task up to so many characters, else joined.
 SENT_CHARS = 8_000_000
@@ -19,6 +19,10 @@ SENT_CHARS = 8_000_000
 ALIGNED = 200
 #: A text is the template's on this share of a host's different pages, and on so many at least.
 TEMPLATE_SHARE, TEMPLATE_PAGES = 0.5, 3
+#: Within articles it must be on nearly all of them.
+ALWAYS_SHARE = 0.9
+#: Paths that hold less than this part of a host's varying text say nothing of their own, so a host has a bounded number.
+LEAST_PART = 20_000
 
 
 def host_of(url: Column) -> Column:
@@ -83,22 +87,32 @@ def host_rules(pages: DataFrame) -> DataFrame:
     once = read.select("host", "page", "slots").dropDuplicates(["host", "page"])
     n_pages = once.groupBy("host").agg(F.count("*").alias("n_pages"))
     texts = once.select("host", F.inline("slots")).groupBy("host", "path", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    fixed = F.col("n") >= F.greatest(F.lit(TEMPLATE_PAGES), F.ceil(F.col("n_pages") * F.lit(TEMPLATE_SHARE)))
+    within = F.col("path").rlike(rf"(^|/)({'|'.join(sorted(MAIN_TAGS))})([./]|$)")
+    most = lambda pages, share: F.greatest(F.lit(pages), F.ceil(F.col("n_pages") * F.lit(share)))
+    fixed = F.col("n") >= F.when(within, most(ALWAYS_PAGES, ALWAYS_SHARE)).otherwise(most(TEMPLATE_PAGES, TEMPLATE_SHARE))
     judged = texts.join(n_pages, "host").withColumn("fixed", fixed)
     template = F.collect_list(F.when(F.col("fixed"), F.col("text")))
     paths = judged.groupBy("host", "path").agg(F.sum(F.when(F.col("fixed"), 0).otherwise(F.col("chars"))).alias("chars"), F.sum(F.when(F.col("fixed"), 0).otherwise(F.col("links"))).alias("links"), template.alias("fixed_texts"))
-    slots = paths.groupBy("host").agg(F.collect_list(F.struct("path", "chars", "links")).alias("slots"), F.flatten(F.collect_list("fixed_texts")).alias("template"))
+    # of fixed texts a page has no more than it has blocks, and most pages have each
+    templates = paths.where("size(fixed_texts) > 0").groupBy("host").agg(F.flatten(F.collect_list("fixed_texts")).alias("template"))
+    keys = F.split("path", "/", -1)
+    never = F.exists(keys, lambda k: k.rlike(rf"^({'|'.join(sorted(ASIDE_TAGS))})([.]|$)"))
+    ups = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(keys)), lambda n: F.array_join(F.slice(keys, F.lit(1), n), "/")))
+    sums = paths.where(~never).select("host", F.explode(ups).alias("up"), "chars", "links").groupBy("host", "up").agg(F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    whole = sums.where("up = ''").select("host", F.col("chars").alias("whole"))
+    told = sums.join(whole, "host").where((F.col("chars") * LEAST_PART >= F.col("whole")) & ((F.col("chars") > 0) | (F.col("up") == "")))
+    slots = told.groupBy("host").agg(F.collect_list(F.struct("up", "chars", "links")).alias("slots"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, drops = [], []
-            for wrapper, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                start, drop = rules_of(json.loads(wrapper), {x["path"]: (x["chars"], x["links"]) for x in found or ()})
+            for wrapper, found, pages_ in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4)), strict=True):
+                start, drop = rules_of(json.loads(wrapper), {x["up"]: (x["chars"], x["links"]) for x in found or ()}, pages_)
                 starts.append(start)
                 drops.append(drop)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(starts, pa.list_(pa.string())), pa.array(drops, pa.list_(pa.string())), batch.column(3)], ["host", "starts", "drop", "template"])
 
-    joined = wrappers.join(slots, "host", "left").select("host", "wrapper", "slots", "template")
+    joined = wrappers.join(slots, "host", "left").join(templates, "host", "left").join(n_pages, "host").select("host", "wrapper", "slots", "template", "n_pages")
     return cut(joined.mapInArrow(run, "host string, starts array<string>, drop array<string>, template array<long>"))
 
 

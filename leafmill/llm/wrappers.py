@@ -38,7 +38,9 @@ DEPTH = 100
 #: Members of a level up to which two wrappers are aligned as they are.
 LEVEL = 300
 #: Elements that never hold the article's text.
-ASIDE_TAGS = frozenset("nav header footer aside form menu button select dialog head input".split())
+ASIDE_TAGS = frozenset("nav footer aside menu button select dialog head input".split())
+#: Elements that are asides unless they hold most of a host's varying text, as a form does that is drawn around a whole page; a header is none within an article.
+MAYBE_TAGS = frozenset(("form", "header"))
 #: Names of elements that are asides unless they hold most of a host's varying text.
 ASIDE_MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related replies reply respond search share sharing sidebar skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
@@ -48,6 +50,8 @@ ASIDE_COMPOUNDS = frozenset(
     "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper breadcrumb-trail comment-form comment-list comment-respond comments-area comments-section cookie-banner cookie-consent cookie-notice left-sidebar main-menu main-nav main-navigation nav-bar nav-links nav-menu page-footer pagination-links post-navigation promo-box related-articles related-posts related-stories right-sidebar search-box search-form share-bar share-buttons share-links sidebar-left sidebar-right sidebar-widget site-footer site-header site-nav site-navigation skip-link social-icons social-links social-media social-share sponsored-content top-bar top-nav widget-area".split()
 )
 MAIN_TAGS = frozenset(("article", "main"))
+#: Different pages from which on what all of a host have within their articles is taken for the template's.
+ALWAYS_PAGES = 5
 #: Elements that are no asides, whatever their names.
 NEVER_ASIDE = MAIN_TAGS | {"", "html", "body"}
 
@@ -153,10 +157,16 @@ def aside(key: str, place: str, drop: frozenset[str]) -> bool:
         return False
     if tag in ASIDE_TAGS or place in drop:
         return True
+    if tag in MAYBE_TAGS and f"+{place}" not in drop:
+        return tag == "form" or not within_main(place)
     words = (re.sub(r"[-_:]+", "-", w).strip("-") for w in marks.split())
     return f"+{place}" not in drop and any(w in ASIDE_MARKS or w in ASIDE_COMPOUNDS for w in words)
 
 
+def within_main(place: str) -> bool:
+    return any(k.partition(".")[0] in MAIN_TAGS for k in place.split("/"))
+
+
 def digest(text: str) -> int:
     """A text as a signed number of 64 bits."""
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
@@ -271,37 +281,32 @@ def members(node: list, repeated: bool = False) -> Iterator[tuple[list, bool]]:
             yield child, repeated or child[2]
 
 
-def rules_of(wrapper: list, slots: dict[str, tuple[int, int]]) -> tuple[list[str], list[str]]:
+def rules_of(wrapper: list, sums: dict[str, tuple[int, int]], n_pages: int = 1) -> tuple[list[str], list[str]]:
     """Paths of the elements that hold a host's article; and paths to drop, or to spare after a "+".
 
-    ``slots`` has, by path, the characters of texts that vary over the host's
-    pages, and those of them in links. Lists are dropped that repeat a member and
-    are links for the most part. Elements of an aside's name are spared if they
-    hold half of the text. The article is in ``article`` and ``main`` elements;
-    without one, in the lowest element that has most of the text.
+    ``sums`` has, by path, the characters below it of texts that vary over the
+    host's ``n_pages`` different pages, and those of them in links; what is below
+    elements that never hold an article is not in them. Lists are dropped that
+    repeat a member and are links for the most part; within an article only those
+    that all pages have, as a page's own list of sources is no menu. Elements of an
+    aside's name or tag are spared if they hold half of the text. The article is
+    in ``article`` and ``main`` elements; without one, in the lowest element that
+    has most of the text.
     """
-    sums: dict[str, tuple[int, int]] = {}
-    for place, (text, links) in slots.items():
-        keys = place.split("/")
-        if not any(k.partition(".")[0] in ASIDE_TAGS for k in keys):
-            for n in range(len(keys) + 1):
-                up = "/".join(keys[:n])
-                t, k = sums.get(up, (0, 0))
-                sums[up] = (t + text, k + links)
-                if up == place:
-                    break
     whole = sums.get("", (0, 0))[0]
     drop: list[str] = []
 
-    def lists(node: list, path: tuple[str, ...]) -> None:
-        text, links = sums.get("/".join(path), (0, 0))
+    def lists(node: list, path: tuple[str, ...], always: bool) -> None:
+        place = "/".join(path)
+        text, links = sums.get(place, (0, 0))
         inner = [(child, repeated) for child, repeated in members(node) if child[0] != "#"]
-        if path and text and links * 10 >= text * 7 and node[0].partition(".")[0] not in NEVER_ASIDE and any(repeated for _, repeated in inner):
-            drop.append("/".join(path))
+        mostly_links = path and text and links * 10 >= text * 7 and node[0].partition(".")[0] not in NEVER_ASIDE
+        if mostly_links and any(repeated for _, repeated in inner) and (not within_main(place) or (always and n_pages >= ALWAYS_PAGES)):
+            drop.append(place)
         for child, _ in inner:
-            lists(child, (*path, child[0]))
+            lists(child, (*path, child[0]), (always or child[0].partition(".")[0] in MAIN_TAGS) and not child[1])
 
-    lists(wrapper, ())
+    lists(wrapper, (), True)
     dropped = set(drop)
     spared = ["+" + p for p, (t, _) in sums.items() if p and t * 2 >= whole and p not in dropped and aside(p.rpartition("/")[2], p, frozenset())]
     out = frozenset(drop) | frozenset(spared)
@@ -335,9 +340,11 @@ def rules_of(wrapper: list, slots: dict[str, tuple[int, int]]) -> tuple[list[str
 def main_text(root: Element, starts: frozenset[str], drop: frozenset[str], template: frozenset[int] = frozenset()) -> str:
     """Blocks of the elements that hold the article, joined by blank lines, without those of the template.
 
-    In ``article`` and ``main`` elements no text is taken for the template's. A
-    page without such an element gives the text of its whole body.
+    A page without such an element gives the text of its whole body. What an
+    ``article`` or ``main`` element has in common with the host's other pages goes
+    only if it is the smaller part of it: pages of one text keep it.
     """
-    found = list(blocks(root, (), drop, starts)) or list(blocks(root, (), drop))
-    marked = lambda place: any(k.partition(".")[0] in MAIN_TAGS for k in place.split("/"))
-    return "\n\n".join(text for place, text, _ in found if marked(place) or digest(f"{place}\n{text}") not in template)
+    found = [(place, text, digest(f"{place}\n{text}") in template) for place, text, _ in list(blocks(root, (), drop, starts)) or list(blocks(root, (), drop))]
+    marked = [(len(text), fixed) for place, text, fixed in found if within_main(place)]
+    smaller = 2 * sum(n for n, fixed in marked if fixed) <= sum(n for n, _ in marked)
+    return "\n\n".join(text for place, text, fixed in found if not fixed or (within_main(place) and not smaller))

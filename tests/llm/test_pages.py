@@ -7,8 +7,8 @@ import time
 from pyspark.sql import functions as F
 
 from leafmill.llm import warc
-from leafmill.llm.pages import extract_pages
-from leafmill.llm.wrappers import blocks, expression, main_text, merge, parse, rules_of, wrapper_of
+from leafmill.llm.pages import extract_pages, host_rules
+from leafmill.llm.wrappers import ASIDE_TAGS, blocks, expression, main_text, merge, parse, rules_of, wrapper_of
 
 SHELL = (
     '<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>'
@@ -21,13 +21,22 @@ def page(body, items=1):
     return SHELL.format(body=body, li='<li><a href="/b?x=1&amp;y=2">B</a></li>' * items)
 
 
+def sums_of(root):
+    """Characters and links below each path of a page."""
+    sums = {}
+    for path, text, links in blocks(root):
+        keys = path.split("/")
+        if not any(k.partition(".")[0] in ASIDE_TAGS for k in keys):
+            for up in {"/".join(keys[:n]) for n in range(len(keys) + 1)}:
+                t, k = sums.get(up, (0, 0))
+                sums[up] = (t + len(text), k + links)
+    return sums
+
+
 def alone(source):
     """The text of a page that is its host's only one."""
-    root, slots = parse(source), {}
-    for path, text, links in blocks(root):
-        t, k = slots.get(path, (0, 0))
-        slots[path] = (t + len(text), k + links)
-    starts, drop = rules_of(wrapper_of(root), slots)
+    root = parse(source)
+    starts, drop = rules_of(wrapper_of(root), sums_of(root))
     return main_text(root, frozenset(starts), frozenset(drop))
 
 
@@ -189,3 +198,74 @@ def test_records_of_other_types_and_broken_ones(spark):
 def test_marks_of_the_page_and_parts_of_names_are_no_asides():
     for page in ("<body class='right-sidebar'><main><p>Text</main>", "<body class='sidebar has-header'><div><p>Text</div>", "<main class='with-sidebar'><p>Text</main>", "<article class='post comments-open'><p>Text</article>", "<div class='no-sidebar'><p>Text</div>", "<body class='no-sidebar'><article><p>Text</article>", "<div class='content ad-free'><p>Text</div>", "<div class='post-header'><h1>Text</h1></div>"):
         assert alone(f"<html>{page}<div class='related-posts'>More</div><div id='comments_2'>Reader</div><div class='ad'>Buy</div></html>") == "Text", page
+
+
+def words(rng, n):
+    return " ".join(rng.choice("ka lo mi ter un ves ra so".split()) + str(rng.randrange(999)) for _ in range(n))
+
+
+def extracted(spark, rows, parts=3):
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts)
+    return {r.page_id: r.text for r in extract_pages(df).collect()}
+
+
+def test_the_host_decides_what_an_article_holds(spark):
+    """What all articles of a host share goes; alone, no page can tell."""
+    rng = random.Random(5)
+    rows, expected = [], {}
+    for i in range(20):
+        story = [words(rng, 4), words(rng, 40), words(rng, 30)]
+        sources = "".join(f"<li><a href=/s{k}>{words(rng, 3)}</a>" for k in range(4)) if i % 4 == 0 else ""
+        related = "".join(f"<li><a href=/r{k}>{words(rng, 3)}</a>" for k in range(5))
+        body = f"<article><header><h1>{story[0]}</h1></header><p>{story[1]}<p>Get our letter by mail, it is free<p>{story[2]}" + (f"<ol>{sources}</ol>" if sources else "") + f"<ul>{related}</ul></article>"
+        rows.append((i, f"http://h.example/{i}", f"<header>Site {words(rng, 1)}</header>" + body))
+        links = re.findall(r"<li><a href=/s\d>([^<]*)", sources)
+        expected[i] = "\n\n".join([*story, *links])
+    got = extracted(spark, rows)
+    assert got == expected
+    assert "Get our letter by mail" in alone(rows[0][2]) and all(alone(html) != expected[i] for i, _, html in rows)
+
+
+def test_a_page_within_a_form_keeps_its_text(spark):
+    rng = random.Random(6)
+    rows, expected = [], {}
+    for i in range(6):
+        story = [words(rng, 50), words(rng, 40)]
+        rows.append((i, "http://f.example/", f"<body><form id=server><div class=menu>Menu</div><div class=c><p>{story[0]}<p>{story[1]}</div><form class=search>Find <input></form></form></body>"))
+        expected[i] = "\n\n".join(story)
+    rows.append((50, "http://alone.example/", "<form><p>" + "only text " * 20 + "</form>"))
+    got = extracted(spark, rows)
+    assert {i: got[i] for i in range(6)} == expected and got[50] == ("only text " * 20).strip()
+
+
+def test_pages_of_one_article_keep_it(spark):
+    """Copies of an article under other adverts are no template, however many a host has."""
+    rng = random.Random(7)
+    rows = [(i, "http://c.example/", f"<body><div class=ad>{words(rng, 5)}</div><article><h1>Title</h1><p>The same text on all pages of the host</article></body>") for i in range(30)]
+    assert set(extracted(spark, rows).values()) == {"Title\n\nThe same text on all pages of the host"}
+
+
+def test_sites_of_known_text(spark):
+    """Sites made by rule, each with its own frame: what is extracted is what was put in, for every page."""
+    rng = random.Random(9)
+    rows, expected = [], {}
+    for site in range(6):
+        main, kind = [("article", ""), ("main", ""), ("div", " class=story"), ("div", " id=c"), ("section", ""), ("article", " class=post")][site]
+        frame = [f"<div class=x{chr(97 + k)}>{words(rng, 6)}</div>" for k in range(rng.randint(1, 3))]
+        foot = f"<div class=legal><p>{words(rng, 12)}</div><footer>{words(rng, 3)}</footer>"
+        for i in range(12):
+            story = [words(rng, rng.randint(20, 60)) for _ in range(rng.randint(2, 5))]
+            menu = "".join(f"<li><a href=/{k}>{words(rng, 2)}</a>" for k in range(rng.randint(2, 6)))
+            advert = f"<div class=ad><p>{words(rng, 9)}</div>" if rng.random() < 0.5 else ""
+            rows.append((len(rows), f"http://s{site}.example/{i}", f"<body>{''.join(frame)}<nav><ul>{menu}</ul></nav>{advert}<div class=wrap><{main}{kind}>{''.join(f'<p>{p}' for p in story)}</{main}><ul>{menu}</ul></div>{foot}</body>"))
+            expected[rows[-1][0]] = "\n\n".join(story)
+    got = [extracted(spark, rows, n) for n in (1, 4)]
+    assert got[0] == got[1] == expected
+
+
+def test_many_names_of_classes_leave_a_bounded_row(spark):
+    rng = random.Random(10)
+    rows = [(i, "http://n.example/", "<body>" + "".join(f"<div class=q{words(rng, 1)}><p>{words(rng, 1)}</p></div>" for _ in range(30)) + f"<article><p>{words(rng, 2000)}</article>") for i in range(60)]
+    read = host_rules(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert read.count() == 1
+    assert extracted(spark, rows) == {i: html.rpartition("<p>")[2].removesuffix("</article>") for i, _, html in rows}
