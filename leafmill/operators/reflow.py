@@ -240,13 +240,19 @@ def heading_pages(heads: DataFrame, lines: DataFrame, cut_at: int = 40, probe: i
 
     def hash_pages(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for book, page, body in frame.itertuples(index=False, name=None):
+            rows, lengths, hashes = [], [], []
+            for row, body in enumerate(frame["body"]):
                 points = _points(body)
                 for size in sizes:
                     h = _window_hashes(points, size).astype(np.int64)
                     place = h & (HASH_BITS - 1)
                     h = np.unique(h[(known[place >> 6] >> (place & 63)) & 1 == 1])
-                    yield pd.DataFrame({"book": book, "page": page, "size": np.int32(size), "hash": h})
+                    rows.append(np.full(len(h), row))
+                    lengths.append(np.full(len(h), size, np.int32))
+                    hashes.append(h)
+            if rows:
+                at = np.concatenate(rows)
+                yield pd.DataFrame({"book": frame["book"].to_numpy()[at], "page": frame["page"].to_numpy()[at], "size": np.concatenate(lengths), "hash": np.concatenate(hashes)})
 
     parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     bodies = cut(lines.groupBy("book", F.col("page").cast("long").alias("page")).agg(F.lower(T.one_spaced(F.concat_ws(" ", F.transform(parts, lambda p: p["text"])))).alias("body")))

@@ -35,7 +35,7 @@ def clean_lines(spark: SparkSession, folder: str, fraction: float = 0.02) -> Dat
 
 def flow(spark: SparkSession, folder: str) -> DataFrame:
     """Headings and paragraphs of each book, without its cover, title and contents pages."""
-    return flow_of(lines(spark, folder))
+    return flow_of(checkpoints.cut(lines(spark, folder)))
 
 
 def flow_of(rows: DataFrame, fraction: float = 0.02) -> DataFrame:
@@ -134,7 +134,7 @@ def p25_bit_unpack(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def p08_need_set(spark: SparkSession, folder: str) -> DataFrame:
-    pars = flow(spark, folder).withColumn("key", T.cache_key(F.col("text")))
+    pars = checkpoints.cut(flow(spark, folder).withColumn("key", T.cache_key(F.col("text"))))
     cached = pars.where("page % 3 = 0").select("key").distinct().withColumn("hit", F.lit(True))
     state = F.when(~T.has_letter(F.col("text")), "unchanged").when(T.looks_garbled(F.col("text")), "dropped").when(F.col("hit"), "cached").otherwise("needed")
     return pars.join(cached, "key", "left").select("book", "page", "par_no", state.alias("state"))
@@ -331,7 +331,7 @@ def w02_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def w03_cross_page(spark: SparkSession, folder: str) -> DataFrame:
     """Over documents set in lines of ten words and pages of thirty lines, so that paragraphs go on over page ends."""
-    rows = layout.set_lines(table(spark, folder, "documents"))
+    rows = checkpoints.cut(layout.set_lines(table(spark, folder, "documents")))
     merged = reflow.merged_across_pages(flow_of(rows).unionByName(L.frame(spark, L.FLOW).withColumn("page", F.col("page").cast("long"))))
     return merged.select("book", F.col("flow_no").cast("long").alias("flow_no"), "kind", F.md5("text").alias("text_md5"))
 
@@ -406,7 +406,7 @@ def f13_cover_json(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def f16_contrast_colour(spark: SparkSession, folder: str) -> DataFrame:
-    rows = I.frame(spark, folder, I.PIXELS)
+    rows = I.frame(spark, folder, I.PIXELS).select("id", "r", "g", "b").distinct()
     back = F.when(T.luminance(F.col("r"), F.col("g"), F.col("b")) < 128, 255).otherwise(0)
     step = lambda c, t: F.floor(F.col(c) + (back - F.col(c)) * t).cast("int")
     steps = F.sequence(F.lit(0), F.lit(5))
@@ -517,7 +517,7 @@ def k03_overlay_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def k04_book_plan(spark: SparkSession, folder: str) -> DataFrame:
-    pars = flow(spark, folder)
+    pars = checkpoints.cut(flow(spark, folder))
     found = reflow.heading_pages(pars.where("kind <> 'para'"), lines(spark, folder))
     heads = pars.where("kind <> 'para'").join(found, ["book", "page", "par_no"]).select("book", F.lit("contents").alias("section"), F.lit(2).alias("section_no"), F.col("found").cast("int").alias("page"), "par_no", F.left("text", F.lit(90)).alias("text"))
     body = pars.select("book", F.lit("body").alias("section"), F.lit(3).alias("section_no"), "page", "par_no", F.md5("text").alias("text"))
@@ -592,7 +592,7 @@ def t04_resumed(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def t10_rebuild(spark: SparkSession, folder: str) -> DataFrame:
-    pars = flow(spark, folder).withColumn("cache_key", T.cache_key(F.col("text")))
+    pars = checkpoints.cut(flow(spark, folder))
     target = F.when(F.expr("par_no % 5 = 3"), " ").otherwise(F.concat(F.lit("T:"), F.col("page").cast("string"), F.lit(":"), F.col("par_no").cast("string")))
     cached = pars.where("page % 3 = 0").select("text", target.alias("target"), F.struct("page", "par_no").alias("ord"))
     return jobs.rebuilt(pars, cached).select("book", "page", F.col("par_no").cast("long").alias("par_no"), "cached", F.md5("target").alias("target_md5"))
