@@ -278,7 +278,7 @@ ORACLES: dict[str, str] = {
     "k04_book_plan": f"""WITH RECURSIVE {PARS}, {HEAD_PAGES} SELECT DISTINCT book, 'cover' AS section, 1 AS section_no, 0 AS page, 0::BIGINT AS par_no, book AS text FROM pars
       UNION ALL SELECT book, 'contents', 2, s.page::INTEGER, par_no::BIGINT, left(p.text, 90) FROM pars p JOIN heads_ s USING (book, par_no) WHERE s.own = p.page AND kind <> 'para' UNION ALL SELECT book, 'body', 3, page, par_no::BIGINT, md5(text) FROM pars""",
     "k08_template_rule": f"WITH {LINES} SELECT book, CASE WHEN count(*) <= 2 THEN 'centred' WHEN count(*) = 3 THEN 'top' ELSE 'band' END AS template, (array_agg(line_no ORDER BY length(text) DESC, line_no))[1] AS accent FROM lines WHERE page = 0 GROUP BY book",
-    "k14_preview_rows": f"""WITH {IDS} SELECT book, page, line_no, id::BIGINT AS id, '{{"id":' || id || ',"page":' || page || ',"size":' || trunc(size)::INTEGER || ',"chars":' || length(text) || '}}' AS row, md5(text) AS original_md5, md5(CASE WHEN id % 3 = 0 THEN lower(text) ELSE text END) AS translated_md5 FROM ids""",
+    "k14_preview_rows": f"""WITH {IDS} SELECT book, page, line_no, id::BIGINT AS id, md5(to_json({{'id': id, 'page': page, 'size': trunc(size)::INTEGER, 'original': text, 'translated': CASE WHEN id % 3 = 0 THEN lower(text) ELSE text END}})::VARCHAR) AS row_md5 FROM ids""",
     "m03_pixel_bbox": """WITH v AS (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
       p AS (SELECT vec_id // 16 AS image, vec_id % 4 * 8 + i % 8 AS x, vec_id // 4 % 4 * 8 + i // 8 AS y, greatest(0, least(255, floor((e::DOUBLE + 1) * 128)))::INTEGER AS g FROM v),
       b AS (SELECT image * 6 + k AS block, image, (k * 3)::DOUBLE AS x0, (k * 2)::DOUBLE AS y0, (k * 3 + 4 + k * k)::DOUBLE AS x1, (k * 2 + 3 + k)::DOUBLE AS y1, 80 + k * 20 AS tr, 200 - k * 20 AS tb FROM (SELECT DISTINCT vec_id // 16 AS image FROM embeddings), range(6) t(k)),

@@ -535,8 +535,8 @@ def k08_template_rule(spark: SparkSession, folder: str) -> DataFrame:
 def k14_preview_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = layout.with_ids(lines(spark, folder)).withColumn("id", F.col("id").cast("long"))
     target = F.when(F.expr("id % 3 = 0"), F.lower("text")).when(F.expr("id % 3 = 1"), "").otherwise(F.lit(None))
-    row = F.to_json(F.struct("id", "page", F.col("size").cast("int").alias("size"), F.length("text").alias("chars")))
-    return rows.select("book", "page", "line_no", "id", row.alias("row"), F.md5("text").alias("original_md5"), F.md5(T.either(target, F.col("text"))).alias("translated_md5"))
+    row = F.to_json(F.struct("id", "page", F.col("size").cast("int").alias("size"), F.col("text").alias("original"), T.either(target, F.col("text")).alias("translated")))
+    return rows.select("book", "page", "line_no", "id", F.md5(row).alias("row_md5"))
 
 
 @query
