@@ -29,10 +29,12 @@ from leafmill.llm.common import cut, small_batches
 #: Longest phrase, rows of the sketch, counters of a slab, and counters of a row at most.
 WORDS, ROWS, SLAB, MOST_COUNTERS = 5, 2, 1 << 16, 1 << 25
 #: Bytes of texts that are looked at together, and words of a part of a longer text.
-CHUNK, PART = 4 << 20, 500_000
+CHUNK, PART = 2 << 20, 250_000
 BLANK, END = 1, 2
+#: Phrases that are added at once to counters of 16 bits, none of which was above this number before.
+STEP = 1 << 15
 #: Bytes of texts to a task for each byte of its sketch, and at least; counted phrases that a task adds up before it returns them.
-SHARE, LEAST_TEXT, HELD = 3, 32 << 20, 1_000_000
+SHARE, LEAST_TEXT, HELD = 3, 32 << 20, 400_000
 GRAM_SCHEMA = "lang string, words int, phrase string, n long"
 
 
@@ -138,24 +140,28 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 
 def sketched(docs: DataFrame, width: int, least: int) -> DataFrame:
     """slab, bits: which counters of the merged sketch reach ``least``."""
+    wide = np.uint16 if least < STEP else np.uint32
+    kind = np.uint8 if least <= 255 else wide
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = None
         for chunk in _chunks(batches):
-            sketch = np.zeros((ROWS, width), np.uint32) if sketch is None else sketch
+            sketch = np.zeros((ROWS, width), wide) if sketch is None else sketch
             for k, h in chunk.hashes():
                 h = h[chunk.valid(k)]
                 for row in range(ROWS):
-                    np.add.at(sketch[row], counters(h, row, width), 1)
+                    for at in range(0, len(h), STEP):
+                        c = counters(h[at : at + STEP], row, width)
+                        np.add.at(sketch[row], c, 1)
+                        # once ``least`` is reached it does not matter by how much, and so nothing overflows
+                        sketch[row][c] = np.minimum(sketch[row][c], least)
         if sketch is not None:
-            # once ``least`` is reached it does not matter by how much
-            small = np.minimum(sketch, min(least, 255)).astype(np.uint8) if least <= 255 else np.minimum(sketch, least)
             for row in range(ROWS):
                 for no, at in enumerate(range(0, width, SLAB)):
-                    yield pa.RecordBatch.from_arrays([pa.array([row * (-(-MOST_COUNTERS // SLAB)) + no], pa.int32()), pa.array([small[row, at : at + SLAB].tobytes()], pa.binary())], ["slab", "counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row * (-(-MOST_COUNTERS // SLAB)) + no], pa.int32()), pa.array([sketch[row, at : at + SLAB].astype(kind).tobytes()], pa.binary())], ["slab", "counts"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, last, total = np.uint8 if least <= 255 else np.uint32, None, None
+        last, total = None, None
 
         def bits() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["slab", "bits"])
