@@ -117,8 +117,10 @@ def floors(boxes: DataFrame, gap: float = 2.0, levels: int = 24) -> DataFrame:
     numbered = edges.withColumn("number", F.dense_rank().over(Window.partitionBy("book", "page").orderBy("x")))
     ends = numbered.groupBy("id").agg(F.min("number").alias("low"), F.max("number").alias("high"))
     placed = boxes.select("book", "page", "id", "y0", "page_h").join(ends, "id")
-    nodes = placed.select("book", "page", "id", "y0", _ranges_of_a_tree(F.col("low"), F.col("high"), levels).alias("own"))
-    above = F.flatten(F.transform("own", lambda n: F.transform(F.sequence(n["level"], F.lit(levels)), lambda up: F.struct(up.alias("level"), n["place"].alias("place"), n["level"].alias("from")))))
+    # the tree of a page is no higher than its edges need
+    top = F.ceil(F.log2(F.max("high").over(Window.partitionBy("book", "page")) + 1)).cast("int")
+    nodes = placed.withColumn("top", top).select("book", "page", "id", "y0", "top", _ranges_of_a_tree(F.col("low"), F.col("high"), levels).alias("own"))
+    above = F.flatten(F.transform("own", lambda n: F.transform(F.sequence(n["level"], F.greatest("top", n["level"])), lambda up: F.struct(up.alias("level"), n["place"].alias("place"), n["level"].alias("from")))))
     standing = nodes.select("book", "page", "id", "y0", F.explode(above).alias("n")).select("book", "page", "id", "y0", F.col("n.level").alias("level"), F.expr("shiftright(n.place, n.level - n.from)").alias("place"), (F.col("n.level") == F.col("n.from")).alias("own"))
     standing = standing.groupBy("book", "page", "id", "y0", "level", "place").agg(F.max("own").alias("own"))
     # a box asks from just under its top; boxes at that very height are not below
