@@ -140,6 +140,11 @@ def score(stats: DataFrame, model: Classifier, threshold: float = 0.3) -> DataFr
     return stats.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
+def score_texts(docs: DataFrame, model: Classifier, threshold: float = 0.3) -> DataFrame:
+    """The columns of ``score`` beside those of ``docs``, whose texts are counted and scored in one pass."""
+    return with_stats(docs, {"score": model}).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of each document.
 

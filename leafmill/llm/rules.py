@@ -136,7 +136,15 @@ def judge(stats: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(forest(matrix(batch.column(place))), pa.float64())], [*batch.schema.names, "rule_score"])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["rule_score double"])
-    scored = stats.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
+    return _verdicts(stats.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema), threshold)
+
+
+def judge_texts(docs: DataFrame, forest: Forest, threshold: float = 0.5) -> DataFrame:
+    """The columns of ``judge`` beside those of ``docs``, whose texts are counted and scored in one pass."""
+    return _verdicts(with_stats(docs, {"rule_score": forest}), threshold)
+
+
+def _verdicts(scored: DataFrame, threshold: float) -> DataFrame:
     counted = scored.withColumns({c: F.col("stat_counts")[i] for i, c in enumerate(COUNTS)})
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("rule_score") >= threshold))

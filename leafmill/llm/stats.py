@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -85,21 +85,26 @@ def text_stats(text: str | None) -> tuple[list[int], list[float]]:
     ]
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
-    """``docs`` with stat_counts array<long> and stat_features array<double>.
+def with_stats(docs: DataFrame, scores: Mapping[str, Callable[[np.ndarray], np.ndarray]] | None = None) -> DataFrame:
+    """``docs`` with stat_counts array<long>, stat_features array<double> and a double for each of ``scores``.
 
-    Columns of these names are replaced; all others stay.
+    A score is a function of the matrix of features. It is taken in the task that
+    has counted the text, so texts go to Python once. Columns of these names are
+    replaced; all others stay.
     """
-    kept = [f for f in docs.schema.fields if f.name not in ("stat_counts", "stat_features")]
+    scores = scores or {}
+    new_names = ["stat_counts", "stat_features", *scores]
+    kept = [f for f in docs.schema.fields if f.name not in new_names]
     place = [f.name for f in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [text_stats(x.as_py()) for x in batch.column(place)]
             new = [pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "stat_counts", "stat_features"])
+            new += [pa.array(score(matrix(new[1])), pa.float64()) for score in scores.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *new_names])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["stat_counts array<long>", "stat_features array<double>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["stat_counts array<long>", "stat_features array<double>"] + [f"`{name}` double" for name in scores])
     return docs.select(*[F.col(f"`{f.name}`") for f in kept]).mapInArrow(run, schema)
 
 
