@@ -1,7 +1,8 @@
 """Sharding by a k-d tree over document metadata.
 
 A point is a document's metadata: source, language and log of its size, as
-integer codes. A node that must yield k shards is cut along its widest dimension
+integer codes. Names are coded by the four bytes that follow what all names
+of the table begin with, so codes keep the order of the names. A node that must yield k shards is cut along its widest dimension
 (range over the table's range) at the weighted quantile ``(k // 2) / k``, bytes
 being the weights, until each leaf is one shard. Equal texts share one point, so
 a cut keeps them together unless their group lies across the quantile itself.
@@ -26,8 +27,19 @@ BINS = 1024
 DIMS = ("dim_source", "dim_lang", "dim_size")
 
 
+def name_code(name: Column, least: str | None, most: str | None) -> Column:
+    """A number under 2**31 in the order of names between ``least`` and ``most``; 0 for null.
+
+    Names that agree in the four bytes after their common beginning share a number.
+    """
+    low, high = ((x or "").encode("utf-8", "surrogatepass") for x in (least, most))
+    shared = next((i for i, (a, b) in enumerate(zip(low, high, strict=False)) if a != b), min(len(low), len(high)))
+    told = F.rpad(F.hex(F.substring(name.cast("binary"), shared + 1, 4)), 8, "0")
+    return F.coalesce(F.shiftright(F.conv(told, 16, 10).cast("long"), 1) + 1, F.lit(0)).cast("long")
+
+
 def metadata_points(docs: DataFrame) -> DataFrame:
-    """doc_id, size, crc, spread and one key under 2**63 per dimension."""
+    """doc_id, size, crc, spread and one key under 2**63 per dimension; a group of equal texts has its least source and language."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(
         "doc_id",
@@ -38,7 +50,8 @@ def metadata_points(docs: DataFrame) -> DataFrame:
         "lang",
     )
     groups = rows.groupBy("size", "crc", "same").agg(F.min("source").alias("source"), F.min("lang").alias("lang"))
-    code = lambda c: F.shiftrightunsigned(F.xxhash64(c), 33)
+    spans = docs.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("source", "lang") for f in (F.min, F.max)]).first()
+    code = lambda c: name_code(F.col(c), spans[f"min_{c}"], spans[f"max_{c}"])
     log_size = F.least(F.floor(F.log2(F.col("size").cast("double")) * 5e7), F.lit(2**31 - 1)).cast("long")
     keyed = lambda c: F.shiftleft(c, 32).bitwiseOR(F.col("crc"))
     return rows.drop("source", "lang").join(groups, ["size", "crc", "same"]).select(
