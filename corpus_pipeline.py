@@ -26,7 +26,7 @@ from leafmill.llm.stats import drawn_ids, with_stats
 def _where(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], passes: str) -> DataFrame:
     """Rows of ``docs`` that pass; columns whose names the judge uses are set apart meanwhile."""
     names = {c: f"own_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
-    judged = judge(with_stats(docs.withColumnsRenamed(names))).where(passes)
+    judged = judge(docs.withColumnsRenamed(names)).where(passes)
     return judged.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns])
 
 
@@ -48,7 +48,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     labels = table(spark, sf_dir, "labels")
     forest = rules.fit(_labelled_stats(docs, labels, rules.FIT_ROWS), labels)
-    return _where(docs, lambda d: rules.judge(d, forest), "kept")
+    return _where(docs, lambda d: rules.judge_texts(d, forest), "kept")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """
     labels = table(spark, sf_dir, "labels")
     model = classifier.fit(_labelled_stats(table(spark, sf_dir, "documents"), labels, classifier.FIT_ROWS), labels)
-    return _where(docs, lambda d: classifier.score(d, model), "predicted = 1")
+    return _where(docs, lambda d: classifier.score_texts(d, model), "predicted = 1")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
