@@ -48,8 +48,12 @@ TITLES = (
     "bsd 3 clause license",
     "zlib license",
     "boost software license version 1 0 august 17th 2003",
+    "this font software is licensed under the sil open font license version 1 1",
+    "this license is copied below and is also available with a faq at",
+    "http scripts sil org ofl",
+    "http openfontlicense org",
 )
-COPYRIGHT = "^(portions )?(copyright|c) (c )?(copyright )?([0-9]{4}|year|yyyy|by )"
+COPYRIGHT = "^(portions )?(copyright|c) (c )?(copyright )?([0-9]{4}|year|yyyy|by )|^with reserved font name "
 
 #: Whole texts of known licences.
 TEXTS = {
@@ -122,9 +126,12 @@ NOTICES = {
 #: Digests of the canonical whole texts of licences that are too long to be written out.
 DIGESTS = {
     "Apache-2.0": "e6a451dce42ab8d4680fad924e570785da0232bff29f75285ec562220504b2da",
+    "Apache-2.0 (without appendix)": "ea2c4965214d06d114add32f6df60ad2e10cbbf64c264f9aad0a590b274767de",
     "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
     "BSD-3-Clause (University of California)": "e7cef7bf7fa468dad67b0345cdedf22643539a39a84e2e3b3b200a694a0eeda4",
+    "CC-BY-SA-4.0": "f4c5ab78a7bff3def20db716ba8d3f3989eeb020c0cd83d1ba6f5c6dc13d70bb",
     "CC0-1.0": "3543dcc60a0402f26a4bfa9890d41c38c4cf6d3ca2012ae9953b6c9770a79449",
+    "EPL-2.0": "47acf30645cf3f37c71a082c2ad8a65a7d52eb60b04a20d4fd360877b9b75240",
     "GFDL-1.2": "07179cfcd9a4a8c813d9d848fafbb889944994ba7e14682cccfdfb0258ab358b",
     "GFDL-1.3": "b80512237f0c36267b1d3cc7c4561b7b488d75e4ec311c0c3846662fa876b3c7",
     "GPL-1.0": "07e35989b8c661d8800dfc45970de9dcd52e89926237a84d13f70bc25b2aef06",
@@ -135,6 +142,8 @@ DIGESTS = {
     "LGPL-3.0": "256195cdc3866b92e131c85ab83be64a70cdb25bbef30d9ba20f9e203a0898c0",
     "MPL-1.1": "186489fb387b90436e4cd81466b39e9a16761884816412695a1e4ba709f61573",
     "MPL-2.0": "b58a5e7569edec43100cb87489425cf6cc7f001aad18aad7de2f6327e043bad1",
+    "OFL-1.1": "96dd62591f03714740da8e47f6a6666cf4643fd85e0292d64d34a6f748513722",
+    "Unicode-3.0": "41c0010abe46dc83093909ac8727e1ebd332623a1ede4376bdcd0323807744f5",
 }
 
 
