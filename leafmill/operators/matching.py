@@ -104,34 +104,57 @@ def _ranges_of_a_tree(low: Column, high: Column, levels: int = 24) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, up, lambda s: s["nodes"])
 
 
-def floors(boxes: DataFrame, gap: float = 2.0, levels: int = 24) -> DataFrame:
+def floors(boxes: DataFrame, gap: float = 2.0, levels: int = 24, crowded: int = 64) -> DataFrame:
     """book, page, id, floor: ``gap`` above the nearest box below that overlaps in x, else ``gap`` above the page's end.
 
-    Boxes have a width. Their edges are numbered on each page, and a box is a few
-    nodes of a binary tree over these numbers. Two boxes overlap in x if a node of
-    one is, or lies above, a node of the other; so each box stands at its own nodes
-    and at all above them, and a sweep down each node's boxes tells the next lower
-    one. There are a few rows to a box, and no pairs.
+    Boxes have a width. On a page of up to ``crowded`` boxes each looks at all
+    others; more crowded pages are swept, whose work does not grow with the
+    square of their boxes. Both give the same rows, and both read one shuffle of
+    the boxes by page.
     """
-    edges = boxes.select("book", "page", "id", F.posexplode(F.array("x0", "x1")).alias("side", "x"))
+    page = ["book", "page"]
+    counted = boxes.select(*page, "id", "x0", "x1", "y0", "page_h").withColumn("n", F.count("*").over(Window.partitionBy(*page)))
+    few, many = counted.where(F.col("n") <= crowded), counted.where(F.col("n") > crowded)
+    lowest = F.least(F.col("page_h") - gap, F.coalesce(F.col("next") - gap, F.col("page_h")))
+    return _next_by_looking(few, gap).unionByName(_next_by_sweep(many, gap, levels)).select(*page, "id", lowest.alias("floor"))
+
+
+def _next_by_looking(boxes: DataFrame, gap: float) -> DataFrame:
+    """book, page, id, page_h and next, the top of the nearest box below: each box against its page's list."""
+    below = lambda a: F.filter("all", lambda b: (b["y0"] > a["y0"] + gap) & (b["x1"] > a["x0"]) & (b["x0"] < a["x1"]))
+    told = lambda a: F.struct(a["id"].alias("id"), a["page_h"].alias("page_h"), F.array_min(F.transform(below(a), lambda b: b["y0"])).alias("next"))
+    pages = boxes.groupBy("book", "page").agg(F.collect_list(F.struct("id", "x0", "x1", "y0", "page_h")).alias("all"))
+    return pages.select("book", "page", F.inline(F.transform("all", told)))
+
+
+def _next_by_sweep(boxes: DataFrame, gap: float, levels: int) -> DataFrame:
+    """book, page, id, page_h and next, the top of the nearest box below: by a sweep down a tree of each page's edges.
+
+    The edges are numbered on each page, and a box is a few nodes of a binary tree
+    over these numbers. Two boxes overlap in x if a node of one is, or lies above,
+    a node of the other; so each box stands at its own nodes and at all above
+    them, and a sweep down each node's boxes tells the next lower one. There are a
+    few rows to a box, and no pairs.
+    """
+    box = ["book", "page", "id", "y0", "page_h"]
+    edges = boxes.select(*box, F.explode(F.array("x0", "x1")).alias("x"))
     numbered = edges.withColumn("number", F.dense_rank().over(Window.partitionBy("book", "page").orderBy("x")))
-    ends = numbered.groupBy("id").agg(F.min("number").alias("low"), F.max("number").alias("high"))
-    placed = boxes.select("book", "page", "id", "y0", "page_h").join(ends, "id")
+    placed = numbered.groupBy(*box).agg(F.min("number").alias("low"), F.max("number").alias("high"))
     # the tree of a page is no higher than its edges need
     top = F.ceil(F.log2(F.max("high").over(Window.partitionBy("book", "page")) + 1)).cast("int")
-    nodes = placed.withColumn("top", top).select("book", "page", "id", "y0", "top", _ranges_of_a_tree(F.col("low"), F.col("high"), levels).alias("own"))
+    nodes = placed.withColumn("top", top).select(*box, "top", _ranges_of_a_tree(F.col("low"), F.col("high"), levels).alias("own"))
     above = F.flatten(F.transform("own", lambda n: F.transform(F.sequence(n["level"], F.greatest("top", n["level"])), lambda up: F.struct(up.alias("level"), n["place"].alias("place"), n["level"].alias("from")))))
-    standing = nodes.select("book", "page", "id", "y0", F.explode(above).alias("n")).select("book", "page", "id", "y0", F.col("n.level").alias("level"), F.expr("shiftright(n.place, n.level - n.from)").alias("place"), (F.col("n.level") == F.col("n.from")).alias("own"))
-    standing = standing.groupBy("book", "page", "id", "y0", "level", "place").agg(F.max("own").alias("own"))
+    standing = nodes.select(*box, F.explode(above).alias("n")).select(*box, F.col("n.level").alias("level"), F.expr("shiftright(n.place, n.level - n.from)").alias("place"), (F.col("n.level") == F.col("n.from")).alias("own"))
+    standing = standing.groupBy(*box, "level", "place").agg(F.max("own").alias("own"))
     # a box asks from just under its top; boxes at that very height are not below
-    events = standing.select("book", "page", "level", "place", "own", F.explode(F.array(F.struct(F.col("y0").alias("at"), F.lit(1).alias("kind"), F.col("y0").alias("top"), F.lit(None).cast("long").alias("asks")), F.struct((F.col("y0") + gap).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("top"), F.col("id").cast("long").alias("asks")))).alias("e")).select("book", "page", "level", "place", "own", "e.*")
+    stands = F.struct(F.col("y0").alias("at"), F.lit(1).alias("kind"), F.col("y0").alias("top"))
+    asks = F.struct((F.col("y0") + gap).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("top"))
+    events = standing.select(*box, "level", "place", "own", F.explode(F.array(stands, asks)).alias("e")).select(*box, "level", "place", "own", "e.*")
     up = Window.partitionBy("book", "page", "level", "place").orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
     every, owned = F.last("top", ignorenulls=True).over(up), F.last(F.when(F.col("own"), F.col("top")), ignorenulls=True).over(up)
     # at a node of its own a box meets all that stand there, at one above only those whose own it is
-    swept = events.withColumn("next", F.when(F.col("own"), every).otherwise(owned)).where("asks is not null")
-    near = swept.groupBy("asks").agg((F.min("next") - gap).alias("near"))
-    met = placed.join(near, F.col("id").cast("long") == F.col("asks"), "left")
-    return met.select("book", "page", "id", F.least(F.col("page_h") - gap, F.coalesce("near", F.col("page_h"))).alias("floor"))
+    swept = events.withColumn("met", F.when(F.col("own"), every).otherwise(owned)).where("kind = 0")
+    return swept.groupBy(*box).agg(F.min("met").alias("next")).drop("y0")
 
 
 def overlaps(boxes: DataFrame, share: float = 0.1, band: float = 50.0) -> DataFrame:

@@ -53,6 +53,9 @@ def test_floors_equal_all_pairs(spark):
     boxes.append(("c", 0, len(boxes), 1.0, 2.0, 5.0, 300.0))
     df = spark.createDataFrame(boxes, "book string, page int, id int, x0 double, x1 double, y0 double, page_h double")
     assert {r.id: r.floor for r in matching.floors(df).collect()} == brute_floors(boxes)
+    for crowded in (0, 59, 60, 1000):
+        assert {r.id: r.floor for r in matching.floors(df, crowded=crowded).collect()} == brute_floors(boxes)
+    assert matching.floors(df.limit(0)).count() == 0
 
 
 def test_a_crowded_page_has_rows_in_proportion_to_its_boxes(spark):
