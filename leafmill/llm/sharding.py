@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import cut
 
 BINS = 1024
+#: Groups of equal texts that are sent to all tasks, at most.
+SENT_GROUPS = 50_000
 DIMS = ("dim_source", "dim_lang", "dim_size")
 
 
@@ -38,6 +40,22 @@ def name_code(name: Column, least: str | None, most: str | None) -> Column:
     return F.coalesce(F.shiftright(F.conv(told, 16, 10).cast("long"), 1) + 1, F.lit(0)).cast("long")
 
 
+def _of_equal_texts(rows: DataFrame, many: int) -> DataFrame:
+    """``rows`` with the least source and language of their equal texts.
+
+    Groups of over ``many`` rows, SENT_GROUPS at most, are sent to all tasks; their
+    rows are dealt out by id, so no task gets a large group.
+    """
+    same = ["size", "crc", "same"]
+    groups = rows.groupBy(*same).agg(F.count("*").alias("copies"), F.struct(F.min("source").alias("source"), F.min("lang").alias("lang")).alias("group"))
+    large = groups.where(F.col("copies") > many).select(*same, F.col("group").alias("large"))
+    small = groups.where(F.col("copies") <= many).select("size", "crc", F.col("same").alias("probe"), "group")
+    met = rows.drop("source", "lang").join(F.broadcast(large), same, "left")
+    met = met.withColumn("probe", F.when(F.col("large").isNull(), F.col("same")).otherwise(F.xxhash64(F.lit(29), F.col("doc_id"))))
+    of = F.coalesce("large", "group")
+    return met.join(small, ["size", "crc", "probe"], "left").withColumns({"source": of["source"], "lang": of["lang"]})
+
+
 def metadata_points(docs: DataFrame) -> DataFrame:
     """doc_id, size, crc, spread and one key under 2**63 per dimension; a group of equal texts has its least source and language."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -49,12 +67,12 @@ def metadata_points(docs: DataFrame) -> DataFrame:
         "source",
         "lang",
     )
-    groups = rows.groupBy("size", "crc", "same").agg(F.min("source").alias("source"), F.min("lang").alias("lang"))
-    spans = docs.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ("source", "lang") for f in (F.min, F.max)]).first()
+    spans = docs.agg(F.count("*").alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("source", "lang") for f in (F.min, F.max)]).first()
+    rows = _of_equal_texts(rows, max(1000, spans["n"] // SENT_GROUPS))
     code = lambda c: name_code(F.col(c), spans[f"min_{c}"], spans[f"max_{c}"])
     log_size = F.least(F.floor(F.log2(F.col("size").cast("double")) * 5e7), F.lit(2**31 - 1)).cast("long")
     keyed = lambda c: F.shiftleft(c, 32).bitwiseOR(F.col("crc"))
-    return rows.drop("source", "lang").join(groups, ["size", "crc", "same"]).select(
+    return rows.select(
         "doc_id",
         "size",
         "crc",
