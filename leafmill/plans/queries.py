@@ -41,7 +41,7 @@ def flow(spark: SparkSession, folder: str) -> DataFrame:
 def flow_of(rows: DataFrame, fraction: float = 0.02) -> DataFrame:
     """Headers, page numbers and leader lines go first, so they are no part of what follows."""
     body = reflow.body_size(rows)
-    kept = reflow.without_artifacts(rows, body, reflow.repeated_headers(rows, fraction)).drop("body")
+    kept = checkpoints.cut(reflow.without_artifacts(rows, body, reflow.repeated_headers(rows, fraction)).drop("body"))
     return reflow.paragraphs(reflow.without_pages(kept, reflow.skip_pages(kept)), body)
 
 
