@@ -108,3 +108,15 @@ def test_one_row_of_a_repeated_id_stays(spark, folder):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = [sorted(map(tuple, corpus_pipeline.near_dedup(spark, df.repartition(n), folder).collect()), key=str) for n in (1, 3)]
     assert got[0] == got[1] and len(got[0]) == 3
+
+
+def test_mix_of_very_long_texts_ties_and_columns_of_its_own_names(spark):
+    rows = [(1, "w " * 400_000, "a"), (2, "x" * 3_000_000, "b"), (3, None, "b"), (4, "", None)] + [(5, "same words here", "b")] * 40 + [(100 + i, "one two " * 5_000, "c") for i in range(80)]
+    df = spark.createDataFrame([(*r, "own", "own", "own", "own") for r in rows], "doc_id long, text string, source string, size string, target string, skey string, bucket string")
+    got = mix_sources(df, bucket_rows=20).collect()
+    assert sorted((r.doc_id, r["size"]) for r in got) == sorted((i, len((t or "").split())) for i, t, _ in rows)
+    for source in ("a", "b", "c"):
+        mine = [r for r in got if r.source == source]
+        largest = max(r["size"] for r in mine)
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= largest and all(r.taken in {k * r["size"] for k in range(4)} for r in mine)
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mix_sources(df.repartition(5), bucket_rows=20).collect()), key=repr)

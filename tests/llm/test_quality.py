@@ -138,3 +138,19 @@ def test_drawn_ids_are_bounded_and_of_no_held_out_row(spark):
     drawn = [sorted(r.doc_id for r in drawn_ids(labels.repartition(n), "quality", 1000).collect()) for n in (1, 3)]
     assert drawn[0] == drawn[1] and set(drawn[0]) < usable and 850 < len(drawn[0]) < 1150
     assert drawn_ids(labels.limit(0), "quality", 10).count() == 0
+
+
+def test_scores_of_one_pass_are_those_of_two(spark, tables):
+    docs, labels = tables
+    docs = docs.unionByName(spark.createDataFrame([(9000, "first" + " more" * 300_000, "s", 1.0), (9001, "y" * 2_000_000, None, None)], docs.schema))
+    stats = with_stats(docs)
+    of = lambda df, *columns: sorted((tuple(r) for r in df.select("doc_id", *columns).collect()), key=repr)
+    forest = rules.fit(stats, labels)
+    one = of(rules.judge_texts(docs, forest), *COUNTS, "base_failed", "kept", "rule_score")
+    assert one == of(rules.judge(stats, forest), *COUNTS, "base_failed", "kept", "rule_score") and len(one) == 408
+    long = {r[0]: r for r in one if r[0] in (9000, 9001)}
+    assert long[9000][1:6] == (300_001, 1_200_005, 0, 0, 300_000) and long[9001][1:6] == (1, 2_000_000, 0, 0, 0)
+    model = classifier.fit(stats, labels)
+    scored = classifier.score_texts(docs, model)
+    assert of(scored, "score", "predicted") == of(classifier.score(stats, model), "score", "predicted")
+    assert set(docs.columns) <= set(scored.columns)  # an own column score gives way to the score
