@@ -239,9 +239,9 @@ def j12_fuzzy_titles(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def j13_image_placement(spark: SparkSession, folder: str) -> DataFrame:
-    rows = layout.boxes(lines(spark, folder))
-    images = rows.where("image").select("book", "page", F.col("id").cast("long").alias("image_id"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
-    return matching.image_anchors(images, flow(spark, folder)).withColumn("anchor", F.col("anchor").cast("long"))
+    rows = checkpoints.cut(lines(spark, folder))
+    images = layout.boxes(rows).where("image").select("book", "page", F.col("id").cast("long").alias("image_id"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
+    return matching.image_anchors(images, flow_of(rows)).withColumn("anchor", F.col("anchor").cast("long"))
 
 
 @query
@@ -517,8 +517,9 @@ def k03_overlay_plan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def k04_book_plan(spark: SparkSession, folder: str) -> DataFrame:
-    pars = checkpoints.cut(flow(spark, folder))
-    found = reflow.heading_pages(pars.where("kind <> 'para'"), lines(spark, folder))
+    rows = checkpoints.cut(lines(spark, folder))
+    pars = checkpoints.cut(flow_of(rows))
+    found = reflow.heading_pages(pars.where("kind <> 'para'"), rows)
     heads = pars.where("kind <> 'para'").join(found, ["book", "page", "par_no"]).select("book", F.lit("contents").alias("section"), F.lit(2).alias("section_no"), F.col("found").cast("int").alias("page"), "par_no", F.left("text", F.lit(90)).alias("text"))
     body = pars.select("book", F.lit("body").alias("section"), F.lit(3).alias("section_no"), "page", "par_no", F.md5("text").alias("text"))
     cover = pars.select("book").distinct().select("book", F.lit("cover").alias("section"), F.lit(1).alias("section_no"), F.lit(0).alias("page"), F.lit(0).cast("long").alias("par_no"), F.col("book").alias("text"))
@@ -552,7 +553,8 @@ def m03_pixel_bbox(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def j14_heading_pages(spark: SparkSession, folder: str) -> DataFrame:
-    return reflow.heading_pages(flow(spark, folder).where("kind <> 'para'"), lines(spark, folder))
+    rows = checkpoints.cut(lines(spark, folder))
+    return reflow.heading_pages(flow_of(rows).where("kind <> 'para'"), rows)
 
 
 @query
