@@ -302,7 +302,9 @@ ORACLES: dict[str, str] = {
       c AS (SELECT {key('text')} AS k, arg_max(target, came) AS target FROM x WHERE trim(target) <> '' AND {strip('text')} <> '' GROUP BY ALL)
       SELECT book, page, par_no::BIGINT AS par_no, c.k IS NOT NULL AS cached, md5(coalesce(c.target, text)) AS target_md5 FROM pars LEFT JOIN c ON c.k = {key('text')}""",
     "p14_scanned_override": f"WITH {LINES}, b AS (SELECT book, count(DISTINCT page) AS n, sum(length(text)) AS c FROM lines GROUP BY book) SELECT book, (n >= 3 AND c < 2400 * n) OR (book IN ('src1', 'src3', 'src5') AND c < 4000 * greatest(n, 1)) AS scanned FROM b",
-    "p27_cover_gate": f"SELECT doc_id, doc_id % 5 <> 0 AND len([x FOR x IN string_split(CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE coalesce(text, '') END, chr(10)) IF {strip('x')} <> '']) = 0 AS remake FROM documents",
+    "p27_cover_gate": f"""WITH d AS (SELECT book, doc_id, text FROM {L.values(L.COVER_PAGES)} UNION ALL SELECT source, doc_id, text FROM documents),
+      p AS (SELECT book, (row_number() OVER (PARTITION BY book ORDER BY doc_id) - 1)::INTEGER AS page, doc_id, len([x FOR x IN string_split(coalesce(text, ''), chr(10)) IF {strip('x')} <> '']) AS blocks FROM d)
+      SELECT book, page, doc_id, blocks, page = 0 AND blocks = 0 AND doc_id % 5 <> 0 AS remake FROM p""",
     "k15_downloads": f"SELECT job_id, path FROM {I.sql(I.JOBS)} WHERE status = 'done' AND length(path) > 0",
     "w09_line_pitch": f"WITH {LINES} SELECT book, page, round(CASE WHEN count(*) > 1 THEN greatest(1.05::DOUBLE, least(2.0::DOUBLE, (max(y0) - min(y0)) / (count(*) - 1) / avg(y1 - y0))) ELSE 1.15::DOUBLE END, 6) AS pitch FROM lines GROUP BY ALL",
     "o04_image_order": f"WITH {BOXES} SELECT book, page, id::BIGINT AS id, row_number() OVER (PARTITION BY book, page ORDER BY y0, id)::BIGINT AS place FROM boxes WHERE image",

@@ -192,3 +192,12 @@ def test_words_tokens_and_reuse_take_every_row(spark, tmp_path):
     tokens = [(r.k, r.core) for r in QUERIES["f06_token_split"](spark, folder).where("book = 'one' and page = 0 and line_no = 2").collect()]
     assert [core for k, core in sorted(tokens) if k != 1] == ["d", "e"]
     assert {r.doc_id: r.reused_from for r in QUERIES["j05_cache_reuse"](spark, folder).collect()} == {2: 5, 4: 5}
+
+
+def test_cover_gate_counts_every_page_of_every_book(spark, tmp_path):
+    rows = [(0, "b", "a\nb\n \n"), (3, "b", "c"), (4, "b", None), (6, "c", " \n"), (9, "c", "d\n\ne"), (10, "d", ""), (13, "d", "f"), (15, "e", "g\nh\ni")]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["p27_cover_gate"](spark, str(tmp_path)).collect()
+    given = sorted((r.doc_id, r.book, r.page, r.blocks, r.remake) for r in got if not r.book.startswith("literal"))
+    assert given == [(0, "b", 0, 2, False), (3, "b", 1, 1, False), (4, "b", 2, 0, False), (6, "c", 0, 0, True), (9, "c", 1, 2, False), (10, "d", 0, 0, False), (13, "d", 1, 1, False), (15, "e", 0, 3, False)]
+    assert {r.book for r in got if r.remake} == {"c", "literal picture", "literal null", "literal empty"}
