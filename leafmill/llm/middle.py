@@ -19,10 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, small_batches
+from leafmill.llm.common import cut, light_batches, small_batches
 
 #: Classes of bytes; the last stands for what lies beyond a chunk's end.
 OTHER, NEWLINE, OPEN, LETTER, CLOSE, PAD = range(6)
@@ -31,6 +32,8 @@ START, INSIDE, OPENED, LETTERED, START_SEEN, INSIDE_SEEN = range(6)
 STATES, CLASSES = 6, 6
 #: Bytes of a chunk, and of a piece of a long text.
 CHUNK, PIECE = 1024, 1 << 16
+#: Bytes of texts, about, that a task holds and reads at once.
+GROUP = 1 << 22
 SENTINELS = {"prefix": "<P>", "suffix": "<S>", "middle": "<M>"}
 
 
@@ -144,6 +147,18 @@ def _picks(id_col: Column, seed: int) -> list[Column]:
     return [F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)]
 
 
+def grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, no more than ``GROUP`` bytes of a column at once, or one row."""
+    for batch in batches:
+        upto = np.cumsum(np.asarray(pc.binary_length(batch.column(column))), dtype=np.int64)
+        start = 0
+        while start < len(batch):
+            held = upto[start - 1] if start else 0
+            stop = max(int(np.searchsorted(upto, held + GROUP, "right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 CUTS = "n long, seen boolean, cut1 long, cut2 long"
 
 
@@ -151,12 +166,11 @@ def _short(rows: DataFrame) -> DataFrame:
     """``rows`` with units, sentinel and cuts, read in place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                texts = [t.encode() for t in batch.column("text").to_pylist()]
-                n, seen, places = cut_places(texts, [np.asarray(batch.column(c)) for c in ("h1", "h2")])
-                new = [pa.array(n), pa.array(seen), pa.array(np.minimum(*places)), pa.array(np.maximum(*places))]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "n", "seen", "cut1", "cut2"])
+        for batch in grouped(batches, "text"):
+            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            n, seen, places = cut_places(texts, [np.asarray(batch.column(c)) for c in ("h1", "h2")])
+            new = [pa.array(n), pa.array(seen), pa.array(np.minimum(*places)), pa.array(np.maximum(*places))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "n", "seen", "cut1", "cut2"])
 
     return rows.mapInArrow(run, ", ".join(f"`{name}` {kind}" for name, kind in rows.dtypes) + ", " + CUTS)
 
@@ -171,11 +185,10 @@ def _long(rows: DataFrame, piece: int) -> DataFrame:
     pieces = texts.select("key", F.posexplode(slices).alias("no", "part")).repartition("key", "no")
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
-                columns, first = chunks_of(batch.column("part").to_pylist())
-                ends, units = (x[:, first[1:] - 1].T for x in composed(*summaries(columns), first))
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(ends.tolist(), pa.list_(pa.int64())), pa.array(units.tolist(), pa.list_(pa.int64()))], ["key", "no", "ends", "units"])
+        for batch in grouped(batches, "part"):
+            columns, first = chunks_of(batch.column("part").to_pylist())
+            ends, units = (x[:, first[1:] - 1].T for x in composed(*summaries(columns), first))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), pa.array(ends.tolist(), pa.list_(pa.int64())), pa.array(units.tolist(), pa.list_(pa.int64()))], ["key", "no", "ends", "units"])
 
     def resolve(key: tuple, table: pa.Table) -> pa.Table:
         table = table.sort_by("no")
@@ -193,9 +206,7 @@ def _long(rows: DataFrame, piece: int) -> DataFrame:
     wanted = cut(wanted.where(holds).select("key", "no", "state", (F.col("after") - F.col("before")).alias("rank"), "pick", "inner", "n", "seen").distinct())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in grouped(batches, "part"):
             columns, first = chunks_of(batch.column("part").to_pylist())
             own, outer, rank = (np.asarray(batch.column(c)) for c in ("no", "state", "rank"))
             # each piece is entered in its own state, so its chunks' functions are applied to that
@@ -229,6 +240,7 @@ def fill_in_middle(docs: DataFrame, *, seed: int = 7, rate: int = 100, spm: int
     the same row each; other columns are left out; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
+    light_batches(docs.sparkSession, GROUP)
     h = _picks(F.col(id_col), seed)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[c.alias(f"h{k + 1}") for k, c in enumerate(h)])
     long = F.octet_length("text") > piece
@@ -246,9 +258,9 @@ def fill_in_middle(docs: DataFrame, *, seed: int = 7, rate: int = 100, spm: int
 
 def restored(output: Column, form: Column) -> Column:
     """The text before it was rearranged: no part holds a sentinel, so they tell the parts."""
-    parts = F.split(output, "<[PSM]>", -1)
-    psm, spm = F.concat(parts[1], parts[3], parts[2]), F.concat(parts[2], parts[3], parts[1])
-    return F.when(form == "plain", output).when(form == "psm", psm).otherwise(spm)
+    joined = lambda p: F.when(form == "psm", F.concat(p[1], p[3], p[2])).otherwise(F.concat(p[2], p[3], p[1]))
+    # an array of one, so that each text is split once
+    return F.when(form == "plain", output).otherwise(F.transform(F.array(F.split(output, "<[PSM]>", -1)), joined)[0])
 
 
 def digests(done: DataFrame) -> DataFrame:

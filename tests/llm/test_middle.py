@@ -1,8 +1,10 @@
 import hashlib
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from leafmill.llm import middle
@@ -64,3 +66,40 @@ def test_the_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
     assert sorted(map(tuple, done.collect())) == sorted(con.execute(middle.MIDDLE_SQL).fetchall())
+
+
+class Taken:
+    """Stands for rows: gives the function that their batches go through."""
+
+    dtypes = [("text", "string"), ("h1", "bigint"), ("h2", "bigint")]
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_batch_of_large_texts_is_read_in_small_groups():
+    texts = ["a line of it\n" * (3000 + k % 1000) for k in range(600)] + [""] * 3
+    picks = [7 * k for k in range(603)]
+    batch = pa.record_batch({"text": pa.array(texts), "h1": pa.array(picks), "h2": pa.array(picks[::-1])})
+    got, most = [], 0
+    tracemalloc.start()
+    for out in middle._short(Taken())(iter([batch, batch.slice(0, 0)])):
+        got += zip(*[out.column(c).to_pylist() for c in ("n", "seen", "cut1", "cut2")], strict=True)
+        most = max(most, len(out) and sum(len(t) for t in out.column("text").to_pylist()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lines = [t.count("\n") for t in texts]
+    assert got == [(n, False, *sorted(13 * (h % (n + 1)) for h in pair)) for n, pair in zip(lines, zip(picks, picks[::-1], strict=True), strict=True)]
+    assert most <= 1 << 22 and peak < 8 * (1 << 22)
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for said, held in (("64m", "4194304b"), ("67108864b", "4194304b"), ("512k", "512k"), ("4096", "4096"), ("1mb", "1mb")):
+            spark.conf.set(name, said)
+            middle.fill_in_middle(spark.createDataFrame([], SCHEMA))
+            assert spark.conf.get(name) == held
+    finally:
+        spark.conf.set(name, before)
