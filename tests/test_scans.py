@@ -248,3 +248,34 @@ def test_rebuilds_take_the_last_translation_that_says_something(spark):
     got = {r.k: (r.target, r.cached) for r in jobs.rebuilt(rows, cached).collect()}
     # "a-b" came after "A b" first came, so it answers for both; "c" has a blank target at last
     assert got == {1: ("two", True), 2: ("c", False), 3: ("y", True), 4: (" ", False), 5: ("new", False)}
+
+
+def folder_of(spark, path, docs):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("name", ["w08_segments"])
+def test_no_texts_are_kept_between_steps(spark, tmp_path, name):
+    from pathlib import Path
+
+    from leafmill.plans.queries import QUERIES
+    from leafmill.sources.checkpoints import work_folder
+
+    rng = np.random.default_rng(1)
+    text = lambda: "\n".join(["A short head", *(rng.bytes(150).hex() for _ in range(10))])
+    folder = folder_of(spark, tmp_path / "sf", [(i, text(), "en", f"src{i % 2}", 3000) for i in range(400)])
+    kept = Path(work_folder(spark).removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in kept.rglob("*") if p.is_file())
+    before = size()
+    assert QUERIES[name](spark, folder).count() >= 398
+    assert size() - before < 0.3 * 400 * 3000
+
+
+def test_documents_of_one_id_are_pages_each(spark, tmp_path):
+    from leafmill.plans.queries import QUERIES
+
+    docs = [(i // 2, f"{chr(97 + i) * 70} is a text\nand goes on with {chr(97 + i) * 70}", "en", None, 80) for i in range(10)] + [(None, "No id has this one, which is a text as well", "en", None, 40)]
+    rows = QUERIES["w02_paragraphs"](spark, folder_of(spark, tmp_path / "sf", docs)).collect()
+    # the cover and the title page go; each other document is a page
+    assert sorted(r.page for r in rows) == list(range(2, 11)) and len({r.text_md5 for r in rows}) == 9
