@@ -169,6 +169,19 @@ def proofread(rows: DataFrame, editor: Editor, key: str = "id", budget: int = 25
     return done.unionByName(named.where(~real).withColumn("target", F.col("draft")))
 
 
+def digests(text: Column) -> list[Column]:
+    """text_id and key_id, which stand for a text and its cache key, and whether the text says something."""
+    digest = lambda c: F.unhex(F.sha2(c.cast("binary"), 256))
+    return [digest(text).alias("text_id"), digest(T.cache_key(text)).alias("key_id"), (F.length(T.strip(text)) > 0).alias("says")]
+
+
+def answers(cached: DataFrame) -> DataFrame:
+    """known_key, found: the target that answers for each cache key of ``cached``, which has ``digests``, target and ord."""
+    texts = cached.groupBy("text_id").agg(F.min("ord").alias("came"), F.max_by("target", "ord").alias("target"), F.first("key_id").alias("key_id"), F.first("says").alias("says"))
+    good = texts.where(F.col("says") & (F.length(T.strip(F.col("target"))) > 0))
+    return good.groupBy(F.col("key_id").alias("known_key")).agg(F.max_by("target", "came").alias("found"))
+
+
 def rebuilt(rows: DataFrame, cached: DataFrame) -> DataFrame:
     """Rows with target: the translation known for their cache key, else their own text; and whether it was known.
 
@@ -176,10 +189,8 @@ def rebuilt(rows: DataFrame, cached: DataFrame) -> DataFrame:
     the texts of one key, the one that came last answers. Blank texts and blank
     targets answer nothing.
     """
-    texts = cached.groupBy("text").agg(F.min("ord").alias("came"), F.max_by("target", "ord").alias("target"))
-    good = texts.where((F.length(T.strip(F.col("text"))) > 0) & (F.length(T.strip(F.col("target"))) > 0))
-    known = good.groupBy(T.cache_key(F.col("text")).alias("known_key")).agg(F.max_by("target", "came").alias("found"))
-    joined = rows.join(known, T.cache_key(F.col("text")) == F.col("known_key"), "left")
+    known = answers(cached.select(*digests(F.col("text")), "target", "ord"))
+    joined = rows.join(known, digests(F.col("text"))[1] == F.col("known_key"), "left")
     return joined.withColumn("cached", F.col("known_key").isNotNull()).withColumn("target", F.coalesce("found", "text")).drop("known_key", "found")
 
 
