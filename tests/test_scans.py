@@ -255,7 +255,7 @@ def folder_of(spark, path, docs):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["w08_segments", "w03_cross_page", "p08_need_set", "t10_rebuild"])
+@pytest.mark.parametrize("name", ["w08_segments", "w03_cross_page", "p08_need_set", "t10_rebuild", "j14_heading_pages"])
 def test_no_texts_are_kept_between_steps(spark, tmp_path, name):
     from pathlib import Path
 
@@ -279,3 +279,13 @@ def test_documents_of_one_id_are_pages_each(spark, tmp_path):
     rows = QUERIES["w02_paragraphs"](spark, folder_of(spark, tmp_path / "sf", docs)).collect()
     # the cover and the title page go; each other document is a page
     assert sorted(r.page for r in rows) == list(range(2, 11)) and len({r.text_md5 for r in rows}) == 9
+
+
+def test_headings_that_jump_far_behind_are_followed(spark):
+    """A common heading is on more pages than a block is given; a search that leaves these is done again with more."""
+    common = lambda page: page % 3 == 0 and not 20 <= page < 700
+    lines = [("b", page, 0, f"un. and page {page} of all" if common(page) else f"page {page} of all") for page in range(1000)]
+    heads = [("b", page, 0, "un." if page % 5 else f"page {page} of") for page in range(1, 900, 7)]
+    h = spark.createDataFrame(heads, "book string, page long, par_no int, text string")
+    got = {(r.book, r.page, r.par_no): r.found for r in reflow.heading_pages(h, spark.createDataFrame(lines, SEARCHED), pages=4, reach=4).collect()}
+    assert got == search(heads, lines)
