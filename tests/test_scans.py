@@ -255,7 +255,7 @@ def folder_of(spark, path, docs):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["w08_segments", "w03_cross_page", "p08_need_set", "t10_rebuild", "j14_heading_pages"])
+@pytest.mark.parametrize("name", ["w08_segments", "w03_cross_page", "p08_need_set", "t10_rebuild", "j14_heading_pages", "k04_book_plan"])
 def test_no_texts_are_kept_between_steps(spark, tmp_path, name):
     from pathlib import Path
 
